@@ -13,6 +13,7 @@ from .simhash import near_duplicates
 from .suffix_dedup import dedup_digests
 from .token_counts import token_counts
 from .token_store import token_store
+from .toxicity import toxicity
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -21,6 +22,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -39,6 +44,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity": op3_toxicity,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
