@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_codec import encode_digests
 from .common import table
 from .fingerprints import fingerprint_edits
+from .license_scan import license_scan
+from .license_scan import oracle as license_oracle
 from .simhash import near_duplicates
 from .suffix_dedup import dedup_digests
 from .token_counts import token_counts
@@ -27,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -50,6 +56,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -57,4 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_document_fingerprints": op9_document_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_license_scan": license_oracle(),
+}
