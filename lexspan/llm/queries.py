@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_codec import encode_digests
 from .common import table
+from .decontamination import leaks
 from .fingerprints import fingerprint_edits
 from .license_scan import license_scan
 from .license_scan import oracle as license_oracle
+from .quality import selection
 from .simhash import near_duplicates
 from .suffix_dedup import dedup_digests
 from .token_counts import token_counts
@@ -21,6 +23,10 @@ from .toxicity import toxicity
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -53,7 +59,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_resampling": op1_quality_resampling,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
@@ -62,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_token_store": op8_token_store,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {

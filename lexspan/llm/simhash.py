@@ -252,3 +252,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each group of near duplicates, all columns as they are.
+
+    Groups are those of near_duplicates(). A null doc_id comes after all others; rows of one doc_id are ordered by the
+    hash of their text, and of equal rows one stays.
+    """
+    from .common import row_key
+
+    spark, names = docs.sparkSession, docs.columns
+    tie = row_key(docs["doc_id"], text_of(docs))
+    rows, _ = written(spark, _keyed_fingerprints(docs, tie), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
+    least = rows.groupBy("fp").agg(F.min(order).alias("least"))
+    roots = components(links(least.select("fp")))
+    rooted = least.join(roots, least["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    first = rooted.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
+    kept = docs.withColumn("__tie", tie).join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("__tie") == F.col("first_tie")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__tie"]).select(*names)
+
+
+def _keyed_fingerprints(docs: DataFrame, tie) -> DataFrame:
+    """doc_id, tie, fp of every row."""
+
+    def mapped(batches):
+        import numpy as np
+
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(fps, pa.int64())], names=["doc_id", "tie", "fp"])
+
+    rows = docs.select("doc_id", tie.alias("tie"), text_of(docs).alias("text"))
+    return rows.mapInArrow(mapped, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie long, fp long")
