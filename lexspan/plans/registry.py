@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import judged
+from . import compared, judged
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**judged.QUERIES}
-ORACLES: dict[str, str] = {**judged.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**judged.QUERIES, **compared.QUERIES}
+ORACLES: dict[str, str] = {**judged.ORACLES, **compared.ORACLES}
