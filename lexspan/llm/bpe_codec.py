@@ -94,7 +94,7 @@ def _tokenizer(path: str):
 
 
 def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:
-    """word, n, ids (little-endian u32) of each distinct word, encoded once."""
+    """word, n, ids (little-endian u32), hash, second (96 bits that tell words apart) of each distinct word, encoded once."""
 
     def coded(batches):
         import numpy as np
@@ -103,23 +103,26 @@ def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(part.column("word").to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
+                found = part.column("word").to_pylist()
+                ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(found, add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.binary()), pa.array(_hashes(found).view(np.int64)), pa.array(_checks(found).astype(np.int64))], names=["word", "n", "ids", "hash", "second"])
 
-    return distinct.mapInArrow(coded, "word string, n long, ids binary")
+    return distinct.mapInArrow(coded, "word string, n long, ids binary, hash long, second long")
 
 
 def _compact(hot: pa.Table) -> dict:
-    """The word table as sorted arrays: hash, second hash, offsets and ids."""
+    """The word table as sorted arrays: hash, second hash, ends and ids. hot: (hash, second, ids)."""
     import numpy as np
 
-    found = hot.column("word").to_pylist()
-    ids = hot.column("ids").combine_chunks()
-    h, c = _hashes(found), _checks(found)
+    hot = hot.combine_chunks()
+    if not len(hot):
+        return {"hash": np.zeros(0, np.uint64), "check": np.zeros(0, np.uint32), "end": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32)}
+    h = hot.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(h, kind="stable")
-    size = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]) // 4 if len(ids) else np.zeros(0, np.int64)
-    flat = np.concatenate([np.frombuffer(b, "<u4") for b in ids.take(pa.array(order)).to_pylist()] or [np.zeros(0, "<u4")])
-    return {"hash": h[order], "check": c[order], "end": np.cumsum(size[order]), "ids": flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat}
+    ids = hot.column("ids").chunk(0).take(pa.array(order))
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    flat = np.frombuffer(ids.buffers()[2], "<u4", (ends[-1] - ends[0]) // 4, ends[0])
+    return {"hash": h[order], "check": hot.column("second").to_numpy().astype(np.uint32)[order], "end": (ends[1:] - ends[0]) // 4, "ids": flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat.copy()}
 
 
 class Codec:
@@ -204,7 +207,7 @@ def _encoded(docs: DataFrame, tokenizer: str, whole: bool) -> DataFrame:
     spark = docs.sparkSession
     table, _ = written(spark, encoded_words(distinct_words(docs), tokenizer), "words")
     least = hot_least(table)
-    hot = spark.sparkContext.broadcast(_compact(table.filter(F.col("n") >= least).select("word", "ids").toArrow()))
+    hot = spark.sparkContext.broadcast(_compact(table.filter(F.col("n") >= least).select("hash", "second", "ids").toArrow()))
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     if least:
         rows = _with_rare(rows, table.filter(F.col("n") < least), hot, tokenizer)

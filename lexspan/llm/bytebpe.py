@@ -8,10 +8,16 @@ such a piece, or a special token's string, are given to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
+import sys
+from array import array
 from itertools import islice
 
 LONGEST_KEPT = 64
+#: What byte-level pre-tokenizers split by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LATIN_END = "\u0250"
 UNSAFE = 1 << 40
 #: Characters that some version of the pattern's \\s takes as white space though Python does not.
 _ODD_SPACE = "᠎​﻿"
@@ -27,6 +33,32 @@ def load(path: str):
     return tok
 
 
+def core(path: str):
+    """The same merges without the library's cost a call (for Latin text, of which all versions of the pattern agree);
+    None if that isn't certain.
+
+    It is certain if the model is a plain byte-level BPE whose merges stand in the order of the ids they make: then
+    merging the lowest id first is merging by rank.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    vocab, merges = model["vocab"], model["merges"]
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in merges]
+    if None in made or made != sorted(set(made)) or len(vocab) - len(made) != 256:
+        return None
+    import tiktoken
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+
 def specials(tok) -> list[str]:
     return [t.content for t in tok.get_added_tokens_decoder().values()]
 
@@ -42,8 +74,9 @@ class Pieces(dict):
     from the piece without it, which is far more often known.
     """
 
-    def __init__(self, tok, value, join, unsafe, most: int, seed: dict | None = None):
+    def __init__(self, tok, value, join, unsafe, most: int, seed: dict | None = None, single=None):
         super().__init__(seed or {})
+        self.single = single and single.encode_single_piece
         self.tok, self.value, self.join, self.unsafe, self.most = tok, value, join, unsafe, most
         self.heads: dict = {}
         self.tails = {c: self.bare(c) for c in ",."}
@@ -52,13 +85,15 @@ class Pieces(dict):
         return self.value(self.tok.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, piece: str):
-        if not safe(piece):
+        if self.single and piece.isalpha() and (piece.isascii() or max(piece) < _LATIN_END):  # letters for any version of the pattern
+            got = self.value(self.single(b" " + piece.encode()))
+        elif not safe(piece):
             return self.unsafe
-        if piece[-1] in self.tails and len(piece) > 1 and piece[-2].isascii() and piece[-2].isalpha():
+        elif piece[-1] in self.tails and len(piece) > 1 and piece[-2].isascii() and piece[-2].isalpha():
             got = self.join(self[piece[:-1]], self.tails[piece[-1]])
         else:
             got = self.bare(" " + piece)
-        if len(piece) <= LONGEST_KEPT and len(self) < self.most:
+        if len(self) < self.most and len(piece) <= LONGEST_KEPT:
             self[piece] = got
         return got
 
@@ -78,7 +113,7 @@ class Counter:
     def __init__(self, path: str, seed: dict[str, int] | None = None, most: int = 400_000):
         self.tok = load(path)
         self.special = specials(self.tok)
-        self.pieces = Pieces(self.tok, len, int.__add__, UNSAFE, most, seed)
+        self.pieces = Pieces(self.tok, len, int.__add__, UNSAFE, most, seed, core(path))
 
     def __call__(self, text: str) -> int:
         if not text:
@@ -91,6 +126,14 @@ class Counter:
         return len(self.tok.encode(text, add_special_tokens=False).ids)
 
 
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Unsafe(Exception):
     pass
 
@@ -98,14 +141,19 @@ class _Unsafe(Exception):
 class Encoder:
     """Ids of texts as little-endian bytes of the given width (2 or 4)."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         import numpy as np
 
+
         self.tok = load(path)
         self.special = specials(self.tok)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        dtype = f"<u{self.width}"
-        self.value = lambda ids: np.array(ids, dtype).tobytes()
+        code = "H" if self.width == 2 else "I"
+        self.narrow = lambda ids: np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes()
+        self.core = core(path)
+        if sys.byteorder != "little":
+            raise RuntimeError("the file format is little-endian")
+        self.value = lambda ids: array(code, ids).tobytes()
         outer = self
 
         class Bytes(Pieces):
@@ -114,12 +162,14 @@ class Encoder:
                     raise _Unsafe
                 return super().__missing__(piece)
 
-        self.pieces = Bytes(self.tok, outer.value, bytes.__add__, None, most)
+        self.pieces = Bytes(self.tok, outer.value, bytes.__add__, None, most, None, self.core)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if not any(s in text for s in self.special):
+            if self.core and _latin1(text):
+                return self.narrow(self.core.encode_to_tiktoken_buffer(text, set()))
             pieces = text.split(" ")
             try:
                 rest = b"".join(map(self.pieces.__getitem__, islice(pieces, 1, None)))
