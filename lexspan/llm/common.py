@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,16 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def known_to_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed: its folder goes on their path."""
+    env, own = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if own not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([own, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    known_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +41,7 @@ def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd")
     """Writes df to the shared folder and reads it again: lineage ends, and a lost executor costs nothing already written."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    known_to_workers(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(schema).parquet(path), path
 

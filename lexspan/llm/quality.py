@@ -104,11 +104,10 @@ def models(docs: DataFrame, labels: DataFrame):
 
 
 def weighed(docs: DataFrame, ratio) -> DataFrame:
-    """docs with log_weight, n_features, score (log weight plus noise) and rank (a long in the order of score)."""
+    """row (a struct of docs' columns), log_weight, n_features, score (log weight plus noise) and rank (a long in the order of score)."""
     ratios = docs.sparkSession.sparkContext.broadcast(ratio)
-    names = docs.columns
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), docs["doc_id"], text_of(docs)), 11) + 0.5) / float(1 << 53)
-    rows = docs.withColumn("__noise", -F.log(-F.log(uniform)))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_of(docs).alias("text"), (-F.log(-F.log(uniform))).alias("noise"))
 
     def weigh(batches):
         import numpy as np
@@ -116,17 +115,16 @@ def weighed(docs: DataFrame, ratio) -> DataFrame:
         for batch in batches:
             w, n = [], []
             for text in batch.column("text").to_pylist():
-                f = features(text or "")
+                f = features(text)
                 n.append(len(f))
                 w.append(float(ratios.value[f].sum()) if ratios.value is not None and len(f) else 0.0)
             w = np.array(w, np.float64)
-            score = w + batch.column("__noise").to_numpy(zero_copy_only=False)
+            score = w + batch.column("noise").to_numpy(zero_copy_only=False)
             bits = score.view(np.int64)
             rank = np.where(bits < 0, np.int64(-(2**63)) - bits - 1, bits)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(w), pa.array(n, pa.int64()), pa.array(score), pa.array(rank)], names=[*names, "log_weight", "n_features", "score", "rank"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(w), pa.array(n, pa.int64()), pa.array(score), pa.array(rank)], names=["row", "log_weight", "n_features", "score", "rank"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(weigh, f"{schema}, log_weight double, n_features long, score double, rank long")
+    return rows.mapInArrow(weigh, f"row {rows.schema['row'].dataType.simpleString()}, log_weight double, n_features long, score double, rank long")
 
 
 def kth_largest(ranks: DataFrame, k: int) -> int:
@@ -146,7 +144,7 @@ def kth_largest(ranks: DataFrame, k: int) -> int:
 def _weights(docs: DataFrame, labels: DataFrame):
     """All rows' weights (a small written table), the ratios and the least rank to keep."""
     ratio = models(docs, labels)
-    table, _ = written(docs.sparkSession, weighed(docs.select("doc_id", "text"), ratio).drop("text"), "weights")
+    table, _ = written(docs.sparkSession, weighed(docs.select("doc_id", "text"), ratio).select("row.doc_id", "log_weight", "n_features", "score", "rank"), "weights")
     kept = table.agg(F.sum(F.exp(F.least(F.col("log_weight") + SLACK, F.lit(0.0)))).alias("k"), F.count("*").alias("n")).first()
     k = min(kept["n"], math.ceil((kept["k"] or 0.0) - 1e-6))
     return table, ratio, kth_largest(table, k) if k else None
@@ -160,6 +158,5 @@ def selection(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The sampled rows of docs, all columns as they are."""
-    names = docs.columns
     _, ratio, least = _weights(docs, labels)
-    return weighed(docs, ratio).filter(F.lit(False) if least is None else F.col("rank") >= least).select(*names)
+    return weighed(docs, ratio).filter(F.lit(False) if least is None else F.col("rank") >= least).select("row.*")

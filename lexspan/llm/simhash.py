@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of, written
+from .common import partitions, row_key, text_of, written
 from .graph import components, local_components
 
 RADIUS = 2
@@ -260,9 +260,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Groups are those of near_duplicates(). A null doc_id comes after all others; rows of one doc_id are ordered by the
     hash of their text, and of equal rows one stays.
     """
-    from .common import row_key
-
-    spark, names = docs.sparkSession, docs.columns
+    spark = docs.sparkSession
     tie = row_key(docs["doc_id"], text_of(docs))
     rows, _ = written(spark, _keyed_fingerprints(docs, tie), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
@@ -270,8 +268,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     roots = components(links(least.select("fp")))
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
     first = rooted.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
-    kept = docs.withColumn("__tie", tie).join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("__tie") == F.col("first_tie")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__tie"]).select(*names)
+    packed = docs.select(docs["doc_id"].alias("own_id"), tie.alias("own_tie"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = packed.join(first, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_tie") == F.col("first_tie")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_tie"]).select("row.*")
 
 
 def _keyed_fingerprints(docs: DataFrame, tie) -> DataFrame:

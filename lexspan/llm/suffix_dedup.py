@@ -220,9 +220,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """(did, tag, text, row): did is doc_id where that is a number, else a hash; row holds all of docs' columns but text."""
     text = text_of(docs)
     tag = F.shiftrightunsigned(row_key(docs["doc_id"], text), 64 - _TAG_BITS).cast("int")
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("did"), tag.alias("tag"), text.alias("text"), *[c for c in docs.columns if c != "text"])
+    did = F.coalesce(docs["doc_id"].cast("string").try_cast("long"), F.xxhash64(F.lit(1), docs["doc_id"].cast("string"), text))
+    return docs.select(did.alias("did"), tag.alias("tag"), text.alias("text"), F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -259,7 +261,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
                 size.append(len(raw)), removed.append(sum(b - a for a, b in gone)), runs.append(len(gone)), sha.append(kept.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text")).select("row.doc_id", "text", "spans").mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
@@ -268,21 +270,20 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     A code point goes if any of its bytes does. Texts of which nothing is left stay as empty ones. n_chars is counted
     anew where that column exists.
     """
-    names = docs.columns
-    joined = _with_spans(docs).select(*names, "spans")
+    joined = _with_spans(docs)
+    row = joined.schema["row"].dataType.simpleString()
 
     def cut(batches):
         for batch in batches:
             texts = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw, parts, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
+                raw, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
                 for a, b in merged(spans):
                     parts.append(raw[at:a])
                     at = b
                 texts.append(b"".join([*parts, raw[at:]]).decode("utf-8", "ignore"))
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "spans")
-    out = joined.mapInArrow(cut, schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = joined.select("row", "text", "spans").mapInArrow(cut, f"row {row}, text string")
+    counted = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return out.select(*[F.col("text") if c == "text" else counted.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])

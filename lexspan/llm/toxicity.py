@@ -3,7 +3,9 @@
 A document is toxic unless none of its sentences is: score = 1 - prod(1 - p(sentence)), p a logistic model over the
 sentence's words and their beginnings. The weights are learned from document labels alone, by gradient steps on the
 likelihood of the noisy-or, so the blame goes to the sentences that explain the label; the same weights then locate them
-in any text. Only features that a label's documents hold far more often than chance has it get a weight.
+in any text. Only features that a label's documents hold far more often than chance has it get a weight. The steps start
+from each feature's own log-odds and are held near them: a word that only toxic documents hold keeps its weight even if
+other words of those documents would explain the labels too.
 
 The model is fitted on a bounded sample: at most SAMPLE labelled documents of each label, those of the smallest hash of
 doc_id, only from rows with crc32(doc_id as text) mod 5 other than 0; each label is weighted back to its share among all
@@ -32,7 +34,8 @@ SAMPLE = 3_000
 VOCABULARY = 20_000
 LEAST_DOCUMENTS = 4
 Z = 5.0
-RIDGE = 1e-5
+RIDGE = 1e-2
+START_BIAS = -8.0
 CACHE = 400_000
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -54,19 +57,33 @@ def features(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in range(4, min(8, len(word)))]]
 
 
-def chosen(texts: list[str], toxic) -> dict[str, int]:
-    """Features (numbered) that stand in documents of one label far more often than chance has it: |z| of at least Z."""
+def chosen(texts: list[str], toxic) -> tuple[dict[str, int], list[float]]:
+    """Features (numbered) that stand in documents of one label far more often than chance has it (|z| of at least Z), and
+    the weight each starts from: its documents' log-odds over START_BIAS, shared out among the features of a word."""
     seen: Counter = Counter()
     hits: Counter = Counter()
     share = sum(toxic) / len(texts)
-    for text, label in zip(texts, toxic, strict=True):
-        own = {f for w in set(_WORD.findall(text.lower())) for f in features(w)}
+    found = [set(_WORD.findall(text.lower())) for text in texts]
+    for words, label in zip(found, toxic, strict=True):
+        own = {f for w in words for f in features(w)}
         seen.update(own)
         if label:
             hits.update(own)
     z = {f: (hits[f] - n * share) / math.sqrt(n * share * (1 - share)) for f, n in seen.items() if n >= LEAST_DOCUMENTS}
     best = sorted((f for f, v in z.items() if abs(v) >= Z), key=lambda f: (-abs(z[f]), f))[:VOCABULARY]
-    return {f: i for i, f in enumerate(best)}
+    index = {f: i for i, f in enumerate(best)}
+    together: Counter = Counter()
+    words_of: Counter = Counter()
+    for words in found:
+        for own in ([f for f in features(w) if f in index] for w in words):
+            for f in own:
+                together[f] += len(own)
+                words_of[f] += 1
+    start = []
+    for f in best:
+        p = (hits[f] + share) / (seen[f] + 1)
+        start.append((math.log(p / (1 - p)) - START_BIAS) * words_of[f] / together[f])
+    return index, start
 
 
 def fit(texts: list[str], toxic: list[int], share: float, rounds: int = 150) -> dict:
@@ -76,7 +93,7 @@ def fit(texts: list[str], toxic: list[int], share: float, rounds: int = 150) ->
     toxic_ = np.asarray(toxic, float)
     if not len(toxic_) or toxic_.min() == toxic_.max():
         return {"features": {}, "bias": max(-30.0, min(30.0, math.log(max(share, 1e-13) / max(1 - share, 1e-13))))}
-    index = chosen(texts, toxic)
+    index, start = chosen(texts, toxic)
     memo: dict[str, list[int]] = {}
     rows, cols, doc_of, n = [], [], [], 0
     for d, text in enumerate(texts):
@@ -92,7 +109,8 @@ def fit(texts: list[str], toxic: list[int], share: float, rounds: int = 150) ->
     r, c, doc = np.array(rows, np.int64), np.array(cols, np.int64), np.array(doc_of)
     weight = np.where(toxic_ == 1, share / toxic_.mean(), (1 - share) / (1 - toxic_.mean()))
     weight /= weight.sum()
-    w, bias = np.zeros(len(index)), -math.log(n / len(texts)) - 1.0
+    first = np.array(start, float)
+    w, bias = first.copy(), START_BIAS
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = np.clip(np.bincount(r, w[c], n) + bias, -30, 30)
@@ -100,10 +118,10 @@ def fit(texts: list[str], toxic: list[int], share: float, rounds: int = 150) ->
         none = np.exp(np.bincount(doc, np.log1p(-p), len(texts)))  # P(no sentence is toxic)
         pull = np.where(toxic_ == 1, none / np.maximum(1 - none, 1e-9), -1.0) * weight
         gz = pull[doc] * p  # of the log-likelihood by each sentence's z
-        gw, gb = np.bincount(c, gz[r], len(w)) - RIDGE * w, gz.sum()
+        gw, gb = np.bincount(c, gz[r], len(w)) - RIDGE * (w - first), gz.sum()
         m, mb = 0.9 * m + 0.1 * gw, 0.9 * mb + 0.1 * gb
         v, vb = 0.99 * v + 0.01 * gw * gw, 0.99 * vb + 0.01 * gb * gb
-        rate, c1, c2 = 0.2 if t < rounds // 2 else 0.05, 1 - 0.9**t, 1 - 0.99**t
+        rate, c1, c2 = 0.1 if t < rounds // 2 else 0.025, 1 - 0.9**t, 1 - 0.99**t
         w += rate * (m / c1) / (np.sqrt(v / c2) + 1e-7)
         bias += rate * (mb / c1) / (math.sqrt(vb / c2) + 1e-7)
     return {"features": dict(zip(index, w.tolist(), strict=True)), "bias": float(bias)}
@@ -130,7 +148,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> dict:
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
     sample = picked[0].union(picked[1])
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", text_of(docs).alias("text")).orderBy("doc_id", "text").toArrow()
+    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toArrow()
     distinct = dict(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True))  # copies are one piece of evidence
     return fit(list(distinct), list(distinct.values()), share)
 
