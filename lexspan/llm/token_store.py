@@ -14,7 +14,7 @@ shards of about SHARD_TOKENS ids (a document is never split). Spark's writer sto
 is the file, byte for byte. A retried task writes the same file again.
 
 Defined cases: a null or empty text holds only the end id; null doc_ids come first; rows of one doc_id follow each other
-ordered by text; an empty table gives no files and no rows; other columns are ignored.
+ordered by their texts' hash, then by text; an empty table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,8 +169,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple
     """Writes docs(doc_id, text) as shards; returns the table of shards, read again, and its place."""
     spark = docs.sparkSession
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_of(docs).alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", text_of(docs).alias("text")).withColumn("tie", F.xxhash64("text"))
+    # the range's sample goes to the driver: two longs a row, no text
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
 
     def packed(batches):
         import numpy as np
