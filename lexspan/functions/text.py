@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _L = "\\p{L}\\p{Nl}\\p{M}Ⓐ-ⓩ\\x{AD}\\x{A789}¹²³⁴⁵₁-₅\\x{200C}\\x{200D}"
-_LETTER = f"[{_L}]"
-_CORE = f"[{_L}\\p{{Nd}}]"
-_JOIN = "['’\\-‐‑־֊᐀·]"
+LETTER = f"[{_L}]"
+CORE = f"[{_L}\\p{{Nd}}]"
+JOIN = "['’\\-‐‑־֊᐀·]"
 #: A word: letters, glue and digits, single joiners between letters. Neither engine needs look-around for it.
-WORD = f"{_CORE}*{_LETTER}{_JOIN}(?:{_LETTER}{_JOIN}|{_LETTER}{_CORE}*{_LETTER}{_JOIN})*{_LETTER}{_CORE}*|{_CORE}+"
-HAS_LETTER = "[\\p{L}\\p{Nl}]"
-IS_LETTER = "^[\\p{L}\\p{M}\\p{Nl}]$"
+WORD = f"{CORE}*{LETTER}{JOIN}(?:{LETTER}{JOIN}|{LETTER}{CORE}*{LETTER}{JOIN})*{LETTER}{CORE}*|{CORE}+"
+HASLETTER = "[\\p{L}\\p{Nl}]"
+ISLETTER = "^[\\p{L}\\p{M}\\p{Nl}]$"
 IS_DIGIT = "^\\p{Nd}$"
 IS_SPACE = "^[ \\t\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]$"
 #: Maximal runs of marks: no letters, digits or white space.
@@ -25,7 +25,7 @@ def char_class(c: Column) -> Column:
         F.when(c.isNull() | c.isin("\n", "\r"), "Edge")
         .when(c.rlike(IS_SPACE), "Space")
         .when(c.rlike(IS_DIGIT), "Digit")
-        .when(c.rlike(IS_LETTER), "Letter")
+        .when(c.rlike(ISLETTER), "Letter")
         .otherwise("Nonletter")
     )
 
@@ -33,7 +33,7 @@ def char_class(c: Column) -> Column:
 def char_class_sql(c: str) -> str:
     return (
         f"CASE WHEN {c} IS NULL OR {c} IN (chr(10), chr(13)) THEN 'Edge' WHEN regexp_matches({c}, '{IS_SPACE}') THEN 'Space' "
-        f"WHEN regexp_matches({c}, '{IS_DIGIT}') THEN 'Digit' WHEN regexp_matches({c}, '{IS_LETTER}') THEN 'Letter' ELSE 'Nonletter' END"
+        f"WHEN regexp_matches({c}, '{IS_DIGIT}') THEN 'Digit' WHEN regexp_matches({c}, '{ISLETTER}') THEN 'Letter' ELSE 'Nonletter' END"
     )
 
 
@@ -44,11 +44,11 @@ def fold(word: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, those without a letter left out."""
-    return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: w.rlike(HAS_LETTER))
+    return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: w.rlike(HASLETTER))
 
 
 def words_sql(text: str) -> str:
-    return f"list_filter(regexp_extract_all({text}, '{WORD.replace(chr(39), chr(39) * 2)}'), lambda w: regexp_matches(w, '{HAS_LETTER}'))"
+    return f"list_filter(regexp_extract_all({text}, '{WORD.replace(chr(39), chr(39) * 2)}'), lambda w: regexp_matches(w, '{HASLETTER}'))"
 
 
 def share_bp(numerator: Column, denominator: Column) -> Column:

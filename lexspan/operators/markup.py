@@ -1,7 +1,7 @@
 """Marked-up books: tokens, designators, contents, masks, verse rows, lint. A book is (book, src).
 
 Tokens come from one regular expression, so their texts joined are the source again, and offsets are running sums over
-one text's own tokens: nothing is shuffled to lex a book.
+one book's own tokens, on the partitioning that all later steps over books use too.
 """
 
 from __future__ import annotations
@@ -16,15 +16,13 @@ TOKEN = "\\\\\\+?[a-z]+[0-9]*\\*|\\\\\\+?[a-z]+[0-9]*(?:-[se])?[ ]?|\\r?\\n|[^\\
 
 def tokens(books: DataFrame) -> DataFrame:
     """(book, pos, start, len, kind, marker, text): a partition of the source; start and len in code points."""
-    got = F.regexp_extract_all("src", F.lit(TOKEN), F.lit(0))
-    t = F.col("toks")
-    rows = books.select("book", got.alias("toks"))
-    start = F.expr("aggregate(toks, named_struct('at', 0, 'out', cast(array() as array<int>)), (s, x) -> named_struct('at', s.at + char_length(x), 'out', concat(s.out, array(s.at))), s -> s.out)")
-    rows = rows.withColumn("starts", start).select("book", F.posexplode(F.arrays_zip("starts", t)).alias("pos", "z"))
-    text = F.col("z.toks")
+    rows = books.select("book", F.posexplode(F.regexp_extract_all("src", F.lit(TOKEN), F.lit(0))).alias("pos", "text"))
+    so_far = Window.partitionBy("book").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    text = F.col("text")
+    start = F.sum(F.char_length(text)).over(so_far) - F.char_length(text)
     marker = F.regexp_extract(text, r"^\\\+?([a-z]+[0-9]*)", 1)
     kind = F.when(text.rlike(r"^\r?\n$"), "Newline").when(text.rlike(r"^\\\+?[a-z]+[0-9]*\*$"), "ClosingMarker").when(text.rlike(r"^\\\+?[a-z]"), "Marker").when(text.rlike("^[ \t]+$"), "Pad").otherwise("Text")
-    return rows.select("book", "pos", F.col("z.starts").alias("start"), F.char_length(text).alias("len"), kind.alias("kind"), F.when(marker != "", marker).alias("marker"), text.alias("text"))
+    return rows.select("book", "pos", start.cast("int").alias("start"), F.char_length(text).alias("len"), kind.alias("kind"), F.when(marker != "", marker).alias("marker"), "text")
 
 
 def designator_members(df: DataFrame, column: str = "designator") -> DataFrame:

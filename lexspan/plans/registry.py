@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compared, judged, marked
+from . import compared, judged, marked, placed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**judged.QUERIES, **compared.QUERIES, **marked.QUERIES}
-ORACLES: dict[str, str] = {**judged.ORACLES, **compared.ORACLES, **marked.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**judged.QUERIES, **compared.QUERIES, **marked.QUERIES, **placed.QUERIES}
+ORACLES: dict[str, str] = {**judged.ORACLES, **compared.ORACLES, **marked.ORACLES, **placed.ORACLES}
