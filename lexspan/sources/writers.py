@@ -37,7 +37,7 @@ def _pieces(books: DataFrame) -> DataFrame:
     opened = kind[F.col("opens")]
     number = F.regexp_extract("text", r"^(\S+)", 1)
     rest = F.regexp_replace("text", r"^\S+[ ]?", "")
-    own = F.when(F.col("kind") == "Text", F.when(opened.isin("chapter", "verse"), opened).otherwise("text")).when(F.col("kind") == "ClosingMarker", "close").when(F.col("kind") == "Marker", F.when(kind[F.col("marker")].isin("chapter", "verse"), None).when(kind[F.col("marker")].isin("char", "note", "notechar"), "open").otherwise("para"))
+    own = F.when(F.col("kind") == "Text", F.when(opened.isin("chapter", "verse"), opened).otherwise("text")).when(F.col("kind") == "ClosingMarker", "close").when(F.col("kind") == "Marker", F.when(kind[F.col("marker")].isin("chapter", "verse", "notechar"), None).when(kind[F.col("marker")].isin("char", "note"), "open").otherwise("para"))
     rows = c.withColumn("what", own).filter("what IS NOT NULL")
     return rows.select("book", "pos", "what", F.coalesce("marker", "opens").alias("marker"), F.when(F.col("what").isin("chapter", "verse"), number).alias("number"), F.when(F.col("what").isin("chapter", "verse"), rest).when(F.col("what") == "text", F.col("text")).otherwise("").alias("text"))
 
@@ -64,11 +64,14 @@ def usx(books: DataFrame) -> DataFrame:
     w = Window.partitionBy("book").orderBy("pos")
     p = p.withColumn("nth", F.sum((c("what") == "para").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     spans = Window.partitionBy("book", "nth").orderBy("pos")
-    level = F.when(c("what") == "open", 1).when(c("what") == "close", -1).otherwise(0)
-    p = p.withColumn("open_spans", F.greatest(F.sum(level).over(spans.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))).withColumn("last", F.lead("what").over(spans).isNull())
+    # a closing marker without an open span gives nothing: it is one that takes the running sum to a new low
+    p = p.withColumn("level", F.sum(F.when(c("what") == "open", 1).when(c("what") == "close", -1).otherwise(0)).over(spans.rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.withColumn("low", F.least(F.lit(0), F.min("level").over(spans.rowsBetween(Window.unboundedPreceding, 0))))
+    p = p.withColumn("stray", (c("what") == "close") & (c("low") < F.coalesce(F.lag("low").over(spans), F.lit(0))))
+    p = p.withColumn("open_spans", c("level") - c("low")).withColumn("last", F.lead("what").over(spans).isNull())
     shut = F.when(c("last"), F.concat(F.repeat(F.lit("</char>"), c("open_spans").cast("int")), F.when(c("nth") > 0, "</para>").otherwise(""))).otherwise("")
     mark = lambda tag: F.concat(F.lit(f'<{tag} number="'), _escaped(c("number")), F.lit(f'" style="{tag[0]}"/>'), _escaped(c("text")))
-    piece = F.when(c("what") == "para", F.concat(F.lit('<para style="'), "marker", F.lit('">'))).when(c("what") == "open", F.concat(F.lit('<char style="'), "marker", F.lit('">'))).when(c("what") == "close", "</char>").when(c("what") == "chapter", mark("chapter")).when(c("what") == "verse", mark("verse")).otherwise(_escaped(c("text")))
+    piece = F.when(c("what") == "para", F.concat(F.lit('<para style="'), "marker", F.lit('">'))).when(c("what") == "open", F.concat(F.lit('<char style="'), "marker", F.lit('">'))).when(c("stray"), "").when(c("what") == "close", "</char>").when(c("what") == "chapter", mark("chapter")).when(c("what") == "verse", mark("verse")).otherwise(_escaped(c("text")))
     return _joined(p, F.concat(piece, shut), '<usx version="3.0">', "</usx>", "usx")
 
 
