@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, text_of
+from .common import row_key, text_of, written
 
 GRAM = 3
 SHIFT = 3
@@ -88,7 +88,7 @@ def spans(voted: DataFrame) -> DataFrame:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row of docs(doc_id, text)."""
-    voted = votes(docs)
+    voted, _ = written(docs.sparkSession, votes(docs), "votes")  # a row a template and diagonal that hits: short, and read twice
     base = voted.filter(F.col("base") & (F.size("places") == F.col("grams"))).select("doc_id", "key", "label", F.col("diagonal").cast("long").alias("at"), F.lit(1.0).alias("coverage"))
     found = base.unionByName(spans(voted).select("doc_id", "key", "label", F.lit(None).cast("long").alias("at"), "coverage"))
     each = found.groupBy("doc_id", "key").agg(
