@@ -16,10 +16,12 @@ from ..binding import CHAPTERS_SQL
 
 def triples(chapter: DataFrame) -> DataFrame:
     """(corpus, book, before, glyph, after, n): every character with its neighbours, null at the ends of a text."""
-    c = F.col("chars")
-    split = chapter.select("corpus", "book", F.split("text", "").alias("chars"))
-    each = F.transform(c, lambda x, i: F.struct(F.when(i > 0, F.get(c, i - 1)).alias("before"), x.alias("glyph"), F.get(c, i + 1).alias("after")))
-    return split.select("corpus", "book", F.inline(each)).filter("glyph <> ''").groupBy("corpus", "book", "before", "glyph", "after").agg(F.count("*").alias("n"))
+    c, n = F.col("chars"), F.size("chars") - 1
+    split = chapter.select("corpus", "book", F.split("text", "").alias("chars")).filter("size(chars) > 0")
+    # three arrays side by side, which stays inside generated code where a lambda would not
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("chars", F.lit(1), n))
+    each = F.arrays_zip(before.alias("before"), c.alias("glyph"), F.slice("chars", F.lit(2), n).alias("after"))
+    return split.select("corpus", "book", F.inline(each)).toDF("corpus", "book", "before", "glyph", "after").filter("glyph <> ''").groupBy("corpus", "book", "before", "glyph", "after").agg(F.count("*").alias("n"))
 
 
 TRIPLES_SQL = f"""

@@ -30,7 +30,7 @@ def paired(target: DataFrame, source: DataFrame) -> DataFrame:
     both = t.join(s, [*KEY, "ordinal"], "full")
     tk = t.groupBy(*KEY).agg(F.max("t_times").alias("tn"))
     sk = s.groupBy(*KEY).agg(F.max("s_times").alias("sn"))
-    both = both.join(tk, KEY, "left").join(sk, KEY, "left")
+    both = both.join(tk, KEY, "left").join(sk, KEY, "left").persist()  # read by every kind below
     exact = both.filter("tn = sn").withColumn("kind", F.lit("exact"))
     blocked = both.filter("tn <> sn").withColumn("kind", F.lit("ambiguous"))
     left, right = both.filter("sn IS NULL"), both.filter("tn IS NULL")

@@ -76,34 +76,67 @@ def verse_rows(books: DataFrame) -> DataFrame:
     return m.select("book", "chapter", F.explode(F.sequence("first", "last")).alias("verse"), "first", "text").select("book", "chapter", "verse", F.when(F.col("verse") == F.col("first"), F.col("text")).otherwise("<range>").alias("text"))
 
 
+#: Book codes (fixed values).
+BOOKS = (
+    "GEN EXO LEV NUM DEU JOS JDG RUT 1SA 2SA 1KI 2KI 1CH 2CH EZR NEH EST JOB PSA PRO ECC SNG ISA JER LAM EZK DAN HOS JOL AMO OBA JON MIC NAM HAB ZEP HAG ZEC MAL "
+    "MAT MRK LUK JHN ACT ROM 1CO 2CO GAL EPH PHP COL 1TH 2TH 1TI 2TI TIT PHM HEB JAS 1PE 2PE 1JN 2JN 3JN JUD REV "
+    "TOB JDT ESG WIS SIR BAR LJE S3Y SUS BEL 1MA 2MA 3MA 4MA 1ES 2ES MAN PS2 ODA PSS EZA 5EZ 6EZ DAG PS3 2BA LBA JUB ENO 1MQ 2MQ 3MQ REP 4BA LAO FRT BAK OTH INT CNC GLO TDX NDX XXA XXB XXC XXD XXE XXF XXG"
+).split()
+_VERSE = r"^[1-9][0-9]*(-[1-9][0-9]*)?$"
+
+
 def lint(books: DataFrame) -> DataFrame:
-    """(book, code, chapter, n): unknown markers, numbering, payload and form; the codes are of the flat machines."""
+    """(book, code, chapter, n): unknown markers, numbering, payload and form; the codes of the flat machines.
+
+    One pass: every token carries what its windows over the book say and gives the codes it breaks, so a book is lexed
+    and sorted once however many codes there are.
+    """
+    of_book = Window.partitionBy("book")
+    w = of_book.orderBy("pos")
     c = contents(books)
-    w = Window.partitionBy("book").orderBy("pos")
-    order = Window.partitionBy("book", "chapter").orderBy("pos")
-    marks = c.filter("kind = 'Marker'")
-    known = F.col("marker").isin(*MARKERS)
-    out = [marks.filter(~known).select("book", F.lit("unknown-marker").alias("code"), "chapter")]
-    v = c.filter("opens = 'v' AND kind = 'Text'").withColumn("d", F.regexp_extract("text", r"^(\S+)", 1))
-    v = v.withColumn("ok", F.col("d").rlike(r"^[1-9][0-9]*(-[1-9][0-9]*)?$")).withColumn("first", F.when(F.col("ok"), F.split("d", "-")[0].cast("int"))).withColumn("last", F.when(F.col("ok"), F.element_at(F.split("d", "-"), -1).cast("int")))
-    out.append(v.filter("NOT ok").select("book", F.lit("designator-malformed"), "chapter"))
-    out.append(v.filter("chapter IS NULL").select("book", F.lit("verse-before-first-chapter"), "chapter"))
-    seen = v.filter("ok").withColumn("high", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    times = F.row_number().over(Window.partitionBy("book", "chapter", "first").orderBy("pos"))
-    seen = seen.withColumn("times", times)
-    out.append(seen.filter("times > 1").select("book", F.lit("verse-duplicate"), "chapter"))
-    out.append(seen.filter("times = 1 AND first <= high").select("book", F.lit("verse-out-of-order"), "chapter"))
-    out.append(seen.filter("first > high + 1").select("book", F.lit("verse-gap"), "chapter"))
-    out.append(seen.filter("high IS NULL AND first > 1 AND chapter IS NOT NULL").select("book", F.lit("missing-verse-one"), "chapter"))
-    ch = c.filter("opens = 'c' AND kind = 'Text'").withColumn("n", F.regexp_extract("text", r"^([0-9]+)", 1).cast("int")).filter("n IS NOT NULL")
-    ch = ch.withColumn("high", F.max("n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("times", F.row_number().over(Window.partitionBy("book", "n").orderBy("pos")))
-    out.append(ch.filter("times > 1").select("book", F.lit("chapter-duplicate"), "chapter"))
-    out.append(ch.filter("times = 1 AND n < high").select("book", F.lit("chapter-out-of-order"), "chapter"))
-    out.append(ch.filter("n > high + 1").select("book", F.lit("chapter-gap"), "chapter"))
-    ids = marks.groupBy("book").agg(F.count_if(F.col("marker") == "id").alias("k"))
-    out.append(ids.filter("k = 0").select("book", F.lit("missing-id"), F.lit(None).cast("string")))
-    out.append(ids.filter("k > 1").select("book", F.lit("duplicate-id"), F.lit(None).cast("string")))
-    every = out[0]
-    for x in out[1:]:
-        every = every.union(x)
-    return every.groupBy("book", "code", "chapter").agg(F.count("*").alias("n"))
+    is_text = F.col("kind") == "Text"
+    d = F.regexp_extract("text", r"^(\S+)", 1)
+    after = lambda m: (F.col("opens") == m) & is_text
+    c = c.withColumn("d", d).withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_text", F.lead("text").over(w)).withColumn("next_marker", F.lead("marker").over(w))
+    c = c.withColumn("verse_ok", F.coalesce(after("v") & F.col("d").rlike(_VERSE), F.lit(False)))
+    ends = F.split("d", "-")
+    c = c.withColumn("first", F.when(F.col("verse_ok"), ends[0].try_cast("int"))).withColumn("last", F.when(F.col("verse_ok"), F.element_at(ends, -1).try_cast("int")))
+    c = c.withColumn("n", F.when(after("c"), F.nullif(F.regexp_extract("text", r"^([0-9]+)", 1), F.lit("")).try_cast("int")))
+    before = Window.unboundedPreceding, -1
+    in_chapter = Window.partitionBy("book", "chapter").orderBy("pos")
+    c = c.withColumn("high", F.max("last").over(in_chapter.rowsBetween(*before))).withColumn("c_high", F.max("n").over(w.rowsBetween(*before)))
+    c = c.withColumn("times", F.row_number().over(Window.partitionBy("book", "chapter", "first").orderBy("pos"))).withColumn("c_times", F.row_number().over(Window.partitionBy("book", "n").orderBy("pos")))
+    c = c.withColumn("ids", F.count_if((F.col("kind") == "Marker") & (F.col("marker") == "id")).over(of_book)).withColumn("chapters", F.count_if((F.col("kind") == "Marker") & (F.col("marker") == "c")).over(of_book))
+    mark = F.col("kind") == "Marker"
+    bare = (F.col("next_kind").isNull()) | (F.col("next_kind") != "Text")
+    paragraph = mark & F.col("marker").isin(*[m for m, k in MARKERS.items() if k == "paragraph"])
+    block = [m for m, k in MARKERS.items() if k in ("paragraph", "heading", "chapter")]
+    follow = F.when(F.col("next_kind") == "Newline", F.lead("marker", 2).over(w)).otherwise(F.col("next_marker"))
+    c = c.withColumn("follow", follow)
+    first_row = F.row_number().over(w) == 1
+    c = c.withColumn("opening", first_row)
+    code = F.upper(F.substring("d", 1, 3))
+    rules = {
+        "unknown-marker": mark & ~F.col("marker").isin(*MARKERS),
+        "designator-malformed": after("v") & ~F.col("verse_ok"),
+        "verse-before-first-chapter": after("v") & F.col("chapter").isNull(),
+        "verse-duplicate": F.col("verse_ok") & (F.col("times") > 1),
+        "verse-out-of-order": F.col("verse_ok") & (F.col("times") == 1) & (F.col("first") <= F.col("high")),
+        "verse-gap": F.col("verse_ok") & (F.col("first") > F.col("high") + 1),
+        "missing-verse-one": F.col("verse_ok") & F.col("high").isNull() & (F.col("first") > 1) & F.col("chapter").isNotNull(),
+        "chapter-duplicate": F.col("n").isNotNull() & (F.col("c_times") > 1),
+        "chapter-out-of-order": F.col("n").isNotNull() & (F.col("c_times") == 1) & (F.col("n") < F.col("c_high")),
+        "chapter-gap": F.col("n") > F.col("c_high") + 1,
+        "verse-without-designator": mark & (F.col("marker") == "v") & bare,
+        "chapter-without-designator": mark & (F.col("marker") == "c") & bare,
+        "paragraph-before-first-chapter": paragraph & F.col("chapter").isNull(),
+        "empty-paragraph": paragraph & bare & F.coalesce(F.col("follow").isin(*block), F.lit(True)),
+        "delimiter-surplus": is_text & F.col("opens").isNotNull() & F.col("text").rlike("^ +[^ ]"),
+        "book-code-not-uppercase": after("id") & F.col("d").rlike("^[A-Za-z0-9]{3}$") & (F.col("d") != F.upper("d")),
+        "book-code-unknown": after("id") & ~code.isin(*BOOKS),
+    }
+    whole = {"missing-id": F.col("ids") == 0, "duplicate-id": F.col("ids") > 1, "missing-chapter": F.col("chapters") == 0}
+    hit = [F.when(rule, F.struct(F.lit(k).alias("code"), F.col("chapter").alias("chapter"))) for k, rule in rules.items()]
+    hit += [F.when(F.col("opening") & rule, F.struct(F.lit(k).alias("code"), F.lit(None).cast("string").alias("chapter"))) for k, rule in whole.items()]
+    each = c.select("book", F.inline(F.array_compact(F.array(*hit))))
+    return each.groupBy("book", "code", "chapter").agg(F.count("*").alias("n"))

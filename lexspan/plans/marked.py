@@ -40,6 +40,8 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0
 
 _HEADING = ", ".join(f"'{m}'" for m, k in M.MARKERS.items() if k in ("heading", "title", "head", "book"))
 _TEXT = ", ".join(f"'{m}'" for m, k in M.MARKERS.items() if k in ("paragraph", "verse", "chapter"))
+_PARAGRAPH = ", ".join(f"'{m}'" for m, k in M.MARKERS.items() if k == "paragraph")
+_BLOCK = ", ".join(f"'{m}'" for m, k in M.MARKERS.items() if k in ("paragraph", "heading", "chapter"))
 TOKENS_SQL = rf"""{BOOKS_SQL},
 raw AS (SELECT book, unnest(regexp_extract_all(src, '{M.TOKEN}')) AS text, unnest(range(0, len(regexp_extract_all(src, '{M.TOKEN}'))))::int AS pos FROM books),
 toks AS (SELECT book, pos, (sum(length(text)) OVER (PARTITION BY book ORDER BY pos) - length(text))::int AS start, length(text)::int AS len,
@@ -69,6 +71,7 @@ v AS (SELECT *, regexp_matches(d, '^[1-9][0-9]*(-[1-9][0-9]*)?$') AS ok FROM v0)
 s AS (SELECT *, max(last) OVER (PARTITION BY book, chapter ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high, row_number() OVER (PARTITION BY book, chapter, first ORDER BY pos) AS times FROM (SELECT *, string_split(d, '-')[1]::int AS first, string_split(d, '-')[-1]::int AS last FROM v WHERE ok)),
 c2 AS (SELECT *, max(n) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high, row_number() OVER (PARTITION BY book, n ORDER BY pos) AS times FROM (SELECT *, regexp_extract(text, '^([0-9]+)', 1)::int AS n FROM ctx WHERE opens = 'c' AND kind = 'Text' AND regexp_matches(text, '^[0-9]'))),
 i AS (SELECT book, count(*) FILTER (marker = 'id') AS k FROM marks GROUP BY 1),
+b AS (SELECT *, lead(kind) OVER w AS nk, lead(marker) OVER w AS nm, lead(marker, 2) OVER w AS nm2, regexp_extract(text, '^(\S+)', 1) AS d FROM ctx WINDOW w AS (PARTITION BY book ORDER BY pos)),
 every AS (
 SELECT book, 'unknown-marker' AS code, chapter FROM marks WHERE marker NOT IN ({", ".join(f"'{m}'" for m in M.MARKERS)})
 UNION ALL SELECT book, 'designator-malformed', chapter FROM v WHERE NOT ok
@@ -81,7 +84,14 @@ UNION ALL SELECT book, 'chapter-duplicate', chapter FROM c2 WHERE times > 1
 UNION ALL SELECT book, 'chapter-out-of-order', chapter FROM c2 WHERE times = 1 AND n < high
 UNION ALL SELECT book, 'chapter-gap', chapter FROM c2 WHERE n > high + 1
 UNION ALL SELECT book, 'missing-id', NULL FROM i WHERE k = 0
-UNION ALL SELECT book, 'duplicate-id', NULL FROM i WHERE k > 1)
+UNION ALL SELECT book, 'duplicate-id', NULL FROM i WHERE k > 1
+UNION ALL SELECT book, 'missing-chapter', NULL FROM ctx GROUP BY book HAVING count(*) FILTER (kind = 'Marker' AND marker = 'c') = 0
+UNION ALL SELECT book, CASE marker WHEN 'v' THEN 'verse-without-designator' ELSE 'chapter-without-designator' END, chapter FROM b WHERE kind = 'Marker' AND marker IN ('v', 'c') AND (nk IS NULL OR nk <> 'Text')
+UNION ALL SELECT book, 'paragraph-before-first-chapter', chapter FROM b WHERE kind = 'Marker' AND marker IN ({_PARAGRAPH}) AND chapter IS NULL
+UNION ALL SELECT book, 'empty-paragraph', chapter FROM b WHERE kind = 'Marker' AND marker IN ({_PARAGRAPH}) AND (nk IS NULL OR nk <> 'Text') AND coalesce(CASE WHEN nk = 'Newline' THEN nm2 ELSE nm END IN ({_BLOCK}), true)
+UNION ALL SELECT book, 'delimiter-surplus', chapter FROM b WHERE kind = 'Text' AND opens IS NOT NULL AND regexp_matches(text, '^ +[^ ]')
+UNION ALL SELECT book, 'book-code-not-uppercase', chapter FROM b WHERE kind = 'Text' AND opens = 'id' AND regexp_full_match(d, '[A-Za-z0-9]{{3}}') AND d <> upper(d)
+UNION ALL SELECT book, 'book-code-unknown', chapter FROM b WHERE kind = 'Text' AND opens = 'id' AND upper(left(d, 3)) NOT IN ({", ".join(f"'{m}'" for m in M.BOOKS)}))
 SELECT book, code, chapter, count(*) AS n FROM every GROUP BY 1, 2, 3"""
 
 DAMAGED_SQL = H.damaged_sql(CHAPTERS_SQL)
