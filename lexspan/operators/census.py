@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import RUN, char_class, char_class_sql, fold, words, words_sql
+from ..functions.text import CORE, HAS_LETTER, RUN, WORD, char_class, char_class_sql, fold, words, words_sql
 from ..binding import CHAPTERS_SQL
 
 
@@ -128,3 +128,36 @@ def verse_lengths(verse: DataFrame) -> DataFrame:
     """(corpus, book, verses, graphemes, longest): lengths in display characters, marks not counted."""
     n = F.char_length(F.regexp_replace("text", r"\p{M}", ""))
     return verse.groupBy("corpus", "book").agg(F.count("*").alias("verses"), F.sum(n).alias("graphemes"), F.max(n).cast("long").alias("longest"))
+
+
+#: What stands before a word and the word: everything since the word before, on one line.
+_UNIT = f"[^{CORE[1:-1]}]*(?:{WORD})"
+
+
+def word_contexts(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, word, before, form, n): folded words by what hands over to them and how they are cased.
+
+    before: '' for a word after a word, 'start' for the first of a line, else the mark (of . ! ? , ; :) that white space
+    follows; other marks hand over nothing. form: lower, title, upper, mixed; words without case are left out.
+    """
+    line = chapter.select("corpus", "book", F.explode(F.split("text", "\n")).alias("line"))
+    u = F.regexp_extract_all("line", F.lit(_UNIT), F.lit(0))
+    lead = f"^[^{CORE[1:-1]}]*"
+    part = F.transform(u, lambda x, i: F.struct(F.regexp_replace(x, lead, "").alias("raw"), F.when(i == 0, "start").otherwise(F.regexp_extract(x, r"^[^\p{L}\p{N}]*?([.!?,;:])\s+[^\p{L}\p{N}\s.!?,;:]*[\p{L}\p{N}]", 1)).alias("before")))
+    w = line.select("corpus", "book", F.inline(part)).filter(F.col("raw").rlike(HAS_LETTER)).groupBy("corpus", "book", "raw", "before").agg(F.count("*").alias("n"))
+    return w.select("corpus", "book", fold(F.col("raw")).alias("word"), "before", _form(F.col("raw")).alias("form"), "n").filter("form IS NOT NULL").groupBy("corpus", "book", "word", "before", "form").agg(F.sum("n").alias("n"))
+
+
+def _form(raw):
+    low, up, rest = fold(raw), F.upper(raw), F.expr("substring(raw, 2)")
+    title = (F.concat(F.upper(F.substring(raw, 1, 1)), rest) == raw) & (rest == fold(rest))
+    return F.when(low == up, None).when(raw == low, "lower").when(title, "title").when(raw == up, "upper").otherwise("mixed")
+
+
+_LEAD = f"^[^{CORE[1:-1]}]*".replace("'", "''")
+WORD_CONTEXTS_SQL = rf"""
+lines2 AS (SELECT corpus, book, unnest(string_split(text, chr(10))) AS line FROM ({CHAPTERS_SQL})),
+units2 AS (SELECT corpus, book, unnest(regexp_extract_all(line, '{_UNIT.replace("'", "''")}')) AS x, unnest(range(0, len(regexp_extract_all(line, '{_UNIT.replace("'", "''")}')))) AS i FROM lines2),
+split2 AS (SELECT corpus, book, regexp_replace(x, '{_LEAD}', '') AS raw, CASE WHEN i = 0 THEN 'start' ELSE regexp_extract(x, '^[^\p{{L}}\p{{N}}]*?([.!?,;:])\s+[^\p{{L}}\p{{N}}\s.!?,;:]*[\p{{L}}\p{{N}}]', 1) END AS before FROM units2),
+word_contexts AS (SELECT corpus, book, lower(raw) AS word, before, CASE WHEN raw = lower(raw) THEN 'lower' WHEN upper(left(raw, 1)) || substring(raw, 2) = raw AND substring(raw, 2) = lower(substring(raw, 2)) THEN 'title' WHEN raw = upper(raw) THEN 'upper' ELSE 'mixed' END AS form, count(*) AS n
+ FROM split2 WHERE regexp_matches(raw, '{HAS_LETTER}') AND lower(raw) <> upper(raw) GROUP BY ALL)"""

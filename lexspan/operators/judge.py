@@ -138,16 +138,25 @@ m AS (SELECT a.*, floor(quantile_cont(b.rate, 0.5))::bigint AS median, count(*)
 SELECT corpus, book, glyph, side, class, numerator, denominator, rate, median FROM m WHERE others >= 3 AND class <> 'Edge' AND denominator >= 100 AND numerator >= 5 AND rate >= 4000 AND rate >= 10 * greatest(1, median)"""
 
 
-def casing(chapter: DataFrame) -> DataFrame:
-    """Words whose minority form is rare among their lower-case and title forms."""
-    w = C.word_forms(chapter).groupBy("corpus", "word").agg(F.sum("lower").alias("lower"), F.sum("title").alias("title"), F.countDistinct("book").alias("books"))
-    w = w.select("corpus", "word", "books", F.when(F.col("lower") < F.col("title"), "lower").otherwise("title").alias("form"), F.least("lower", "title").alias("numerator"), (F.col("lower") + F.col("title")).alias("denominator")).filter("numerator > 0")
-    return firing(w, WORD).select("corpus", "word", "form", "books", "numerator", "denominator", "ceiling_bp", "share_bp")
+FORMS = ("lower", "title", "upper", "mixed")
 
 
-def casing_sql() -> str:
-    inner = "SELECT corpus, word, books, CASE WHEN l < t THEN 'lower' ELSE 'title' END AS form, least(l, t)::bigint AS numerator, (l + t)::bigint AS denominator FROM (SELECT corpus, word, sum(lower) AS l, sum(title) AS t, count(DISTINCT book) AS books FROM word_forms GROUP BY 1, 2) WHERE least(l, t) > 0"
-    return f"WITH {C.WORD_FORMS_SQL} " + _judged_sql(inner, "corpus, word, form, books", WORD)
+def casing(chapter: DataFrame, ladder=WORD) -> DataFrame:
+    """Forms in which a word is rarely cased where it chose its case itself.
+
+    Free are places after another word, and after marks that the terminal table calls neither forcing nor mixed; starts
+    of lines never are. The table is a handful of rows a corpus and is broadcast.
+    """
+    bound = terminals(chapter).filter("kind <> 'free'").select("corpus", F.col("terminal").alias("before"), F.lit(True).alias("bound"))
+    w = C.word_contexts(chapter).filter("before <> 'start'").join(F.broadcast(bound), ["corpus", "before"], "left").filter("bound IS NULL")
+    by = w.groupBy("corpus", "word", "form").agg(F.sum("n").alias("numerator"), F.countDistinct("book").alias("books"))
+    total = F.sum("numerator").over(Window.partitionBy("corpus", "word"))  # at most four rows each
+    return firing(by.withColumn("denominator", total), ladder).select("corpus", "word", "form", "books", "numerator", "denominator", "ceiling_bp", "share_bp")
+
+
+def casing_sql(ladder=WORD) -> str:
+    inner = "SELECT *, sum(numerator) OVER (PARTITION BY corpus, word)::bigint AS denominator FROM (SELECT c.corpus, c.word, c.form, sum(c.n)::bigint AS numerator, count(DISTINCT c.book) AS books FROM word_contexts c LEFT JOIN terms t ON t.corpus = c.corpus AND t.terminal = c.before AND t.kind <> 'free' WHERE c.before <> 'start' AND t.kind IS NULL GROUP BY 1, 2, 3)"
+    return f"WITH {C.WORD_CONTEXTS_SQL}, terms AS ({TERMINALS_SQL}) " + _judged_sql(inner, "corpus, word, form, books", ladder)
 
 
 def doubled(chapter: DataFrame, usual: int = 5, vocabulary_bp: int = 300) -> DataFrame:

@@ -29,6 +29,7 @@ QUERIES = {
     "sentence_start": _over_chapters(J.sentence_start),
     "book_rate": _over_chapters(J.book_rate),
     "word_casing": _over_chapters(J.casing),
+    "word_contexts": _over_chapters(lambda c: C.word_contexts(c).filter("before <> ''")),
     "word_doubled": _over_chapters(J.doubled),
     "letter_run": _over_chapters(J.letter_run),
     "word_length": _over_chapters(J.word_length),
@@ -53,6 +54,7 @@ ORACLES = {
     "sentence_start": J.SENTENCE_START_SQL,
     "book_rate": J.book_rate_sql(),
     "word_casing": J.casing_sql(),
+    "word_contexts": f"WITH {C.WORD_CONTEXTS_SQL} SELECT corpus, book, word, before, form, n FROM word_contexts WHERE before <> ''",
     "word_doubled": J.doubled_sql(),
     "letter_run": J.LETTER_RUN_SQL,
     "word_length": J.WORD_LENGTH_SQL,

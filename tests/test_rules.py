@@ -247,3 +247,14 @@ def test_violations(spark):
 def test_empty_texts_count_nothing(spark):
     c = chapter(spark, "", None)
     assert census.triples(c).count() == 0 and census.runs(c).count() == 0 and judge.placement(c).count() == 0
+
+
+def test_casing_counts_free_places_only(spark):
+    starts = "Lord is. Lord was. Lord will. " * 20
+    c = chapter(spark, starts + "the lord and " * 200 + "my LORD here")
+    assert rows(judge.casing(c).filter("word = 'lord'"), "form", "numerator", "denominator") == [("upper", 1, 201)]
+
+
+def test_word_length(spark):
+    c = chapter(spark, "ab cd ef " * 600 + "extraordinarily " * 20)
+    assert rows(judge.word_length(c), "word", "numerator", "denominator") == [("extraordinarily", 20, 1820)]
