@@ -251,8 +251,8 @@ def test_empty_texts_count_nothing(spark):
 
 def test_casing_counts_free_places_only(spark):
     starts = "Lord is. Lord was. Lord will. " * 20
-    c = chapter(spark, starts + "the lord and " * 200 + "my LORD here")
-    assert rows(judge.casing(c).filter("word = 'lord'"), "form", "numerator", "denominator") == [("upper", 1, 201)]
+    c = chapter(spark, starts + "the lord and " * 400 + "my LORD here")
+    assert rows(judge.casing(c).filter("word = 'lord'"), "form", "numerator", "denominator") == [("upper", 1, 401)]
 
 
 def test_word_length(spark):
