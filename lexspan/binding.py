@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def known_to_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it is not installed: its folder goes on their path."""
+    env, own = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if own not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([own, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    known_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

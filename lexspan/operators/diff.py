@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..binding import known_to_workers
 from .markup import MARKERS, tokens
 
 ADDRESS = ["chapter", "first", "last", "cdup", "vdup"]
@@ -85,6 +86,7 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     of order is deleted where it was and added where it is. whitespace and markup say that a Modified unit differs in
     nothing else. Per book, positions alone go to Python for the longest common order.
     """
+    known_to_workers(old.sparkSession)
     side = lambda df, s: blocks(df).select("book", *ADDRESS, F.col("seq").alias(f"{s}_seq"), F.col("text").alias(f"{s}_text"), F.col("reading").alias(f"{s}_reading"))
     # both sides' blocks are read half a dozen times below; lost partitions are computed again from the books
     a, b = side(old, "old").persist(), side(new, "new").persist()
@@ -169,3 +171,33 @@ def changed_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = (d.select("book", "chunk", F.md5("text").alias(n)) for d, n in ((old, "was"), (new, "is")))
     change = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "gone").otherwise("changed")
     return a.join(b, ["book", "chunk"], "full").filter("NOT was <=> is").select("book", "chunk", change.alias("change"))
+
+
+_PIECE = r"\w+|\s+|[^\w\s]"
+
+
+def word_changes(units: DataFrame) -> DataFrame:
+    """(unit, at, change, old, new): runs of same, changed, added or removed words of units(unit, old, new), in order.
+
+    The old and new parts of the runs, joined, are the two texts. A null text counts as empty. Python aligns one unit's
+    words at a time, in Arrow batches.
+    """
+    import re
+    from difflib import SequenceMatcher
+
+    import pyarrow as pa
+
+    name = {"equal": "same", "replace": "changed", "insert": "added", "delete": "removed"}
+
+    def aligned(batches):
+        for batch in batches:
+            out: list = []
+            for unit, old, new in zip(*(batch.column(c).to_pylist() for c in ("unit", "old", "new")), strict=True):
+                a, b = re.findall(_PIECE, old or ""), re.findall(_PIECE, new or "")
+                for at, (tag, i, j, k, m) in enumerate(SequenceMatcher(None, a, b, autojunk=False).get_opcodes()):
+                    out.append((unit, at, name[tag], "".join(a[i:j]), "".join(b[k:m])))
+            u, at, change, old, new = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(u, batch.column("unit").type), pa.array(at, pa.int32()), pa.array(change, pa.string()), pa.array(old, pa.string()), pa.array(new, pa.string())], names=["unit", "at", "change", "old", "new"])
+
+    kind = units.schema["unit"].dataType.simpleString()
+    return units.select("unit", "old", "new").mapInArrow(aligned, f"unit {kind}, at int, change string, old string, new string")

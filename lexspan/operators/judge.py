@@ -52,11 +52,7 @@ SELECT corpus, glyph, n AS numerator, denominator, books FROM s JOIN b USING (co
 
 def exact_neighbor(chapter: DataFrame) -> DataFrame:
     """Pairs of neighbouring marks in a run, against all that the first is followed by in runs."""
-    r = C.runs(chapter).filter("char_length(run) > 1")
-    c = F.col("chars")
-    pair = F.transform(F.expr("slice(chars, 1, size(chars) - 1)"), lambda x, i: F.struct(x.alias("glyph"), F.get(c, i + 1).alias("next")))
-    each = r.withColumn("chars", F.split("run", "")).withColumn("chars", F.array_remove("chars", "")).select("corpus", "book", "n", F.inline(pair))
-    counted = each.groupBy("corpus", "glyph", "next").agg(F.sum("n").alias("numerator"), F.countDistinct("book").alias("books"))
+    counted = in_run_pairs(chapter).groupBy("corpus", "glyph", "next").agg(F.sum("n").alias("numerator"), F.countDistinct("book").alias("books"))
     total = F.sum("numerator").over(Window.partitionBy("corpus", "glyph"))
     return firing(counted.withColumn("denominator", total), GLYPH).select("corpus", "glyph", "next", "books", "numerator", "denominator", "ceiling_bp", "share_bp")
 
@@ -66,6 +62,73 @@ def exact_neighbor_sql() -> str:
     return f"WITH {C.RUNS_SQL} " + _judged_sql(inner, "corpus, glyph, next, books", GLYPH)
 
 
+#: pool -> what belongs to it, the first that matches counting: Unicode classes, and properties' members (fixed values).
+POOLS = (
+    ("Quote", "[\\p{Pi}\\p{Pf}\"'‚„「」『』〝〞〟]"),
+    ("Bracket", "[\\p{Ps}\\p{Pe}]"),
+    ("Dash", "[\\p{Pd}−~]"),
+    ("Terminal", "[.!?։؟۔।॥።。！？…‼⁇⁈⁉]"),
+    ("Separator", "[,:;،؛፣፤፥、，：；·]"),
+    ("Symbol", "\\p{S}"),
+)
+
+
+def pool(c):
+    """The kind of a mark."""
+    out = None
+    for name, pattern in POOLS:
+        out = (F if out is None else out).when(c.rlike(f"^{pattern}$"), name)
+    return out.otherwise("Other")
+
+
+def pool_sql(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_full_match({c}, '{p.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for n, p in POOLS) + " ELSE 'Other' END"
+
+
+def in_run_pairs(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, glyph, next, n): marks and what follows them inside runs."""
+    c = F.col("chars")
+    r = C.runs(chapter).filter("char_length(run) > 1").withColumn("chars", F.array_remove(F.split("run", ""), ""))
+    each = F.arrays_zip(F.slice(c, F.lit(1), F.size(c) - 1).alias("glyph"), F.slice(c, F.lit(2), F.size(c) - 1).alias("next"))
+    return r.select("corpus", "book", "n", F.inline(each)).toDF("corpus", "book", "n", "glyph", "next")
+
+
+def pooled_neighbor(chapter: DataFrame) -> DataFrame:
+    """Kinds of marks that rarely follow a mark inside runs (off in a default judgement)."""
+    p = in_run_pairs(chapter).withColumn("pool", pool(F.col("next")))
+    counted = p.groupBy("corpus", "glyph", "pool").agg(F.sum("n").alias("numerator"), F.countDistinct("book").alias("books"))
+    total = F.sum("numerator").over(Window.partitionBy("corpus", "glyph"))  # at most eight rows
+    return firing(counted.withColumn("denominator", total), GLYPH).select("corpus", "glyph", "pool", "books", "numerator", "denominator", "ceiling_bp", "share_bp")
+
+
+def pooled_neighbor_sql() -> str:
+    inner = f"SELECT *, sum(numerator) OVER (PARTITION BY corpus, glyph)::bigint AS denominator FROM (SELECT corpus, glyph, {pool_sql('next')} AS pool, count(*) AS numerator, count(DISTINCT book) AS books FROM (SELECT corpus, book, run[i] AS glyph, run[i + 1] AS next FROM (SELECT corpus, book, run, unnest(range(1, length(run))) AS i FROM runs WHERE length(run) > 1)) GROUP BY 1, 2, 3)"
+    return f"WITH {C.RUNS_SQL} " + _judged_sql(inner, "corpus, glyph, pool, books", GLYPH)
+
+
+def inside_words(chapter: DataFrame) -> DataFrame:
+    """Marks rarely between two letters, where neither side's letters depart by themselves: the joint placement claim."""
+    t = C.triples(chapter).filter(char_class(F.col("glyph")) == "Nonletter")
+    letter = lambda c: char_class(F.col(c)) == "Letter"
+    by = t.groupBy("corpus", "glyph").agg(
+        F.sum("n").alias("denominator"),
+        F.sum(F.when(letter("before") & letter("after"), F.col("n")).otherwise(0)).alias("numerator"),
+        F.sum(F.when(letter("before"), F.col("n")).otherwise(0)).alias("before_n"),
+        F.sum(F.when(letter("after"), F.col("n")).otherwise(0)).alias("after_n"),
+        F.countDistinct(F.when(letter("before") & letter("after"), F.col("book"))).alias("books"),
+    )
+    often = F.least(F.expr("(before_n * 10000) div denominator"), F.expr("(after_n * 10000) div denominator"))
+    return firing(by.filter("numerator > 0"), GLYPH).filter(often >= F.col("ceiling_bp")).select("corpus", "glyph", "books", "numerator", "denominator", "ceiling_bp", "share_bp")
+
+
+def inside_words_sql() -> str:
+    from ..functions.text import char_class_sql as k
+
+    inner = f"SELECT corpus, glyph, count(*) AS denominator, count(*) FILTER (b AND a) AS numerator, count(*) FILTER (b) AS bn, count(*) FILTER (a) AS an, count(DISTINCT book) FILTER (b AND a) AS books FROM (SELECT *, {k('before')} = 'Letter' AS b, {k('after')} = 'Letter' AS a FROM triples WHERE {k('glyph')} = 'Nonletter') GROUP BY 1, 2 HAVING count(*) FILTER (b AND a) > 0"
+    judged = _judged_sql(inner, "corpus, glyph, books, bn, an", GLYPH)
+    return f"WITH {C.TRIPLES_SQL} SELECT corpus, glyph, books, numerator, denominator, ceiling_bp, share_bp FROM ({judged}) WHERE least(bn * 10000 // denominator, an * 10000 // denominator) >= ceiling_bp"
+
+
 def run_shape(chapter: DataFrame, recurs: int = 5) -> DataFrame:
     """Shapes of runs (pure or mixed, by length) rare among a mark's runs; only runs that do not recur are counted."""
     total = C.runs(chapter).groupBy("corpus", "run").agg(F.sum("n").alias("n"))

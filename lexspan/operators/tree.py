@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..binding import known_to_workers
 from .markup import MARKERS, tokens
 
 #: how deep each kind stands: a marker closes everything open that stands as deep or deeper, notes apart
@@ -54,6 +55,7 @@ def nodes(books: DataFrame) -> DataFrame:
 
     closed: explicit, implied (by what came after), end (of the book) or orphan (a closing marker without an opening one).
     """
+    known_to_workers(books.sparkSession)
     return tokens(books).select("book", "pos", "kind", "marker").groupBy("book").applyInPandas(_tree, NODE)
 
 

@@ -24,6 +24,8 @@ QUERIES = {
     "verse_lengths": lambda spark, sf_dir: C.verse_lengths(verses(chapters(spark, sf_dir))),
     "glyph_rarity": _over_chapters(J.rarity),
     "exact_neighbor": _over_chapters(J.exact_neighbor),
+    "pooled_neighbor": _over_chapters(J.pooled_neighbor),
+    "inside_words": _over_chapters(J.inside_words),
     "run_shape": _over_chapters(J.run_shape),
     "terminal_table": _over_chapters(J.terminals),
     "sentence_start": _over_chapters(J.sentence_start),
@@ -49,6 +51,8 @@ ORACLES = {
     "verse_lengths": f"SELECT corpus, book, count(*) AS verses, sum(length(regexp_replace(text, '\\p{{M}}', '', 'g')))::bigint AS graphemes, max(length(regexp_replace(text, '\\p{{M}}', '', 'g')))::bigint AS longest FROM ({VERSES_SQL}) GROUP BY 1, 2",
     "glyph_rarity": J.rarity_sql(),
     "exact_neighbor": J.exact_neighbor_sql(),
+    "pooled_neighbor": J.pooled_neighbor_sql(),
+    "inside_words": J.inside_words_sql(),
     "run_shape": J.run_shape_sql(),
     "terminal_table": J.TERMINALS_SQL,
     "sentence_start": J.SENTENCE_START_SQL,

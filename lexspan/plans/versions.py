@@ -8,6 +8,7 @@ from ..binding import chapters, table
 from ..operators import attributes as A
 from ..operators import census as C
 from ..operators import diff as D
+from ..operators import formatting as L
 from ..operators import judge as J
 from ..operators import markup as M
 from ..operators import tree as N
@@ -134,7 +135,30 @@ def judged_state(spark, sf_dir):
     return I.judged(I.book_counts(c.select("corpus", F.col("chapter").cast("string").alias("book"), "text"))).drop("books")
 
 
+def untidy(spark, sf_dir):
+    """The books with white space gone astray."""
+    k = F.regexp_extract("book", "[0-9]+", 0).cast("int")
+    src = F.col("src")
+    for n, a, b in _UNTIDY:
+        src = F.when(k % 4 == n, F.replace(src, F.lit(a), F.lit(b))).otherwise(src)
+    return books(spark, sf_dir).select("book", src.alias("src"))
+
+
+_UNTIDY = ((0, "\n", "\r\n"), (1, "\\v ", "\\v   "), (2, "\n\\p\n", "  \\p \n\n"), (3, "\n", " \n\n"))
+
+
+def _untidy_sql() -> str:
+    src = "src"
+    for n, a, b in _UNTIDY:
+        lit = lambda s: "'" + s.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '") + "'"
+        src = f"CASE WHEN regexp_extract(book, '[0-9]+')::int % 4 = {n} THEN replace({src}, {lit(a)}, {lit(b)}) ELSE {src} END"
+    return f"WITH {BOOKS_SQL} SELECT book, {src} AS src FROM books"
+
+
 QUERIES = {
+    "format_books": lambda s, d: L.formatted(untidy(s, d)),
+    "format_twice": lambda s, d: L.formatted(L.formatted(untidy(s, d))),
+    "format_findings": lambda s, d: L.rules_broken(untidy(s, d)),
     "diff_units": diff_units,
     "diff_merge_new": _merged("new"),
     "diff_merge_old": _merged("old"),
@@ -151,6 +175,8 @@ QUERIES = {
     "judged_state": judged_state,
 }
 ORACLES = {
+    "format_books": L.formatted_sql(_untidy_sql()),
+    "format_twice": L.formatted_sql(_untidy_sql()),
     "diff_merge_new": _revised_sql(),
     "diff_merge_old": f"WITH {BOOKS_SQL} SELECT book, src FROM books",
     "block_texts": f"WITH {BOOKS_SQL} SELECT book, src FROM books",

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..binding import known_to_workers
+
 
 def marked_books(spark: SparkSession, folder: str, corpus: str) -> DataFrame:
     """(corpus, book, path, src) of every .usfm and .sfm file right in a folder; the book is the code of its \\id line."""
@@ -101,6 +103,7 @@ def _paragraphs(blob: bytes) -> list[tuple[str, str]]:
 
 def document_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """(path, at, style, text) of the paragraphs of word-processor files; an unreadable file is one row of at -1 that says why."""
+    known_to_workers(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,odt}").load(folder).select("path", "content")
 
     def read(batches):

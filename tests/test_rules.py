@@ -258,3 +258,36 @@ def test_casing_counts_free_places_only(spark):
 def test_word_length(spark):
     c = chapter(spark, "ab cd ef " * 600 + "extraordinarily " * 20)
     assert rows(judge.word_length(c), "word", "numerator", "denominator") == [("extraordinarily", 20, 1820)]
+
+
+def test_marks_inside_words(spark):
+    c = chapter(spark, "one) two " * 400 + "(three " * 400 + "fo)ur")
+    assert rows(judge.inside_words(c), "glyph", "numerator") == []  # a letter before ) is usual, one after it departs by itself
+    c = chapter(spark, "one' two " * 300 + "'three four " * 300 + "fi've")
+    assert rows(judge.inside_words(c), "glyph", "numerator", "denominator") == [("'", 1, 601)]
+
+
+def test_formatting(spark):
+    from lexspan.operators import formatting
+
+    src = "\\id GEN\r\n\r\n  \\c 1\n\\p  \\v 1   one \\s5\n\\v 2 two  \\q1 x\n"
+    got = formatting.formatted(spark.createDataFrame([("g", src)], "book string, src string"), remove=("s5",)).collect()[0].src
+    assert got == "\\id GEN\n\\c 1\n\\p \\v 1 one\n\\v 2 two\n\\q1 x\n"
+
+
+def test_word_changes_tile_both_sides(spark):
+    units = spark.createDataFrame([("u", "the cat sat, on the mat", "the dog sat on  the mat!"), ("v", None, "new"), ("w", "same", "same")], "unit string, old string, new string")
+    got = {}
+    for r in diff.word_changes(units).orderBy("unit", "at").collect():
+        got.setdefault(r.unit, []).append((r.change, r.old, r.new))
+    for unit, old, new in [("u", "the cat sat, on the mat", "the dog sat on  the mat!"), ("v", "", "new"), ("w", "same", "same")]:
+        assert "".join(o for _, o, _ in got[unit]) == old and "".join(n for _, _, n in got[unit]) == new
+    assert ("changed", "cat", "dog") in got["u"] and got["w"] == [("same", "same", "same")]
+
+
+def test_manifest_check(spark):
+    from lexspan.sources import checks
+
+    listed = spark.createDataFrame([("a.usfm", 3, "x"), ("gone.usfm", 1, "y"), ("big.usfm", 9, None)], "name string, size long, md5 string")
+    files = spark.createDataFrame([("a.usfm", bytearray(b"abc")), ("big.usfm", bytearray(b"12345678")), ("extra.txt", bytearray(b"?"))], "name string, content binary")
+    assert rows(checks.ingredients(listed, files), "name", "problem") == [("a.usfm", "checksum"), ("big.usfm", "size"), ("extra.txt", "unlisted"), ("gone.usfm", "missing")]
