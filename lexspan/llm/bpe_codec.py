@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import load
-from .common import row_key, text_of, written
+from .common import one_a_worker, row_key, text_of, written
 
 HOT_BYTES = 96 << 20
 ENTRY_BYTES = 20
@@ -88,7 +87,7 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     return docs.select(text_of(docs).alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@lru_cache(maxsize=2)
+@one_a_worker
 def _tokenizer(path: str):
     return load(path)
 
@@ -175,7 +174,7 @@ class Codec:
         return {x: self.memo[x] if x in self.memo else fresh[x] for x in found}
 
 
-@lru_cache(maxsize=1)
+@one_a_worker
 def _codec(broadcast, tokenizer: str) -> Codec:
     return Codec(broadcast.value, tokenizer)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +58,31 @@ def row_key(doc_id: Column, text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_held: list = [None, None]
+
+
+def one_a_worker(make):
+    """make(*args), kept until any function so marked is asked for something else.
+
+    A Python worker serves one operator after another; the tables and caches of the one before must not stay beside the
+    next one's. What is kept outlives a task, so tasks of one operator share it.
+    """
+
+    @wraps(make)
+    def get(*args):
+        key = (make.__module__, make.__name__, args)
+        if _held[0] != key:
+            _held[:] = None, None
+            _held[:] = key, make(*args)
+        return _held[1]
+
+    return get
+
+
+def in_parts(batches, rows: int = 1000):
+    """The same rows in smaller batches, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import one_a_worker, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -55,7 +55,7 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / total if total else 0.0
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def _hash(shingle: tuple) -> int:
     from xxhash import xxh64_intdigest
 
@@ -146,7 +146,7 @@ class Index:
         return out
 
 
-@lru_cache(maxsize=1)
+@one_a_worker
 def _index(broadcast) -> Index:
     return Index(broadcast.value)
 

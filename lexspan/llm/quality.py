@@ -23,13 +23,12 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import in_parts, one_a_worker, text_of, written
 
 BUCKETS = 1 << 16
 TARGET = 20_000
@@ -50,7 +49,7 @@ class _Hashes(dict):
         return h
 
 
-@lru_cache(maxsize=1)
+@one_a_worker
 def _hashes() -> _Hashes:
     return _Hashes()
 
@@ -87,7 +86,7 @@ def models(docs: DataFrame, labels: DataFrame):
 
     def counted(batches):
         counts = np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in in_parts(batches):
             for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
                 f = np.bincount(features(text), minlength=BUCKETS)
                 counts[0] += f
@@ -112,7 +111,7 @@ def weighed(docs: DataFrame, ratio) -> DataFrame:
     def weigh(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in in_parts(batches):
             w, n = [], []
             for text in batch.column("text").to_pylist():
                 f = features(text)

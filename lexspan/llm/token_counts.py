@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter as Tally
-from functools import lru_cache
 from pickle import dumps, loads
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytebpe
-from .common import text_of
+from .common import one_a_worker, text_of
 
 KEPT = 1 << 16
 LIMIT = 1024
@@ -65,7 +64,7 @@ def frequent_lengths(docs: DataFrame, tokenizer: str) -> dict[str, int]:
     return {p: len(e.ids) for p, e in zip(pieces, ids, strict=True)}
 
 
-@lru_cache(maxsize=1)
+@one_a_worker
 def _counter(path: str, frequent) -> bytebpe.Counter:
     """One a worker and broadcast: a worker's cache outlives its tasks."""
     return bytebpe.Counter(path, frequent.value)

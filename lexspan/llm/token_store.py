@@ -20,14 +20,13 @@ ordered by their texts' hash, then by text; an empty table gives no files and no
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytebpe
-from .common import partitions, text_of, written
+from .common import one_a_worker, partitions, text_of, written
 
 MAGIC = b"LXWM\x01\0\0\0"
 SHARD_TOKENS = 1 << 22
@@ -160,7 +159,7 @@ class WaveletMatrix:
         return x
 
 
-@lru_cache(maxsize=1)
+@one_a_worker
 def _encoder(path: str) -> bytebpe.Encoder:
     return bytebpe.Encoder(path)
 

@@ -22,13 +22,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import one_a_worker, text_of
 
 SAMPLE = 3_000
 VOCABULARY = 20_000
@@ -174,7 +173,7 @@ class Scorer:
         return 1 - math.exp(clear), len(spans), *spans[worst], 1 / (1 + math.exp(-min(30.0, max(-30.0, sums[worst] + bias))))
 
 
-@lru_cache(maxsize=1)
+@one_a_worker
 def _scorer(broadcast) -> Scorer:
     return Scorer(broadcast.value)
 
