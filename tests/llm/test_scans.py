@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexspan.llm import decontamination, fingerprints, license_scan, quality, toxicity
@@ -60,7 +61,7 @@ def license_texts():
     cut = t[1].split(" ")
     out = [None, "", "...", "under the MIT license", "Under the mit\nLICENSE. under, the mit license", "Apache License, Version 2", "CC-BY-NC cc by nc", "cc by", "under the mit"]
     out += t + [prose(rng, 40) + " " + x + " " + prose(rng, 9) for x in t]
-    out += [" ".join(cut[:10] + ["extra", "words"] + cut[10:30] + cut[33:]), " ".join(cut[:12]), " ".join(cut + cut), " ".join(w if rng.random() > 0.1 else "odd" for w in cut), "Ünder the MIT licenseé under the MIT license"]
+    out += [" ".join(cut[:10] + ["extra", "words"] + cut[10:30] + cut[33:]), " ".join(cut[:12]), " ".join(cut + cut), " ".join(w if rng.random() > 0.1 else "odd" for w in cut), "Ünder the MIT licenseé under the MIT license", t[6].replace("work", "wor\u212a"), t[6].replace("this", "th\u0130s").upper()]
     return out
 
 
@@ -111,15 +112,76 @@ def test_fingerprints_of_odd_rows(odd, spark):
     assert fingerprints.fingerprint_edits(nulls).count() == 3
 
 
+def naive_sketch(text):
+    """Closed syncmers of the text's pieces, chained XXH64 with seed 42 as Spark's hash of several columns."""
+
+    def chained(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed=h)
+        return h
+
+    def signed(x):
+        return x - (x >> 63 << 64)
+
+    if not text:
+        return []
+    units = [chained(w[i : i + 3]) for w in re.findall(r"[^ \t\n\r]+", text) for i in range(0, len(w), 3)]
+    inner = [chained(a, b) for a, b in zip(units, units[1:], strict=False)]
+    found = set()
+    for i in range(len(units) - 4):
+        four = [signed(x) for x in inner[i : i + 4]]
+        if min(four) in (four[0], four[3]):
+            found.add(chained(inner[i], inner[i + 2], units[i + 4]))
+    return sorted({x >> 24 for x in found or units or [chained(text)]})[:64]
+
+
+def naive_likeness(a, b):
+    union = sorted({*a, *b})[:64]
+    return 1.0 if not union else len([x for x in union if x in a and x in b]) / len(union)
+
+
+def test_fingerprints_by_brute_force(spark, documents):
+    from tests.llm.conftest import odd_texts
+
+    texts = [t or "" for t in odd_texts()] + [r.text for r in documents.collect()]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(frame(spark, texts)).collect()}
+    for i, (t, e) in enumerate(zip(texts, edited(texts), strict=True)):
+        own, other, after = naive_sketch(t), naive_sketch(e), naive_sketch(texts[(i + 1) % len(texts)])
+        assert got[i].fingerprint == "".join(f"{x:010x}" for x in own) and got[i].edited_fingerprint == "".join(f"{x:010x}" for x in other)
+        assert (got[i].near_edited, got[i].near_next) == (naive_likeness(own, other), naive_likeness(own, after))
+
+
+def test_fingerprints_move_smoothly_with_length(spark):
+    """A small edit weighs alike at every length: no switch of units."""
+    rng = random.Random(4)
+    text = prose(rng, 300)
+    for n in range(40, 900, 20):
+        assert naive_likeness(naive_sketch(text[:n]), naive_sketch(text[: n + 8])) >= 0.7 - (n < 100) * 0.3
+
+
+def test_ranges_split_one_doc_id(spark):
+    """Rows of one id, of no id and of text ids are dealt over many ranges, and still meet their next row."""
+    rng = random.Random(3)
+    texts = [prose(rng, 12) for _ in range(300)]
+    for doc_id in (7, None, "x"):
+        kind = "string" if doc_id == "x" else "long"
+        docs = spark.createDataFrame([(doc_id, t) for t in texts], f"doc_id {kind}, text string").repartition(4)
+        rows = docs.withColumn("tie", F.xxhash64("text"))
+        assert rows.select(fingerprints._range(rows).alias("range")).distinct().count() > 8
+        order = [r.text for r in rows.orderBy("tie").collect()]
+        want = sorted(hashlib.sha256(e.encode()).hexdigest() for e in edited(order))
+        assert sorted(r.edited_sha256 for r in fingerprints.fingerprint_edits(docs).collect()) == want
 
 
 def test_anchors_are_context_free(spark):
     rng = random.Random(12)
-    passage = prose(rng, 80)
-    a, b = (sorted((r.position, r.hash) for r in fingerprints.anchors(frame(spark, [t])).collect()) for t in (passage, prose(rng, 17) + " " + passage + " " + prose(rng, 5)))
-    inside = {(p - 17, h) for p, h in b}
+    passage, lead = prose(rng, 80), prose(rng, 17)
+    a, b = (sorted((r.position, r.hash) for r in fingerprints.anchors(frame(spark, [t])).collect()) for t in (passage, lead + " " + passage + " " + prose(rng, 5)))
+    pieces = len(re.findall(r"\S{1,3}", lead))
+    inside = {(p - pieces, h) for p, h in b}
     assert a and all(x in inside for x in a)
-    assert 0.3 < len(a) / 76 < 0.7  # two of four inner places choose a k-mer
+    assert 0.3 < len(a) / len(re.findall(r"\S{1,3}", passage)) < 0.7  # two of four inner places choose a k-mer
 
 
 # leaks
