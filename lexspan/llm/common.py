@@ -8,6 +8,7 @@ from functools import lru_cache, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
 from ..binding import known_to_workers
 
@@ -25,8 +26,14 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset, local runs get one of their own and
+    clusters an error, as no folder of the driver's machine would do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = _own_folder()
+    return named.rstrip("/")
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -46,11 +53,34 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+_broadcasts: list = []
+
+
+def released(spark: SparkSession, *fresh) -> None:
+    """Notes an operator's broadcasts; those of the operators before it leave the executors.
+
+    Only their copies go: what still reads one, gets it from the driver again.
+    """
+    for old in _broadcasts:
+        old.unpersist()
+    _broadcasts[:] = fresh
+
+
 def text_of(df: DataFrame) -> Column:
     """The text, null counting as empty."""
     return F.coalesce(df["text"].cast("string"), F.lit(""))
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names hold."""
+    return [df["`" + name.replace("`", "``") + "`"] for name in df.columns]
+
+
+def schema_of(**fields) -> StructType:
+    """A schema of the named fields; types by Spark's data types or their SQL names."""
+    return StructType([StructField(name, kind if isinstance(kind, DataType) else _parse_datatype_string(kind)) for name, kind in fields.items()])
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Tells rows apart that share a doc_id (or have none) but differ in text; equal rows get equal results anyway."""
     return F.xxhash64(doc_id, text)
@@ -63,6 +93,20 @@ def partitions(spark: SparkSession) -> int:
 _held: list = [None, None]
 
 
+def _trimmed() -> None:
+    """Gives memory that nothing holds back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def one_a_worker(make):
     """make(*args), kept until any function so marked is asked for something else.
 
@@ -75,6 +119,7 @@ def one_a_worker(make):
         key = (make.__module__, make.__name__, args)
         if _held[0] != key:
             _held[:] = None, None
+            _trimmed()
             _held[:] = key, make(*args)
         return _held[1]
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_parts, one_a_worker, text_of, written
+from .common import in_parts, known_to_workers, one_a_worker, own_columns, released, schema_of, text_of, written
 
 BUCKETS = 1 << 16
 TARGET = 20_000
@@ -80,6 +80,7 @@ def models(docs: DataFrame, labels: DataFrame):
     """
     import numpy as np
 
+    known_to_workers(docs.sparkSession)
     picked = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET)
     picked = picked.withColumn("target", F.lit(True))
     rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id", "left").select("text", F.col("target").isNotNull().alias("target"))
@@ -105,8 +106,9 @@ def models(docs: DataFrame, labels: DataFrame):
 def weighed(docs: DataFrame, ratio) -> DataFrame:
     """row (a struct of docs' columns), log_weight, n_features, score (log weight plus noise) and rank (a long in the order of score)."""
     ratios = docs.sparkSession.sparkContext.broadcast(ratio)
+    released(docs.sparkSession, ratios)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), docs["doc_id"], text_of(docs)), 11) + 0.5) / float(1 << 53)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text_of(docs).alias("text"), (-F.log(-F.log(uniform))).alias("noise"))
+    rows = docs.select(F.struct(*own_columns(docs)).alias("row"), text_of(docs).alias("text"), (-F.log(-F.log(uniform))).alias("noise"))
 
     def weigh(batches):
         import numpy as np
@@ -123,7 +125,7 @@ def weighed(docs: DataFrame, ratio) -> DataFrame:
             rank = np.where(bits < 0, np.int64(-(2**63)) - bits - 1, bits)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(w), pa.array(n, pa.int64()), pa.array(score), pa.array(rank)], names=["row", "log_weight", "n_features", "score", "rank"])
 
-    return rows.mapInArrow(weigh, f"row {rows.schema['row'].dataType.simpleString()}, log_weight double, n_features long, score double, rank long")
+    return rows.mapInArrow(weigh, schema_of(row=rows.schema["row"].dataType, log_weight="double", n_features="long", score="double", rank="long"))
 
 
 def kth_largest(ranks: DataFrame, k: int) -> int:

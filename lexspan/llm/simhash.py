@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, row_key, text_of, written
+from .common import own_columns, partitions, row_key, text_of, written
 from .graph import components, local_components
 
 RADIUS = 2
@@ -268,7 +268,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     roots = components(links(least.select("fp")))
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "least")
     first = rooted.groupBy("root").agg(F.min("least").alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
-    packed = docs.select(docs["doc_id"].alias("own_id"), tie.alias("own_tie"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    packed = docs.select(docs["doc_id"].alias("own_id"), tie.alias("own_tie"), F.struct(*own_columns(docs)).alias("row"))
     kept = packed.join(first, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_tie") == F.col("first_tie")), "left_semi")
     return kept.dropDuplicates(["own_id", "own_tie"]).select("row.*")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytebpe
-from .common import one_a_worker, text_of
+from .common import known_to_workers, one_a_worker, released, text_of
 
 KEPT = 1 << 16
 LIMIT = 1024
@@ -73,6 +73,7 @@ def _counter(path: str, frequent) -> bytebpe.Counter:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs(doc_id, text)."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer))
+    released(docs.sparkSession, frequent)
 
     def counted(batches):
         count = _counter(tokenizer, frequent)

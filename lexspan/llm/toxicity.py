@@ -8,7 +8,7 @@ from each feature's own log-odds and are held near them: a word that only toxic
 other words of those documents would explain the labels too.
 
 The model is fitted on a bounded sample: at most SAMPLE labelled documents of each label, those of the smallest hash of
-doc_id, only from rows with crc32(doc_id as text) mod 5 other than 0; each label is weighted back to its share among all
+doc_id, and at most SAMPLE_BYTES of their texts, only from rows with crc32(doc_id as text) mod 5 other than 0; each label is weighted back to its share among all
 labelled rows. Its inputs are words of the text only.
 
 Defined cases: null and empty texts, and texts without words, score the model's value of one empty sentence; labels of
@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_a_worker, text_of
+from .common import dropped, known_to_workers, one_a_worker, released, text_of, written
 
 SAMPLE = 3_000
+SAMPLE_BYTES = 64 << 20
 VOCABULARY = 20_000
 LEAST_DOCUMENTS = 4
 Z = 5.0
@@ -141,15 +142,28 @@ class Weights(dict):
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> dict:
-    """The model, from a bounded sample of labelled rows that are not held out."""
+    """The model, from a bounded sample of labelled rows that are not held out: SAMPLE different texts a label, SAMPLE_BYTES
+    in all (whole texts; those of the smallest hashes)."""
+    spark = docs.sparkSession
+    known_to_workers(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {int(r["toxic"]): r["count"] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
     sample = picked[0].union(picked[1])
-    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toArrow()
-    distinct = dict(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), strict=True))  # copies are one piece of evidence
-    return fit(list(distinct), list(distinct.values()), share)
+    text = text_of(docs)
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(sample), "doc_id").groupBy("hash").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    rows, place = written(spark, rows, "labelled")  # a text a row: copies are one piece of evidence
+    sizes = [r for k in (0, 1) for r in rows.filter(F.col("toxic") == k).select("hash", F.octet_length("text").alias("size")).orderBy("hash").limit(SAMPLE).collect()]
+    held, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["hash"]):
+        total += r["size"]
+        if held and total > SAMPLE_BYTES:
+            break
+        held.append((r["hash"],))
+    found = rows.join(F.broadcast(spark.createDataFrame(held, "hash long")), "hash").select("text", "toxic").orderBy("hash").collect()
+    dropped(spark, place)
+    return fit([r["text"] for r in found], [int(r["toxic"]) for r in found], share)
 
 
 class Scorer:
@@ -181,6 +195,7 @@ def _scorer(broadcast) -> Scorer:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences, worst_begin, worst_end (code points), worst_score of every row."""
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    released(docs.sparkSession, model)
     rows = docs.select("doc_id", text_of(docs).alias("text"), held_out(docs["doc_id"]).alias("held_out"))
 
     def scored(batches):
