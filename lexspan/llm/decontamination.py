@@ -3,13 +3,12 @@
 Texts are lower-cased words; an item of n words is compared with every window of n words of a document. A window's
 weighted shingles (WORDS words each, weighted by how often they stand there) are summed into a SimHash of 64 bits. The
 items' fingerprints are indexed by BLOCKS blocks of bits: a fingerprint within RADIUS differs from the item's in at most
-RADIUS // BLOCKS bits of some block (pigeonhole), so looking up all near values of every block yields every fingerprint
-within the radius. What the index yields is verified: weighted Jaccard similarity of the shingles of at least SIMILARITY.
+RADIUS // BLOCKS bits of some block (pigeonhole), so looking up all near values of every block of a window's fingerprint
+proposes every item within the radius, and no others are looked at. What the blocks propose is verified: weighted Jaccard
+similarity of the shingles of at least SIMILARITY.
 
-Windows that share no shingle with any item have similarity 0 with all of them and are skipped before hashing: a window
-is looked at only if it holds a shingle of an item of its size. This loses nothing that verification would keep.
-
-Items are broadcast in blocks of at most ITEMS_BYTES of text (their sizes are measured); every block meets all rows.
+Windows that can't reach SIMILARITY with any item are skipped before hashing: those in which too few places hold a shingle
+of any item of their size. This loses nothing that verification would keep.
 
 Defined cases: null and empty texts match nothing; items of fewer than WORDS words have one shingle of all their words,
 items without words none and are ignored; null item_ids are items like others; documents shorter than an item are
@@ -20,6 +19,7 @@ columns are ignored by leaks() and carried by clean().
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import lru_cache
 from itertools import combinations
@@ -27,8 +27,9 @@ from itertools import combinations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import one_a_worker, text_of
+from .common import known_to_workers, one_a_worker, own_columns, released, schema_of, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -73,77 +74,83 @@ def simhash(weights: Counter) -> int:
 
 
 class Index:
-    """Items by the blocks of their fingerprints and by their shingles."""
+    """Items by their size and the blocks of their fingerprints; and which shingles items of a size hold."""
 
     def __init__(self, items: list[tuple]):
         self.items = []
-        self.of_shingle: dict[tuple, list[int]] = defaultdict(list)
-        self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
-        width, self.firsts = 64 // BLOCKS, set()
-        masks = [sum(1 << i for i in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(width), k)]
+        self.sizes: dict[tuple, set[int]] = defaultdict(set)
+        self.blocks: list[dict[tuple, list[int]]] = [defaultdict(list) for _ in range(BLOCKS)]
+        self.width = 64 // BLOCKS
+        self.masks = [sum(1 << i for i in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(self.width), k)]
         for item_id, text in items:
             found = words(text or "")
             weights = shingles(found)
             if not weights:
                 continue
             n, code = len(self.items), simhash(weights)
-            self.items.append((item_id, len(found), weights, code))
+            self.items.append((item_id, weights, code))
             for s in weights:
-                self.of_shingle[s].append(n)
-            for b, table in enumerate(self.blocks):
-                value = code >> b * width & (1 << width) - 1
-                for m in masks:
-                    table[value ^ m].append(n)
-        self.short = any(len(s) < WORDS for s in self.of_shingle)
-        #: word -> number, 0 of no word of an item: a cheap first look at a text
-        self.vocabulary = {w: 1 for s in self.of_shingle for w in s}
-
-    def near(self, code: int) -> set[int]:
-        """Items whose fingerprints lie within RADIUS of code."""
-        width = 64 // BLOCKS
-        found = {n for b, table in enumerate(self.blocks) for n in table.get(code >> b * width & (1 << width) - 1, ())}
-        return {n for n in found if (self.items[n][3] ^ code).bit_count() <= RADIUS}
+                self.sizes[s].add(len(found))
+            for table, value in zip(self.blocks, self._values(code), strict=True):
+                table[len(found), value].append(n)
+        self.short = any(len(s) < WORDS for s in self.sizes)
+        #: the words of all items: a cheap first look at a text
+        self.vocabulary = {w for s in self.sizes for w in s}
+
+    def _values(self, code: int) -> list[int]:
+        return [code >> b * self.width & (1 << self.width) - 1 for b in range(BLOCKS)]
+
+    def near(self, code: int, size: int) -> list[int]:
+        """Items of a size whose fingerprints lie within RADIUS of code."""
+        found = set()
+        for table, value in zip(self.blocks, self._values(code), strict=True):
+            for m in self.masks:
+                found.update(table.get((size, value ^ m), ()))
+        return [n for n in found if (self.items[n][2] ^ code).bit_count() <= RADIUS]
 
     def places(self, found: list[str]) -> dict[int, list[int]]:
-        """item -> places in found where one of its shingles begins."""
+        """size -> places in found (ascending) where a shingle of an item of that size begins."""
         out: dict[int, list[int]] = defaultdict(list)
-        run, known = 0, self.vocabulary
+        run, known, sizes = 0, self.vocabulary, self.sizes
         for i, w in enumerate(found):
             if w not in known:
                 run = 0
                 continue
             run += 1
             if run >= WORDS:
-                for n in self.of_shingle.get(tuple(found[i - WORDS + 1 : i + 1]), ()):
-                    out[n].append(i - WORDS + 1)
+                for size in sizes.get(tuple(found[i - WORDS + 1 : i + 1]), ()):
+                    out[size].append(i - WORDS + 1)
             if self.short:
                 for k in range(1, min(run, WORDS - 1) + 1):
-                    for n in self.of_shingle.get(tuple(found[i - k + 1 : i + 1]), ()):
-                        out[n].append(i - k + 1)
+                    for size in sizes.get(tuple(found[i - k + 1 : i + 1]), ()):
+                        out[size].append(i - k + 1)
+        return out
+
+    def starts(self, places: list[int], size: int, n: int) -> list[int]:
+        """Starts of the windows of a text of n words that hold enough of places for SIMILARITY."""
+        own, window = max(1, size - WORDS + 1), max(1, min(size, n) - WORDS + 1)
+        least = SIMILARITY / (1 + SIMILARITY) * (own + window) - 1e-9
+        last, out = max(0, n - size), []
+        for i, p in enumerate(places):  # windows that begin after the place before and at most at this one
+            for s in range(max(places[i - 1] + 1 if i else 0, p - window + 1), min(p, last) + 1):
+                if bisect_left(places, s + window, i) - i >= least:
+                    out.append(s)
         return out
 
     def matches(self, text: str) -> list[tuple]:
         """(item_id, first word, number of words, distance, similarity) of each item's best window of the text."""
         found = words(text)
-        out = []
-        for n, places in self.places(found).items():
-            item_id, size, weights, code = self.items[n]
-            span = max(1, size - WORDS + 1)
-            last = max(0, len(found) - size)
-            starts = sorted({s for p in places for s in range(max(0, p - span + 1), min(p, last) + 1)})
-            best = None
-            for s in starts:
+        best: dict[int, tuple] = {}
+        for size, places in self.places(found).items():
+            for s in self.starts(places, size, len(found)):
                 window = shingles(found[s : s + size])
-                if sum(min(k, weights[x]) for x, k in window.items() if x in weights) * 2 < SIMILARITY * weights.total():
-                    continue  # too few shared shingles for any window's similarity to reach the least
-                seen = simhash(window)
-                if n in self.near(seen):
+                code = simhash(window)
+                for n in self.near(code, size):
+                    item_id, weights, own = self.items[n]
                     j = weighted_jaccard(window, weights)
-                    if j >= SIMILARITY and (best is None or j > best[4]):
-                        best = (item_id, s, len(found[s : s + size]), (seen ^ code).bit_count(), j)
-            if best:
-                out.append(best)
-        return out
+                    if j >= SIMILARITY and (n not in best or j > best[n][4]):
+                        best[n] = (item_id, s, len(found[s : s + size]), (code ^ own).bit_count(), j)
+        return [best[n] for n in sorted(best)]
 
 
 @one_a_worker
@@ -166,41 +173,42 @@ def _blocks(items: DataFrame):
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, distance, similarity): the best window of each item that a document holds."""
-    spark = docs.sparkSession
-    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, first_word int, n_words int, distance int, similarity double"
+    spark, out, shares = docs.sparkSession, None, []
+    known_to_workers(spark)
     rows = docs.select("doc_id", text_of(docs).alias("text"))
-    out = spark.createDataFrame([], schema)
+    schema = schema_of(doc_id=docs.schema["doc_id"].dataType, item_id=items.schema["item_id"].dataType, first_word="int", n_words="int", distance="int", similarity="double")
+    kinds = to_arrow_schema(schema)
     for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+        shares.append(shared := spark.sparkContext.broadcast(block))
 
         def scan(batches, shared=shared):
             index = _index(shared)
             for batch in batches:
-                ids = batch.column("doc_id")
                 found = [(at, *m) for at, text in enumerate(batch.column("text").to_pylist()) for m in index.matches(text)]
                 at, *rest = zip(*found, strict=True) if found else [()] * 6
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(at, pa.int64())), "item_id": list(rest[0]), "first_word": list(rest[1]), "n_words": list(rest[2]), "distance": list(rest[3]), "similarity": list(rest[4])}, schema=pa.schema([("doc_id", ids.type), ("item_id", _arrow(item_type)), ("first_word", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32()), ("similarity", pa.float64())]))
-
-        out = out.unionByName(rows.mapInArrow(scan, schema))
-    return out
-
+                columns = [batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, f.type) for x, f in zip(rest, list(kinds)[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=kinds.names)
 
-def _arrow(simple: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
+        part = rows.mapInArrow(scan, schema)
+        out = part if out is None else out.unionByName(part)
+    released(spark, *shares)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the rows that hold an item of the benchmark; all columns as they are, nothing is shuffled."""
-    spark, names = docs.sparkSession, docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    spark, shares = docs.sparkSession, []
+    known_to_workers(spark)
+    rows = docs.select(F.struct(*own_columns(docs)).alias("row"), text_of(docs).alias("text"))
+    schema = rows.schema
     for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(block)
+        shares.append(shared := spark.sparkContext.broadcast(block))
 
         def keep(batches, shared=shared):
             index = _index(shared)
             for batch in batches:
-                yield batch.filter(pa.array([not index.matches(t or "") for t in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.select(*names).mapInArrow(keep, schema)
-    return docs
+        rows = rows.mapInArrow(keep, schema)
+    released(spark, *shares)
+    return rows.select("row.*")

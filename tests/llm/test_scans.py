@@ -223,17 +223,45 @@ def test_leaks(spark, clashing, monkeypatch, block):
     assert got == want
     kept = decontamination.clean(clashing(docs), items)
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _, _ in want} and kept.columns == clashing(docs).columns
+    named = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text", F.lit(1).alias("a.b"), F.struct(F.lit(2).alias("c d")).alias("e-f"))
+    assert decontamination.clean(named, items).columns == named.columns and decontamination.clean(named, items).count() == kept.count()
+    assert decontamination.leaks(named, items).count() == len(want)
     assert decontamination.leaks(docs.limit(0), items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
 def test_index_finds_all_near_codes():
     rng = random.Random(2)
     index = decontamination.Index([(i, prose(rng, 30)) for i in range(30)])
-    for n, (_, _, _, code) in enumerate(index.items):
+    for n, (_, _, code) in enumerate(index.items):
         for k in (0, 1, 7, decontamination.RADIUS):
             off = sum(1 << b for b in rng.sample(range(64), k))
-            assert n in index.near(code ^ off)
-        assert n not in index.near(code ^ (1 << decontamination.RADIUS + 1) - 1)
+            assert n in index.near(code ^ off, 30) and n not in index.near(code ^ off, 31)
+        assert n not in index.near(code ^ (1 << decontamination.RADIUS + 1) - 1, 30)
+
+
+def test_only_the_blocks_propose():
+    rng = random.Random(6)
+    item = prose(rng, 30)
+    index = decontamination.Index([(0, item)])
+    text = prose(rng, 50) + " " + item + " " + prose(rng, 50)
+    assert [m[0] for m in index.matches(text)] == [0]
+    for table in index.blocks:
+        table.clear()
+    assert index.matches(text) == []
+
+
+def test_the_radius_loses_hardly_any_window():
+    """Recall of the fingerprints against all windows of similarity 0.8, with edits of every size and short items."""
+    rng, true, found = random.Random(9), 0, 0
+    for k in range(400):
+        item = prose(rng, 8 + k % 50)
+        w = item.split(" ")
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = "changed"
+        text = prose(rng, 20) + " " + " ".join(w) + " " + prose(rng, 20)
+        true += len(naive_leaks(text, [(0, item)]))
+        found += len(decontamination.Index([(0, item)]).matches(text))
+    assert true > 150 and found >= 0.99 * true
 
 
 # quality
@@ -252,6 +280,8 @@ def test_quality_keeps_good_text(spark, clashing):
     kept = {r.doc_id for r in quality.selection(clashing(docs), labels).collect()}
     good = {i for i in range(400) if i % 4}
     assert len(kept & good) > 0.97 * len(good) and len(kept - good) < 0.1 * (400 - len(good))
+    named = docs.withColumn("a.b", F.lit(1)).withColumn("c d", F.struct(F.lit(2).alias("e-f")))
+    assert quality.resampled(named, labels).columns == named.columns and quality.resampled(named, labels).count() == len(kept)
     out = quality.resampled(clashing(docs), labels)
     assert out.columns == clashing(docs).columns and {r.doc_id for r in out.collect()} == kept
 
