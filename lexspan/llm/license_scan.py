@@ -15,7 +15,7 @@ row (rows are told apart by doc_id, null as well, and text); an empty table give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, text_of, written
@@ -56,19 +56,26 @@ def templates(spark: SparkSession) -> DataFrame:
     return rows.withColumn("gram", F.xxhash64("w0", "w1", "w2"))
 
 
+def _lowered(text: Column) -> Column:
+    """lower() is the same as lowering A-Z here: the two other letters that it takes into ASCII are replaced beforehand by
+    ones that stay outside (no template holds either), and nothing else outside ASCII can equal a template's word."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131")))
+
+
 def _words(docs: DataFrame) -> DataFrame:
-    """lower() differs from lowering A-Z alone outside ASCII only, where no template has letters and nothing separates."""
     text = text_of(docs)
-    return docs.select("doc_id", row_key(docs["doc_id"], text).alias("key"), F.array_remove(F.split(F.lower(text), SEPARATORS), "").alias("words"))
+    return docs.select("doc_id", row_key(docs["doc_id"], text).alias("key"), F.array_remove(F.split(_lowered(text), SEPARATORS), "").alias("words"))
 
 
 def votes(docs: DataFrame) -> DataFrame:
     """(doc_id, key, template.., diagonal, places): the template places that hit on each diagonal."""
     known = templates(docs.sparkSession)
     w = F.col("words")
-    grams = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    every = _words(docs).select("doc_id", "key", "words", F.posexplode(grams).alias("pos", "gram"))
-    hits = every.join(F.broadcast(known), "gram").filter((F.get(w, F.col("pos")) == F.col("w0")) & (F.get(w, F.col("pos") + 1) == F.col("w1")) & (F.get(w, F.col("pos") + 2) == F.col("w2")))
+    # a row a gram, of its own three words only: the text's array of words does not travel with it
+    grams = F.transform(w, lambda x, i: F.struct(i.alias("pos"), x.alias("x0"), F.get(w, i + 1).alias("x1"), F.get(w, i + 2).alias("x2")))
+    every = _words(docs).select("doc_id", "key", F.explode(grams).alias("g")).select("doc_id", "key", "g.*")
+    every = every.withColumn("gram", F.xxhash64("x0", "x1", "x2"))
+    hits = every.join(F.broadcast(known), "gram").filter("x0 = w0 AND x1 = w1 AND x2 = w2")
     return hits.groupBy("doc_id", "key", "template", "base", "label", "grams", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
 
 
