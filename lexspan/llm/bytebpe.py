@@ -150,7 +150,7 @@ class Encoder:
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         code = "H" if self.width == 2 else "I"
         self.narrow = lambda ids: np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes()
-        self.core = core(path)
+        self.core, self.leads = core(path), None
         if sys.byteorder != "little":
             raise RuntimeError("the file format is little-endian")
         self.value = lambda ids: array(code, ids).tobytes()
@@ -177,3 +177,84 @@ class Encoder:
             except _Unsafe:
                 pass
         return self.value(self.tok.encode(text, add_special_tokens=False).ids)
+
+    def batch(self, texts, end_id: int):
+        """The ids of all texts (an Arrow array of strings), end_id after each, as one array, and each text's number of
+        them. Every distinct piece of the batch is encoded once; the pieces' ids are put together as they stand."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kind, n = np.dtype(f"<u{self.width}"), len(texts)
+        end = np.array([end_id], kind).tobytes()
+        alone = np.array([not _latin1(t) or any(s in t for s in self.special) for t in texts.to_pylist()], bool)
+        if not self.core or alone.all():
+            blobs = [self(t) + end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(blobs), kind), np.array([len(b) // self.width for b in blobs], np.int64)
+        parts = pc.split_pattern(pc.if_else(pa.array(alone), "", texts), " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        offsets, coded = offsets - offsets[0], parts.flatten().dictionary_encode()
+        distinct, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        sound = np.array([safe(p) for p in distinct], bool)
+        first = offsets[:-1]
+        unsafe = ~sound[index]
+        unsafe[first] = False  # a text's first piece has no space before it
+        alone |= np.logical_or.reduceat(unsafe, first)
+        got = self._led([p for p, ok in zip(distinct, sound.tolist(), strict=True) if ok])
+        plain, odd = np.flatnonzero(~alone), np.flatnonzero(alone)
+        heads = [self.pieces.head(p) if p else b"" for p in map(distinct.__getitem__, index[first[plain]].tolist())]
+        whole = [self(texts[k].as_py()) for k in odd.tolist()]
+        # values: the distinct pieces' ids, the first pieces', the odd texts', nothing, the end id
+        tail = [*heads, *whole, b"", end]
+        size = np.zeros(len(distinct) + len(tail), np.int64)
+        size[np.flatnonzero(sound)] = got[1]
+        size[len(distinct) :] = [len(b) // self.width for b in tail]
+        flat = got[0].astype(kind).tobytes() + b"".join(tail)
+        ends = np.concatenate(([0], np.cumsum(size * self.width))).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        # every text's values: its pieces, the end id
+        word = np.empty(len(index) + n, np.int32)
+        last = offsets[1:] + np.arange(n)
+        own = np.ones(len(word), bool)
+        own[last] = False
+        word[own] = index
+        word[last] = len(size) - 1
+        begin = first + np.arange(n)
+        for k in odd.tolist():
+            word[begin[k] : last[k]] = len(size) - 2
+        word[begin[plain]] = len(distinct) + np.arange(len(plain))
+        word[begin[odd]] = len(distinct) + len(plain) + np.arange(len(odd))
+        data = values.take(pa.array(word)).buffers()[2]
+        each = np.add.reduceat(size[word], begin)
+        return np.frombuffer(data, kind, int(each.sum())), each
+
+    def _led(self, pieces: list[str]):
+        """The ids of each piece (safe ones) with a space before it, one after another, and their numbers: one call of the
+        core, as a token that begins with a space begins a piece."""
+        import numpy as np
+
+        if self.leads is None:
+            texts = self.core.token_byte_values()
+            self.leads = np.zeros(self.tok.get_vocab_size(), bool)
+            self.leads[[self.core.encode_single_token(t) for t in texts if t[:1] == b" "]] = True
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.frombuffer(self.core.encode_to_tiktoken_buffer(" " + " ".join(pieces), set()), "<u4")
+        at = np.flatnonzero(self.leads[ids])
+        if len(at) != len(pieces):
+            raise AssertionError("a piece begins with its space, and holds no other")
+        return ids, np.diff(np.append(at, len(ids)))
+
+
+def in_bytes(batch, most: int):
+    """The same rows (with a column text) in batches of at most `most` bytes of text, or of one row."""
+    import numpy as np
+
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
