@@ -12,6 +12,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lexspan.llm import simhash, suffix_dedup
 from tests.llm.conftest import SCHEMA, prose
 
@@ -65,6 +67,46 @@ def test_repeated_bytes(spark, clashing, monkeypatch, hot):
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(wanted(texts)))
 
 
+def test_repeats_are_read_from_the_arrays():
+    """rim_order against comparing all strings of all rims, on rims of few letters that agree to all depths."""
+    rng, repeats = random.Random(14), 0
+    for _ in range(30):
+        word, before, more, raw = [], [], [], []
+        for g in range(5):
+            trigger = bytes(rng.choice(b"xy") for _ in range(65))
+            stems = [bytes(rng.choice(b"ab\x00\xf4") for _ in range(136)) for _ in range(2)]
+            tails = [bytes(rng.choice(b"cd\x00\xf4") for _ in range(136)) for _ in range(2)]
+            for _ in range(rng.randrange(1, 9)):
+                stem, tail = bytearray(rng.choice(stems)), bytearray(rng.choice(tails))
+                for part in (stem, tail):
+                    if rng.random() < 0.7:
+                        part[rng.randrange(136)] = 99
+                t = rng.randrange(136)
+                m = rng.randrange(t + 1)
+                word.append(g), before.append(t), more.append(m)
+                raw.append(bytes(stem[136 - t :]) + trigger + bytes(tail[: 135 - t + m]))
+        strings = Counter((g, t - i, r[i : i + 200]) for g, t, m, r in zip(word, before, more, raw, strict=True) for i in range(m + 1))
+        want = []
+        for g, t, m, r in zip(word, before, more, raw, strict=True):
+            hits = [i for i in range(m + 1) if strings[g, t - i, r[i : i + 200]] > 1]
+            want.append((min(hits, default=-1), max(hits, default=-1)))
+        first, last = suffix_dedup.rim_order(np.array(word), np.array(before), np.array(more), raw)
+        assert list(zip(first.tolist(), last.tolist(), strict=True)) == want
+        repeats += sum(b >= 0 for _, b in want)
+    assert repeats > 100
+
+
+def test_many_texts_of_one_id_and_any_columns(spark):
+    rng = random.Random(17)
+    shared = prose(rng, 60)
+    texts = [f"{k} " + (shared if k % 3 == 0 else prose(rng, 60)) for k in range(300)]
+    docs = frame(spark, texts, [4] * len(texts)).withColumn("a.b", F.lit(1)).withColumn("c d", F.struct(F.lit(2).alias("e-f")))
+    got = Counter(tuple(r) for r in suffix_dedup.dedup_digests(docs).collect())
+    assert got == Counter((4, *w) for w in wanted(texts))
+    out, first = suffix_dedup.dedup_texts(docs), simhash.first_of_each(docs)
+    assert out.columns == docs.columns == first.columns and out.count() == len(texts) and 1 <= first.count() <= len(texts)
+
+
 def test_repeated_rows_and_null_ids(spark):
     rng = random.Random(9)
     one, two, three = (prose(rng, 80) for _ in range(3))
