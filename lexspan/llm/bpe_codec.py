@@ -2,14 +2,16 @@
 
 1. Every document is split into words (runs between ASCII white space; one comma or full stop after an ASCII letter is
    a word of its own, and ASCII words are lower-cased, as the tokenizer does itself). No word's encoding depends on its
-   neighbours: the tokenizer drops white space and never joins across it.
+   neighbours: the tokenizer drops white space and never joins across it. A tokenizer of other rules is refused.
 2. The distinct words with their counts are one Spark aggregation (counted map-side first); each is encoded once.
 3. The ids are joined back by position. The table's size is measured: up to HOT_BYTES it is broadcast as sorted arrays
-   (96 bits of hash, offsets, ids) and joined map-side. A larger table is cut at a word count: the words above it are
-   broadcast, all rarer ones are joined by word over (document, position) rows, and meet the text again by document.
-   The rarer words are by construction no hot keys.
-4. Decoding joins ids to the tokenizer's id-to-piece table (as large as the vocabulary, so broadcast). The tokenizer
-   has no decoder, so its text is the pieces with spaces between.
+   (96 bits of hash, ends, ids) and joined map-side, a batch's distinct words at a time. A larger table is cut at a word
+   count: the words above it are broadcast, all rarer ones are joined by word over (document, position) rows, and meet the
+   text again by document. The rarer words are by construction no hot keys.
+4. Decoding joins ids with the tokenizer's id-to-piece table (as large as the vocabulary, so broadcast) and puts the
+   pieces together by position; the tokenizer has no decoder, so its text is the pieces with spaces between. decoded()
+   is that join in DataFrames, for ids in any table. encode_digests() makes it map-side in the worker that holds the ids:
+   the key is dense, so the broadcast side is an array and its rows are taken by id.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; special tokens' strings in a text are
 their one id, as the library does by default; every input row gives one row, with repeated rows and null doc_ids; an
@@ -19,71 +21,94 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import load
-from .common import one_a_worker, row_key, text_of, written
+from .bytebpe import in_bytes, load
+from .common import known_to_workers, one_a_worker, released, row_key, schema_of, text_of, written
 
 HOT_BYTES = 96 << 20
-ENTRY_BYTES = 20
-MEMO = 300_000
-FLUSH = 1_000_000
-
-
-def chunks(text: str) -> list[str]:
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-
-def words(chunk: str) -> tuple[str, ...]:
-    """The words of a run between white space; none of an empty one."""
-    if not chunk:
-        return ()
-    tail = ()
-    if chunk[-1] in ",." and len(chunk) > 1 and chunk[-2].isascii() and chunk[-2].isalpha():
-        chunk, tail = chunk[:-1], (chunk[-1],)
-    return (chunk.lower() if chunk.isascii() and "<|" not in chunk else chunk, *tail)
-
-
-def _hashes(found: list[str]):
+ENTRY_BYTES = 16
+BATCH_BYTES = 8 << 20
+#: The tokenizer's rules that Split relies on.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def verified(path: str) -> str:
+    """path, if the tokenizer there has the rules that make a text the sequence of its words; ValueError if not."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers") or [{}]
+    split = steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+    later = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex", True) for x in steps[1:])
+    marks = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"])
+    if (spec.get("normalizer") or {}).get("normalizers") != NORMALIZERS or not (split and later) or spec.get("decoder") or spec["model"].get("dropout") or marks:
+        raise ValueError(f"{path}: its words are not independent in the way this operator needs")
+    return path
+
+
+class Split:
+    """The words of texts (an Arrow array of strings): the distinct ones, which of them stands at each place, and where
+    each text's places begin (and end)."""
+
+    def __init__(self, texts):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        parts = pc.ascii_split_whitespace(texts)
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        runs = coded.dictionary.cast(pa.binary())
+        tail = pc.and_(pc.is_in(pc.binary_slice(runs, -1), pa.array([b",", b"."])), pc.is_in(pc.binary_slice(runs, -2, -1), _LETTERS))
+        head = pc.if_else(tail, pc.binary_slice(runs, 0, -1), runs).cast(pa.string())
+        lower = pc.and_(pc.string_is_ascii(head), pc.invert(pc.match_substring(head, "<|")))
+        heads = pc.if_else(lower, pc.ascii_lower(head), head).dictionary_encode()
+        self.words = pa.concat_arrays([heads.dictionary, pa.array([",", "."])])
+        tail, some = np.asarray(tail, bool), pc.binary_length(runs).to_numpy() > 0
+        ends = np.cumsum(some.astype(np.int32) + tail, dtype=np.int32)
+        flat = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        flat[ends[tail] - 1] = len(heads.dictionary) + np.asarray(pc.equal(pc.binary_slice(runs, -1), b"."), bool)[tail]
+        flat[(ends - 1 - tail)[some]] = heads.indices.to_numpy()[some]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), pa.array(flat)).take(coded.indices)
+        self.at = lists.flatten().to_numpy()
+        self.begin = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))[offsets - offsets[0]]
+
+
+_LETTERS = pa.array([bytes([c]) for c in range(128) if chr(c).isalpha()])
+
+
+def _hashes(found: list[bytes]):
     import numpy as np
     from xxhash import xxh64_intdigest
 
     return np.array([xxh64_intdigest(w) for w in found], np.uint64)
 
 
-def _checks(found: list[str]):
+def _checks(found: list[bytes]):
     import numpy as np
     from zlib import crc32
 
-    return np.array([crc32(w.encode()) for w in found], np.uint32)
+    return np.array([crc32(w) for w in found], np.uint32)
 
 
 def distinct_words(docs: DataFrame) -> DataFrame:
     """word, n: each distinct word of docs(text) and how often it stands there."""
 
     def counted(batches):
-        tally: Counter = Counter()
-
-        def out():
-            both = pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], names=["word", "n"])
-            tally.clear()
-            return both
+        import numpy as np
 
         for batch in batches:
-            raw: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                raw.update(chunks(text))
-            for chunk, n in raw.items():
-                for word in words(chunk):
-                    tally[word] += n
-            if len(tally) > FLUSH:
-                yield out()
-        yield out()
+            for part in in_bytes(batch, BATCH_BYTES):
+                split = Split(part.column("text"))
+                n = np.bincount(split.at, minlength=len(split.words))
+                yield pa.RecordBatch.from_arrays([split.words, pa.array(n)], names=["word", "n"]).filter(pa.array(n > 0))
 
+    known_to_workers(docs.sparkSession)
     return docs.select(text_of(docs).alias("text")).mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -93,7 +118,7 @@ def _tokenizer(path: str):
 
 
 def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:
-    """word, n, ids (little-endian u32), hash, second (96 bits that tell words apart) of each distinct word, encoded once."""
+    """word, n, ids (array<int>), hash, second (96 bits that tell words apart) of each distinct word, encoded once."""
 
     def coded(batches):
         import numpy as np
@@ -102,76 +127,94 @@ def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                found = part.column("word").to_pylist()
-                ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(found, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.binary()), pa.array(_hashes(found).view(np.int64)), pa.array(_checks(found).astype(np.int64))], names=["word", "n", "ids", "hash", "second"])
+                found, raw = part.column("word").to_pylist(), part.column("word").cast(pa.binary()).to_pylist()
+                ids = [e.ids for e in tok.encode_batch_fast(found, add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.list_(pa.int32())), pa.array(_hashes(raw).view(np.int64)), pa.array(_checks(raw).astype(np.int64))], names=["word", "n", "ids", "hash", "second"])
+
+    return distinct.mapInArrow(coded, "word string, n long, ids array<int>, hash long, second long")
+
+
+def id_to_piece(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """id, piece: the tokenizer's vocabulary with its added tokens."""
+    tok = load(tokenizer)
+    return spark.createDataFrame([(i, tok.id_to_token(i) or "") for i in range(tok.get_vocab_size())], "id int, piece string")
+
+
+def decoded(table: DataFrame, key: list[str], tokenizer: str) -> DataFrame:
+    """table(key.., ids) with decoded: the ids' pieces, joined by id and put together by position; none of no ids."""
+    at = table.select(*key, F.posexplode("ids").alias("at", "id"))
+    pieces = at.join(F.broadcast(id_to_piece(table.sparkSession, tokenizer)), "id")
+    whole = pieces.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
+    return whole.select(*key, F.transform("pieces", lambda p: p["piece"]).alias("pieces"))
+
+
+def _ends(column):
+    """The ends of a binary or list column's values, and where the first begins."""
+    import numpy as np
 
-    return distinct.mapInArrow(coded, "word string, n long, ids binary, hash long, second long")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return ends[1:] - ends[0], int(ends[0])
 
 
 def _compact(hot: pa.Table) -> dict:
-    """The word table as sorted arrays: hash, second hash, ends and ids. hot: (hash, second, ids)."""
+    """The word table as sorted arrays. hot: (hash, second, ids)."""
     import numpy as np
 
-    hot = hot.combine_chunks()
     if not len(hot):
-        return {"hash": np.zeros(0, np.uint64), "check": np.zeros(0, np.uint32), "end": np.zeros(0, np.int64), "ids": np.zeros(0, np.uint32)}
+        return {"hash": np.zeros(0, np.uint64), "check": np.zeros(0, np.uint32), "end": np.zeros(0, np.uint32), "ids": np.zeros(0, np.uint16)}
     h = hot.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(h, kind="stable")
-    ids = hot.column("ids").chunk(0).take(pa.array(order))
-    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
-    flat = np.frombuffer(ids.buffers()[2], "<u4", (ends[-1] - ends[0]) // 4, ends[0])
-    return {"hash": h[order], "check": hot.column("second").to_numpy().astype(np.uint32)[order], "end": (ends[1:] - ends[0]) // 4, "ids": flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat.copy()}
+    hot = hot.take(pa.array(order)).combine_chunks()
+    end, first = _ends(hot.column("ids").chunk(0))
+    flat = hot.column("ids").chunk(0).values.to_numpy()[first : first + int(end[-1])]
+    return {"hash": h[order], "check": hot.column("second").to_numpy().astype(np.uint32), "end": end.astype(np.uint32), "ids": flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.uint32)}
+
+
+def _with_spaces(values: list[str]):
+    return pa.array([v.encode() + b" " for v in values], pa.binary())
 
 
 class Codec:
-    """Looks words up in the broadcast table, and texts up word by word."""
+    """Joins words with the broadcast table by their hashes, and ids with the id-to-piece table."""
 
     def __init__(self, tables, tokenizer: str):
         tok = _tokenizer(tokenizer)
         self.tables = tables
-        self.pieces = [(tok.id_to_token(i) or "").encode() for i in range(tok.get_vocab_size())]
-        self.numbers = [b"%d" % i for i in range(len(self.pieces))]
-        self.memo: dict[str, tuple | None] = {"": ()}
+        self.pieces = _with_spaces([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())])
+        self.numbers = _with_spaces([str(i) for i in range(len(self.pieces))])
 
-    def ids(self, found: list[str]) -> list:
-        """The ids of each word, None where the table lacks it."""
+    def rows(self, found):
+        """The table's row of each word (an Arrow array), -1 where it lacks the word."""
         import numpy as np
 
-        t = self.tables
-        if not found:
-            return []
-        if not len(t["hash"]):
-            return [None] * len(found)
+        t, found = self.tables, found.cast(pa.binary()).to_pylist()
+        if not found or not len(t["hash"]):
+            return np.full(len(found), -1)
         h, c = _hashes(found), _checks(found)
-        at = np.minimum(np.searchsorted(t["hash"], h), len(t["hash"]) - 1)
+        order = np.argsort(h)  # searched in order, so that neighbours meet the same part of the table
+        at = np.empty(len(h), np.int64)
+        at[order] = np.searchsorted(t["hash"], h[order])
+        at = np.minimum(at, len(t["hash"]) - 1)
         hit = t["hash"][at] == h
-        end = t["end"]
-        out: list = []
-        for i, ok, h1, c1 in zip(at.tolist(), hit.tolist(), h.tolist(), c.tolist(), strict=True):
-            while ok and t["check"][i] != c1:  # words of one hash stand together
+        for k in np.flatnonzero(hit & (t["check"][at] != c)).tolist():  # words of one hash stand together
+            i = int(at[k])
+            while i < len(t["hash"]) and t["hash"][i] == h[k] and t["check"][i] != c[k]:
                 i += 1
-                ok = i < len(end) and int(t["hash"][i]) == h1
-            out.append(t["ids"][(end[i - 1] if i else 0) : end[i]].tolist() if ok else None)
-        return out
-
-    def made(self, ids: list[int]) -> tuple[bytes, bytes, int]:
-        return b" ".join([self.numbers[i] for i in ids]), b" ".join([self.pieces[i] for i in ids]), len(ids)
-
-    def lookup(self, found: set[str]) -> dict[str, tuple]:
-        """run between white space -> its words' (ids in decimal, pieces, number), None in place of unknown words."""
-        todo = [x for x in found if x not in self.memo]
-        split = [words(x) for x in todo]
-        flat = list({w for ws in split for w in ws})
-        known = dict(zip(flat, ((None if i is None else self.made(i)) for i in self.ids(flat)), strict=True))
-        fresh = {x: tuple(known[w] for w in ws) for x, ws in zip(todo, split, strict=True)}
-        if len(self.memo) + len(fresh) <= MEMO:
-            self.memo |= fresh
-            return self.memo
-        if len(self.memo) < MEMO:
-            for x in list(fresh)[: MEMO - len(self.memo)]:
-                self.memo[x] = fresh[x]
-        return {x: self.memo[x] if x in self.memo else fresh[x] for x in found}
+            hit[k] = i < len(t["hash"]) and t["hash"][i] == h[k]
+            at[k] = i
+        return np.where(hit, at, -1)
+
+    def ids_of(self, rows):
+        """A list of ids for each row of the table; none of -1."""
+        import numpy as np
+
+        t = self.tables
+        end = t["end"].astype(np.int64)
+        begin = np.where(rows > 0, end[rows - 1] if len(end) else 0, 0)
+        size = np.where(rows >= 0, (end[rows] if len(end) else 0) - begin, 0)
+        total = np.cumsum(size)
+        places = np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, total).astype(np.int32)), pa.array(t["ids"][places].astype(np.int32)))
 
 
 @one_a_worker
@@ -181,7 +224,7 @@ def _codec(broadcast, tokenizer: str) -> Codec:
 
 def hot_least(table: DataFrame) -> int:
     """The least count of a word such that all words of at least that count (rounded to powers of 2) fit HOT_BYTES."""
-    size = F.lit(ENTRY_BYTES) + F.length("ids") / 2
+    size = F.lit(ENTRY_BYTES) + 2 * F.size("ids")
     steps = table.groupBy(F.floor(F.log2("n")).alias("step")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("step")).collect()
     held, least = 0, 1 << 62
     for r in steps:
@@ -204,42 +247,56 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def _encoded(docs: DataFrame, tokenizer: str, whole: bool) -> DataFrame:
     spark = docs.sparkSession
-    table, _ = written(spark, encoded_words(distinct_words(docs), tokenizer), "words")
+    table, _ = written(spark, encoded_words(distinct_words(docs), verified(tokenizer)), "words")
     least = hot_least(table)
     hot = spark.sparkContext.broadcast(_compact(table.filter(F.col("n") >= least).select("hash", "second", "ids").toArrow()))
+    released(spark, hot)
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     if least:
         rows = _with_rare(rows, table.filter(F.col("n") < least), hot, tokenizer)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    extra = ", ids array<int>, decoded string" if whole else ""
 
     def coded(batches):
+        import numpy as np
+
         codec = _codec(hot, tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                split = [chunks(t) for t in part.column("text").to_pylist()]
-                got = codec.lookup(set().union(*split))
-                rare = part.column("rare").to_pylist() if "rare" in batch.schema.names else [None] * len(split)
-                n, ids_sha, text_sha, ids_out, texts = [], [], [], [], []
-                for runs, holes in zip(split, rare, strict=True):
-                    flat = [w for x in map(got.__getitem__, runs) for w in x]
-                    for hole in holes or ():
-                        flat[hole["at"]] = codec.made(memoryview(hole["ids"]).cast("I").tolist())
-                    flat = [w for w in flat if w[2]]
-                    n.append(sum([w[2] for w in flat]))
-                    ids, decoded = b" ".join([w[0] for w in flat]), b" ".join([w[1] for w in flat])
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded).hexdigest())
-                    if whole:
-                        ids_out.append(list(map(int, ids.split())))
-                        texts.append(decoded.decode())
-                columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            for part in in_bytes(batch, BATCH_BYTES):
+                split = Split(part.column("text"))
+                word, begin, ids = split.at, split.begin, codec.ids_of(codec.rows(split.words))
+                if least:
+                    ids, word = _filled(ids, word, begin, part.column("rare").to_pylist())
+                ids = ids.take(pa.array(word))
+                at = np.append(0, np.cumsum(np.diff(ids.offsets.to_numpy())))[begin]
+                ids = ids.flatten()
+                number, text = codec.numbers.take(ids), codec.pieces.take(ids)
+                digests = [_each(joined, at) for joined in (number, text)]
+                columns = [part.column("doc_id"), pa.array(np.diff(at)), *(pa.array([hashlib.sha256(x).hexdigest() for x in d], pa.string()) for d in digests)]
                 if whole:
-                    columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                    columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), ids), pa.array([bytes(x).decode() for x in digests[1]], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
 
-    return rows.mapInArrow(coded, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    extra = {"ids": "array<int>", "decoded": "string"} if whole else {}
+    return rows.mapInArrow(coded, schema_of(doc_id=docs.schema["doc_id"].dataType, n_tokens="long", ids_sha256="string", decoded_sha256="string", **extra))
+
+
+def _each(joined, at) -> list:
+    """The bytes of each text's values, which stand one after another, without the last space."""
+    import numpy as np
+
+    ends = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[at].tolist()
+    data = memoryview(joined.buffers()[2] or b"")
+    return [data[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _filled(ids, word, begin, rare: list):
+    """ids (of the distinct words) and word (at each place) with the rare words' ids added, which stand as (at, ids)."""
+    word = word.copy()
+    extra = []
+    for first, holes in zip(begin[:-1].tolist(), rare, strict=True):
+        for hole in holes or ():
+            word[first + hole["at"]] = len(ids) + len(extra)
+            extra.append(hole["ids"])
+    return pa.concat_arrays([ids, pa.array(extra, pa.list_(pa.int32()))]).cast(ids.type), word
 
 
 def _with_rare(rows: DataFrame, rare: DataFrame, hot, tokenizer: str) -> DataFrame:
@@ -247,23 +304,15 @@ def _with_rare(rows: DataFrame, rare: DataFrame, hot, tokenizer: str) -> DataFra
     keyed = rows.withColumn("key", row_key(rows["doc_id"], rows["text"]))
 
     def holes(batches):
+        import numpy as np
+
         codec = _codec(hot, tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                split = [chunks(t) for t in part.column("text").to_pylist()]
-                got = codec.lookup(set().union(*split))
-                keys, places, found = [], [], []
-                for key, runs in zip(part.column("key").to_pylist(), split, strict=True):
-                    k = 0
-                    for run in runs:
-                        made = got[run]
-                        if None in made:
-                            for i, word in enumerate(words(run)):
-                                if made[i] is None:
-                                    keys.append(key), places.append(k + i), found.append(word)
-                        k += len(made)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.string())], names=["key", "at", "word"])
+            for part in in_bytes(batch, BATCH_BYTES):
+                split = Split(part.column("text"))
+                at = np.flatnonzero(codec.rows(split.words)[split.at] < 0)
+                row = np.searchsorted(split.begin, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array((at - split.begin[row]).astype(np.int32)), split.words.take(pa.array(split.at[at]))], names=["key", "at", "word"])
 
     lacking = keyed.select("key", "text").mapInArrow(holes, "key long, at int, word string")
     filled = lacking.join(rare.select("word", "ids"), "word").groupBy("key").agg(F.collect_set(F.struct("at", "ids")).alias("rare"))

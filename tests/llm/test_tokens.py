@@ -80,7 +80,9 @@ def test_codec_words_are_independent():
     parts = ["a", "É", "Don't", ".", ",", " ", "  ", "\n", "1", " ", " ", "日", "'s", "<|endoftext|>", "<|ENDOFTEXT|>", "é", "Σ", "ς", "́", "I'LL", "_", "\x0b", "\x0c", "\x1c", "\x85"]
     for _ in range(3_000):
         t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
-        assert [i for c in t.encode().split() for w in bpe_codec.words(c) for i in ids_of(tok, w)] == ids_of(tok, t), repr(t)
+        split = bpe_codec.Split(pa.array([t]))
+        assert split.begin.tolist() == [0, len(split.at)]
+        assert [i for w in split.words.take(pa.array(split.at)).to_pylist() for i in ids_of(tok, w)] == ids_of(tok, t), repr(t)
 
 
 def test_codec_refuses_other_tokenizers():
