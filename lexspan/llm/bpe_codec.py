@@ -32,7 +32,8 @@ from .common import known_to_workers, one_a_worker, released, row_key, schema_of
 
 HOT_BYTES = 96 << 20
 ENTRY_BYTES = 16
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+SEGMENTS = 16
 #: The tokenizer's rules that Split relies on.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -86,7 +87,7 @@ def _hashes(found: list[bytes]):
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    return np.array([xxh64_intdigest(w) for w in found], np.uint64)
+    return np.array([xxh64_intdigest(w) for w in found], np.uint64).view(np.int64)
 
 
 def _checks(found: list[bytes]):
@@ -129,7 +130,7 @@ def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:
                 part = batch.slice(at, 2000)
                 found, raw = part.column("word").to_pylist(), part.column("word").cast(pa.binary()).to_pylist()
                 ids = [e.ids for e in tok.encode_batch_fast(found, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.list_(pa.int32())), pa.array(_hashes(raw).view(np.int64)), pa.array(_checks(raw).astype(np.int64))], names=["word", "n", "ids", "hash", "second"])
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(ids, pa.list_(pa.int32())), pa.array(_hashes(raw)), pa.array(_checks(raw).astype(np.int64))], names=["word", "n", "ids", "hash", "second"])
 
     return distinct.mapInArrow(coded, "word string, n long, ids array<int>, hash long, second long")
 
@@ -148,26 +149,26 @@ def decoded(table: DataFrame, key: list[str], tokenizer: str) -> DataFrame:
     return whole.select(*key, F.transform("pieces", lambda p: p["piece"]).alias("pieces"))
 
 
-def _ends(column):
-    """The ends of a binary or list column's values, and where the first begins."""
-    import numpy as np
-
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return ends[1:] - ends[0], int(ends[0])
+def segments(hot: DataFrame) -> list[tuple]:
+    """hot(hash, second, ids) as sorted segments (hashes, second hashes, numbers of ids, ids), made by the executors: the
+    driver only passes bytes on."""
 
+    def packed(batches):
+        import numpy as np
 
-def _compact(hot: pa.Table) -> dict:
-    """The word table as sorted arrays. hot: (hash, second, ids)."""
-    import numpy as np
+        parts = list(batches)
+        if not sum(b.num_rows for b in parts):
+            return
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        ids = whole.column("ids").chunk(0)
+        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+        kind = "<u2" if not len(flat) or flat.max() < 1 << 16 else "<u4"
+        columns = [whole.column("hash").to_numpy().astype("<i8"), whole.column("second").to_numpy().astype("<u4"), np.diff(ends).astype("<u4"), flat.astype(kind)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(columns[0][0])]), *(pa.array([c.tobytes()], pa.binary()) for c in columns), pa.array([int(kind[2])], pa.int32())], names=["least", "hash", "second", "size", "ids", "width"])
 
-    if not len(hot):
-        return {"hash": np.zeros(0, np.uint64), "check": np.zeros(0, np.uint32), "end": np.zeros(0, np.uint32), "ids": np.zeros(0, np.uint16)}
-    h = hot.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(h, kind="stable")
-    hot = hot.take(pa.array(order)).combine_chunks()
-    end, first = _ends(hot.column("ids").chunk(0))
-    flat = hot.column("ids").chunk(0).values.to_numpy()[first : first + int(end[-1])]
-    return {"hash": h[order], "check": hot.column("second").to_numpy().astype(np.uint32), "end": end.astype(np.uint32), "ids": flat.astype(np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.uint32)}
+    ordered = hot.repartitionByRange(SEGMENTS, "hash").sortWithinPartitions("hash")
+    found = ordered.mapInArrow(packed, "least long, hash binary, second binary, size binary, ids binary, width int").toArrow()
+    return sorted(zip(*(found.column(c).to_pylist() for c in ("least", "hash", "second", "size", "ids", "width")), strict=True))
 
 
 def _with_spaces(values: list[str]):
@@ -175,46 +176,47 @@ def _with_spaces(values: list[str]):
 
 
 class Codec:
-    """Joins words with the broadcast table by their hashes, and ids with the id-to-piece table."""
+    """Joins words with the broadcast table by their hashes, and ids with the id-to-piece table. The table's bytes are used
+    as they lie."""
+
+    def __init__(self, parts: list[tuple], tokenizer: str):
+        import numpy as np
 
-    def __init__(self, tables, tokenizer: str):
         tok = _tokenizer(tokenizer)
-        self.tables = tables
+        self.least = np.array([p[0] for p in parts], np.int64)
+        self.parts = [(np.frombuffer(p[1], "<i8"), np.frombuffer(p[2], "<u4"), np.cumsum(np.frombuffer(p[3], "<u4"), dtype=np.uint32), np.frombuffer(p[4], f"<u{p[5]}")) for p in parts]
         self.pieces = _with_spaces([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())])
         self.numbers = _with_spaces([str(i) for i in range(len(self.pieces))])
 
-    def rows(self, found):
-        """The table's row of each word (an Arrow array), -1 where it lacks the word."""
+    def ids_of(self, found):
+        """The list of ids of each word (an Arrow array), and whether the table lacks it (its list is empty then)."""
         import numpy as np
 
-        t, found = self.tables, found.cast(pa.binary()).to_pylist()
-        if not found or not len(t["hash"]):
-            return np.full(len(found), -1)
+        found = found.cast(pa.binary()).to_pylist()
         h, c = _hashes(found), _checks(found)
         order = np.argsort(h)  # searched in order, so that neighbours meet the same part of the table
-        at = np.empty(len(h), np.int64)
-        at[order] = np.searchsorted(t["hash"], h[order])
-        at = np.minimum(at, len(t["hash"]) - 1)
-        hit = t["hash"][at] == h
-        for k in np.flatnonzero(hit & (t["check"][at] != c)).tolist():  # words of one hash stand together
-            i = int(at[k])
-            while i < len(t["hash"]) and t["hash"][i] == h[k] and t["check"][i] != c[k]:
-                i += 1
-            hit[k] = i < len(t["hash"]) and t["hash"][i] == h[k]
-            at[k] = i
-        return np.where(hit, at, -1)
-
-    def ids_of(self, rows):
-        """A list of ids for each row of the table; none of -1."""
-        import numpy as np
-
-        t = self.tables
-        end = t["end"].astype(np.int64)
-        begin = np.where(rows > 0, end[rows - 1] if len(end) else 0, 0)
-        size = np.where(rows >= 0, (end[rows] if len(end) else 0) - begin, 0)
-        total = np.cumsum(size)
-        places = np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
-        return pa.ListArray.from_arrays(pa.array(np.append(0, total).astype(np.int32)), pa.array(t["ids"][places].astype(np.int32)))
+        h, c = h[order], c[order]
+        bounds = np.append(np.searchsorted(h, self.least), len(h))
+        lacking, size, flat = np.ones(len(h), bool), np.zeros(len(h), np.int64), []
+        for a, b, (hashes, checks, ends, ids) in zip(bounds[:-1].tolist(), bounds[1:].tolist(), self.parts, strict=True):
+            q = h[a:b]
+            at = np.minimum(np.searchsorted(hashes, q), len(hashes) - 1)
+            hit = hashes[at] == q
+            for k in np.flatnonzero(hit & (checks[at] != c[a:b])).tolist():  # words of one hash stand together
+                i = int(at[k])
+                while i < len(hashes) and hashes[i] == q[k] and checks[i] != c[a + k]:
+                    i += 1
+                hit[k] = i < len(hashes) and hashes[i] == q[k]
+                at[k] = min(i, len(hashes) - 1)
+            begin = np.where(at > 0, ends[at - 1], 0).astype(np.int64)
+            number = np.where(hit, ends[at] - begin, 0)
+            total = np.cumsum(number)
+            flat.append(ids[np.repeat(begin - (total - number), number) + np.arange(total[-1] if len(total) else 0)].astype(np.int32))
+            lacking[a:b], size[a:b] = ~hit, number
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return lists.take(pa.array(back)), lacking[back]
 
 
 @one_a_worker
@@ -249,7 +251,7 @@ def _encoded(docs: DataFrame, tokenizer: str, whole: bool) -> DataFrame:
     spark = docs.sparkSession
     table, _ = written(spark, encoded_words(distinct_words(docs), verified(tokenizer)), "words")
     least = hot_least(table)
-    hot = spark.sparkContext.broadcast(_compact(table.filter(F.col("n") >= least).select("hash", "second", "ids").toArrow()))
+    hot = spark.sparkContext.broadcast(segments(table.filter(F.col("n") >= least).select("hash", "second", "ids")))
     released(spark, hot)
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     if least:
@@ -262,7 +264,7 @@ def _encoded(docs: DataFrame, tokenizer: str, whole: bool) -> DataFrame:
         for batch in batches:
             for part in in_bytes(batch, BATCH_BYTES):
                 split = Split(part.column("text"))
-                word, begin, ids = split.at, split.begin, codec.ids_of(codec.rows(split.words))
+                word, begin, (ids, _) = split.at, split.begin, codec.ids_of(split.words)
                 if least:
                     ids, word = _filled(ids, word, begin, part.column("rare").to_pylist())
                 ids = ids.take(pa.array(word))
@@ -310,7 +312,7 @@ def _with_rare(rows: DataFrame, rare: DataFrame, hot, tokenizer: str) -> DataFra
         for batch in batches:
             for part in in_bytes(batch, BATCH_BYTES):
                 split = Split(part.column("text"))
-                at = np.flatnonzero(codec.rows(split.words)[split.at] < 0)
+                at = np.flatnonzero(codec.ids_of(split.words)[1][split.at])
                 row = np.searchsorted(split.begin, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array((at - split.begin[row]).astype(np.int32)), split.words.take(pa.array(split.at[at]))], names=["key", "at", "word"])
 

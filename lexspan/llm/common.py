@@ -57,13 +57,15 @@ _broadcasts: list = []
 
 
 def released(spark: SparkSession, *fresh) -> None:
-    """Notes an operator's broadcasts; those of the operators before it leave the executors.
+    """Notes an operator's broadcasts; those of the operators before it leave the executors, and what the driver's Python
+    no longer needs goes back to the system.
 
-    Only their copies go: what still reads one, gets it from the driver again.
+    Only the executors' copies go: what still reads one, gets it from the driver again.
     """
     for old in _broadcasts:
         old.unpersist()
     _broadcasts[:] = fresh
+    _trimmed()
 
 
 def text_of(df: DataFrame) -> Column:
