@@ -10,11 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType, _parse_datatype_string
 
-from ..binding import known_to_workers
+from .. import binding
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def known_to_workers(spark: SparkSession) -> None:
+    """Lets workers import this package, and has them give freed memory back to the system rather than keep it."""
+    env = spark.sparkContext.environment
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    binding.known_to_workers(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     known_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
