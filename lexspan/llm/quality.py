@@ -3,12 +3,14 @@
 Both models are bags of hashed n-grams: one- and two-token features in BUCKETS buckets. The raw model counts all
 documents; the target model is smoothed towards it by PRIOR counts a bucket, so that a bucket of little evidence says
 little. The target model counts a bounded sample of labelled documents of quality 1 (at most TARGET, those
-of the smallest hash of doc_id). A document's log weight is the sum over its features of log p_target - log p_raw. Its
+of the smallest hash of doc_id). A document's log weight is the sum over its features of log p_target - log p_raw, of a
+text of more than LENGTH features scaled to LENGTH of them, so that length alone neither condemns nor saves a text. Its
 key is the log weight plus Gumbel noise (fixed by seed, doc_id and text), and the k largest keys are a sample without
 replacement in proportion to the weights.
 
-k is the expected number of documents that a rejection test would keep: the sum of min(1, weight * e**SLACK). So a text
-goes if it is e**SLACK times likelier as raw text than as target text, give or take the noise.
+k may be given. Otherwise it is the expected number of documents that a rejection test would keep: the sum of
+min(1, weight * e**SLACK). So a text goes if it is e**SLACK times likelier as raw text than as target text, give or take
+the noise.
 
 The k-th largest key is found by counting 16 bits of it at a time over all rows (65,536 counts a round).
 
@@ -32,7 +34,8 @@ from .common import in_parts, known_to_workers, one_a_worker, own_columns, relea
 
 BUCKETS = 1 << 16
 TARGET = 20_000
-SLACK = 8.0
+LENGTH = 400
+SLACK = 6.0
 PRIOR = 50.0
 SEED = 17
 CACHE = 300_000
@@ -118,7 +121,7 @@ def weighed(docs: DataFrame, ratio) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 f = features(text)
                 n.append(len(f))
-                w.append(float(ratios.value[f].sum()) if ratios.value is not None and len(f) else 0.0)
+                w.append(float(ratios.value[f].sum()) * LENGTH / max(len(f), LENGTH) if ratios.value is not None and len(f) else 0.0)
             w = np.array(w, np.float64)
             score = w + batch.column("noise").to_numpy(zero_copy_only=False)
             bits = score.view(np.int64)
@@ -142,22 +145,22 @@ def kth_largest(ranks: DataFrame, k: int) -> int:
     return prefix
 
 
-def _weights(docs: DataFrame, labels: DataFrame):
+def _weights(docs: DataFrame, labels: DataFrame, k: int | None):
     """All rows' weights (a small written table), the ratios and the least rank to keep."""
     ratio = models(docs, labels)
     table, _ = written(docs.sparkSession, weighed(docs.select("doc_id", "text"), ratio).select("row.doc_id", "log_weight", "n_features", "score", "rank"), "weights")
     kept = table.agg(F.sum(F.exp(F.least(F.col("log_weight") + SLACK, F.lit(0.0)))).alias("k"), F.count("*").alias("n")).first()
-    k = min(kept["n"], math.ceil((kept["k"] or 0.0) - 1e-6))
+    k = min(kept["n"], math.ceil((kept["k"] or 0.0) - 1e-6) if k is None else k)
     return table, ratio, kth_largest(table, k) if k else None
 
 
-def selection(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def selection(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """doc_id, log_weight, n_features, score of the sampled rows of docs(doc_id, text)."""
-    table, _, least = _weights(docs, labels)
+    table, _, least = _weights(docs, labels, k)
     return table.filter(F.lit(False) if least is None else F.col("rank") >= least).select("doc_id", "log_weight", "n_features", "score")
 
 
-def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The sampled rows of docs, all columns as they are."""
-    _, ratio, least = _weights(docs, labels)
+    _, ratio, least = _weights(docs, labels, k)
     return weighed(docs, ratio).filter(F.lit(False) if least is None else F.col("rank") >= least).select("row.*")

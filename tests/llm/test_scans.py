@@ -298,11 +298,14 @@ def test_quality_by_brute_force(spark):
         if i in target:
             aim += g
     ratio = lambda b: math.log((aim[b] + quality.PRIOR) / (aim.total() * raw[b] / raw.total() + quality.PRIOR))
-    weight = {i: sum(n * ratio(b) for b, n in g.items()) for i, g in grams.items()}
+    weight = {i: sum(n * ratio(b) for b, n in g.items()) * quality.LENGTH / max(g.total(), quality.LENGTH) for i, g in grams.items()}
     k = math.ceil(sum(min(1.0, math.exp(w + quality.SLACK)) if w < 50 else 1.0 for w in weight.values()) - 1e-6)
     key = {r.doc_id: weight[r.doc_id] - math.log(-math.log(r.u)) for r in rows}
     want = set(sorted(key, key=key.get, reverse=True)[:k])
     assert {r.doc_id for r in quality.selection(docs, labels).collect()} == want
+    best = sorted(key, key=key.get, reverse=True)
+    for k in (0, 7, 390, 1_000):
+        assert {r.doc_id for r in quality.selection(docs, labels, k).collect()} == set(best[:k])
 
 
 def test_quality_of_odd_rows(spark, odd):
@@ -330,6 +333,27 @@ def test_held_out(spark):
     assert all(got[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(200))
 
 
+def test_noisy_or_steps_move_the_blame():
+    """A word that goes along with toxic sentences, elsewhere in the text: document log-odds blame it, the noisy-or much less."""
+    rng = random.Random(44)
+    texts, toxic = [], []
+    for i in range(600):
+        said = [prose(rng, 8) for _ in range(4)]
+        bad = i % 3 == 0
+        if bad:
+            said[0] = f"you {rng.choice(['vilezor', 'snarvex'])} {prose(rng, 3)}"
+        if rng.random() < (0.9 if bad else 0.15):
+            said[2] += " harbour"
+        texts.append(". ".join(said) + ".")
+        toxic.append(int(bad))
+    flagged = {}
+    for rounds in (0, 150):
+        score = toxicity.Scorer(toxicity.fit(texts, toxic, 1 / 3, rounds))
+        flagged[rounds] = sum(score(t)[0] >= 0.5 for t, bad in zip(texts, toxic, strict=True) if not bad)
+        assert all(score(t)[0] >= 0.5 for t, bad in zip(texts, toxic, strict=True) if bad) or rounds == 0
+    assert flagged[150] < flagged[0] / 4, flagged
+
+
 def toxic_tables(spark):
     rng = random.Random(41)
     lexicon = ["vilezor", "grumplak", "snarvex", "blorpid"]
