@@ -11,6 +11,8 @@ CORE = f"[{_L}\\p{{Nd}}]"
 JOIN = "['’\\-‐‑־֊᐀·]"
 #: A word: letters, glue and digits, single joiners between letters. Neither engine needs look-around for it.
 WORD = f"{CORE}*{LETTER}{JOIN}(?:{LETTER}{JOIN}|{LETTER}{CORE}*{LETTER}{JOIN})*{LETTER}{CORE}*|{CORE}+"
+#: The same words for an engine with look-around and possessive repeats, which never goes back over a word.
+WORD_ONCE = f"{CORE}++(?:(?<={LETTER}){JOIN}(?={LETTER}){CORE}++)*+"
 HAS_LETTER = "[\\p{L}\\p{Nl}]"
 IS_LETTER = "^[\\p{L}\\p{M}\\p{Nl}]$"
 IS_DIGIT = "^\\p{Nd}$"
@@ -44,7 +46,13 @@ def fold(word: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, those without a letter left out."""
-    return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: w.rlike(HAS_LETTER))
+    return F.filter(F.regexp_extract_all(text, F.lit(WORD_ONCE), F.lit(0)), lambda w: w.rlike(HAS_LETTER))
+
+
+def words_of_chunk(chunk: Column) -> Column:
+    """words() of a stretch between spaces; most are letters and at most one mark, which needs no search."""
+    plain = F.when(chunk.rlike(r"^\p{L}+$"), F.array(chunk)).when(chunk.rlike(r"^\p{L}+[.,;:!?]$"), F.array(F.substring(chunk, F.lit(1), F.char_length(chunk) - 1)))
+    return plain.otherwise(words(chunk))
 
 
 def words_sql(text: str) -> str:

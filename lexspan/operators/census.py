@@ -1,27 +1,46 @@
 """Counts over a corpus: the lanes that every judged channel reads.
 
-Characters never travel: each text is split where it is read, a character sees its neighbours through the array it
-stands in, and only counts of (before, character, after) are shuffled, pre-aggregated map-side. Classes are given to
-the few distinct triples afterwards.
+Neither texts nor characters travel: each text is cut at its spaces where it is read, the distinct pieces are counted
+map-side, and only distinct pieces are taken apart further, into words or characters, each with its piece's count. Classes
+are given to the few distinct triples and words afterwards: after() keeps such a filter above the aggregation, where the
+optimizer would run it once a character.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CORE, HAS_LETTER, RUN, WORD, char_class, char_class_sql, fold, words, words_sql
+from ..functions.text import CORE, HAS_LETTER, RUN, WORD, WORD_ONCE, char_class, char_class_sql, fold, words_of_chunk, words_sql
 from ..binding import CHAPTERS_SQL
 
 
+def after(condition: Column) -> Column:
+    """The condition, to be tested on the rows of an aggregation (n): not pushed below it."""
+    return F.when(F.col("n") > 0, condition)
+
+
+def chunks(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, chunk, n): the distinct stretches between spaces."""
+    cut = chapter.select("corpus", "book", F.explode(F.split("text", " ")).alias("chunk"))
+    return cut.groupBy("corpus", "book", "chunk").agg(F.count("*").alias("n"))
+
+
 def triples(chapter: DataFrame) -> DataFrame:
-    """(corpus, book, before, glyph, after, n): every character with its neighbours, null at the ends of a text."""
+    """(corpus, book, before, glyph, after, n): every character but the space with its neighbours, null at the ends of a
+    text. A stretch keeps the spaces beside it, so that its distinct forms hold all that its characters see."""
+    cut = chapter.select("corpus", "book", F.split("text", " ").alias("parts"))
+    cut = cut.select("corpus", "book", (F.size("parts") - 1).alias("last"), F.posexplode("parts").alias("at", "part"))
+    space = lambda here: F.when(here, " ").otherwise("")
+    held = cut.select("corpus", "book", F.concat(space(F.col("at") > 0), "part", space(F.col("at") < F.col("last"))).alias("held"))
+    distinct = held.groupBy("corpus", "book", "held").agg(F.count("*").alias("times"))
     c, n = F.col("chars"), F.size("chars") - 1
-    split = chapter.select("corpus", "book", F.split("text", "").alias("chars")).filter("size(chars) > 0")
+    split = distinct.select("corpus", "book", "times", F.split("held", "").alias("chars")).filter("size(chars) > 0")
     # three arrays side by side, which stays inside generated code where a lambda would not
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("chars", F.lit(1), n))
     each = F.arrays_zip(before.alias("before"), c.alias("glyph"), F.slice("chars", F.lit(2), n).alias("after"))
-    return split.select("corpus", "book", F.inline(each)).toDF("corpus", "book", "before", "glyph", "after").filter("glyph <> ''").groupBy("corpus", "book", "before", "glyph", "after").agg(F.count("*").alias("n"))
+    rows = split.select("corpus", "book", "times", F.inline(each)).toDF("corpus", "book", "times", "before", "glyph", "after")
+    return rows.filter("glyph <> '' AND glyph <> ' '").groupBy("corpus", "book", "before", "glyph", "after").agg(F.sum("times").alias("n"))
 
 
 TRIPLES_SQL = f"""
@@ -32,7 +51,10 @@ triples AS (SELECT corpus, book, lag(glyph) OVER w AS before, glyph, lead(glyph)
 def scalars(chapter: DataFrame) -> DataFrame:
     """(corpus, glyph, n, books): characters, digits pooled as 0-9."""
     pooled = F.when(F.col("glyph").rlike(r"^\p{Nd}$"), "0-9").otherwise(F.col("glyph"))
-    return triples(chapter).withColumn("glyph", pooled).groupBy("corpus", "glyph").agg(F.sum("n").alias("n"), F.countDistinct("book").alias("books"))
+    seen = chunks(chapter).select("corpus", "book", "n", F.explode(F.split("chunk", "")).alias("glyph")).filter("glyph <> ''")
+    spaces = chapter.select("corpus", "book", (F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))).cast("long").alias("n"), F.lit(" ").alias("glyph")).filter("n > 0")
+    by = seen.unionByName(spaces).groupBy("corpus", "book", "glyph").agg(F.sum("n").alias("n"))
+    return by.withColumn("glyph", pooled).groupBy("corpus", "glyph").agg(F.sum("n").alias("n"), F.countDistinct("book").alias("books"))
 
 
 SCALARS_SQL = f"""WITH {TRIPLES_SQL}
@@ -41,7 +63,7 @@ SELECT corpus, CASE WHEN regexp_matches(glyph, '^\\p{{Nd}}$') THEN '0-9' ELSE gl
 
 def pairs(chapter: DataFrame) -> DataFrame:
     """(corpus, glyph, before, after, n): nonletters by the classes of their neighbours."""
-    t = triples(chapter).filter(char_class(F.col("glyph")) == "Nonletter")
+    t = triples(chapter).filter(after(char_class(F.col("glyph")) == "Nonletter"))
     return t.groupBy("corpus", "glyph", char_class(F.col("before")).alias("before"), char_class(F.col("after")).alias("after")).agg(F.sum("n").alias("n"))
 
 
@@ -82,7 +104,7 @@ follows AS (SELECT corpus, book, left(hit, 1) AS terminal, count(*) FILTER (rege
 
 def word_forms(chapter: DataFrame) -> DataFrame:
     """(corpus, book, word, lower, title, upper, mixed, n): how each folded word is cased."""
-    w = chapter.select("corpus", "book", F.explode(words(F.col("text"))).alias("raw")).groupBy("corpus", "book", "raw").agg(F.count("*").alias("n"))
+    w = chunks(chapter).select("corpus", "book", "n", F.explode(words_of_chunk(F.col("chunk"))).alias("raw")).groupBy("corpus", "book", "raw").agg(F.sum("n").alias("n"))
     raw, n = F.col("raw"), F.col("n")
     low, up = raw == fold(raw), raw == F.upper(raw)
     title = F.concat(F.upper(F.substring("raw", 1, 1)), F.expr("substring(raw, 2)")) == raw
@@ -132,6 +154,7 @@ def verse_lengths(verse: DataFrame) -> DataFrame:
 
 #: What stands before a word and the word: everything since the word before, on one line.
 _UNIT = f"[^{CORE[1:-1]}]*(?:{WORD})"
+_UNIT_ONCE = f"[^{CORE[1:-1]}]*+{WORD_ONCE}"
 
 
 def word_contexts(chapter: DataFrame) -> DataFrame:
@@ -141,10 +164,12 @@ def word_contexts(chapter: DataFrame) -> DataFrame:
     follows; other marks hand over nothing. form: lower, title, upper, mixed; words without case are left out.
     """
     line = chapter.select("corpus", "book", F.explode(F.split("text", "\n")).alias("line"))
-    u = F.regexp_extract_all("line", F.lit(_UNIT), F.lit(0))
-    lead = f"^[^{CORE[1:-1]}]*"
-    part = F.transform(u, lambda x, i: F.struct(F.regexp_replace(x, lead, "").alias("raw"), F.when(i == 0, "start").otherwise(F.regexp_extract(x, r"^[^\p{L}\p{N}]*?([.!?,;:])\s+[^\p{L}\p{N}\s.!?,;:]*[\p{L}\p{N}]", 1)).alias("before")))
-    w = line.select("corpus", "book", F.inline(part)).filter(F.col("raw").rlike(HAS_LETTER)).groupBy("corpus", "book", "raw", "before").agg(F.count("*").alias("n"))
+    found = line.select("corpus", "book", F.posexplode(F.regexp_extract_all("line", F.lit(_UNIT_ONCE), F.lit(0))).alias("at", "unit"))
+    found = found.groupBy("corpus", "book", "unit", (F.col("at") == 0).alias("start")).agg(F.count("*").alias("n"))
+    raw = F.regexp_replace("unit", f"^[^{CORE[1:-1]}]*", "")
+    mark = F.regexp_extract("unit", r"^[^\p{L}\p{N}]*?([.!?,;:])\s+[^\p{L}\p{N}\s.!?,;:]*[\p{L}\p{N}]", 1)
+    parts = found.select("corpus", "book", "n", raw.alias("raw"), F.when(F.col("start"), "start").otherwise(mark).alias("before"))
+    w = parts.filter(F.col("raw").rlike(HAS_LETTER)).groupBy("corpus", "book", "raw", "before").agg(F.sum("n").alias("n"))
     return w.select("corpus", "book", fold(F.col("raw")).alias("word"), "before", _form(F.col("raw")).alias("form"), "n").filter("form IS NOT NULL").groupBy("corpus", "book", "word", "before", "form").agg(F.sum("n").alias("n"))
 
 

@@ -97,9 +97,11 @@ def copied_runs(pairs: DataFrame, least: int = 3) -> DataFrame:
 
     pairs(unit, target, source). Runs are found inside the row: joined marks of held and other words, split at the others.
     """
-    w = pairs.select("unit", words(F.col("target")).alias("t"), words(F.col("source")).alias("s"))
+    # made by a generator, so that the words are found once a row and not once in every place that names them
+    w = pairs.select("unit", F.inline(F.array(F.struct(words(F.col("target")).alias("t"), F.array_distinct(words(F.col("source"))).alias("s")))))
     marks = F.array_join(F.transform("t", lambda x: F.when(F.array_contains(F.col("s"), x), "1").otherwise("0")), "")
-    out = w.select("unit", F.size("t").cast("long").alias("eligible"), F.array_max(F.transform(F.split(marks, "0+"), lambda x: F.char_length(x))).cast("long").alias("run"))
+    run = F.array_max(F.transform(F.split(marks, "0+"), lambda x: F.char_length(x))).cast("long")
+    out = w.select("unit", F.inline(F.array(F.struct(F.size("t").cast("long").alias("eligible"), run.alias("run")))))
     return out.filter(F.col("run") >= least)
 
 

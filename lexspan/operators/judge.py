@@ -18,7 +18,7 @@ def _judged_sql(inner: str, columns: str, ladder) -> str:
 
 def placement(chapter: DataFrame) -> DataFrame:
     """Marks that stand beside a class of character they rarely stand beside (an edge counts, but never departs)."""
-    t = C.triples(chapter).filter(char_class(F.col("glyph")) == "Nonletter")
+    t = C.triples(chapter).filter(C.after(char_class(F.col("glyph")) == "Nonletter"))
     sides = F.array(*[F.struct(F.lit(s).alias("side"), char_class(F.col(s)).alias("class")) for s in ("before", "after")])
     each = t.select("corpus", "book", "glyph", "n", F.inline(sides))
     counted = each.groupBy("corpus", "glyph", "side", "class").agg(F.sum("n").alias("numerator"), F.countDistinct("book").alias("books"))
@@ -108,7 +108,7 @@ def pooled_neighbor_sql() -> str:
 
 def inside_words(chapter: DataFrame) -> DataFrame:
     """Marks rarely between two letters, where neither side's letters depart by themselves: the joint placement claim."""
-    t = C.triples(chapter).filter(char_class(F.col("glyph")) == "Nonletter")
+    t = C.triples(chapter).filter(C.after(char_class(F.col("glyph")) == "Nonletter"))
     letter = lambda c: char_class(F.col(c)) == "Letter"
     by = t.groupBy("corpus", "glyph").agg(
         F.sum("n").alias("denominator"),
@@ -173,7 +173,7 @@ def book_rate(chapter: DataFrame) -> DataFrame:
     The median of the others' rates needs no self-join: with the book's rank r among n sorted rates, the others' middle
     values are the sorted ones at m, or at m + 1 where m is at or past r.
     """
-    t = C.triples(chapter).filter(char_class(F.col("glyph")) == "Nonletter")
+    t = C.triples(chapter).filter(C.after(char_class(F.col("glyph")) == "Nonletter"))
     sides = F.array(*[F.struct(F.lit(s).alias("side"), char_class(F.col(s)).alias("class")) for s in ("before", "after")])
     each = t.select("corpus", "book", "glyph", "n", F.inline(sides)).groupBy("corpus", "book", "glyph", "side", "class").agg(F.sum("n").alias("numerator"))
     held = t.groupBy("corpus", "book", "glyph").agg(F.sum("n").alias("denominator")).filter("denominator >= 5")

@@ -96,14 +96,16 @@ SELECT unit, eligible, run FROM m WHERE run >= 3"""
 
 def typos(spark, sf_dir):
     forms = C.word_forms(chapters(spark, sf_dir)).groupBy("corpus", "word").agg(F.sum("n").alias("n"), F.sum("title").alias("title"))
-    return K.typos(forms, frequent=100)
+    return K.typos(forms)
 
 
-TYPOS_SQL = f"""WITH {C.WORD_FORMS_SQL}, f AS (SELECT corpus, word, sum(n)::bigint AS n, sum(title) AS title FROM word_forms GROUP BY 1, 2 HAVING length(word) >= 4)
-SELECT r.corpus, r.word, r.n, t.word AS target, t.n AS target_n FROM f r JOIN f t ON r.corpus = t.corpus AND left(r.word, 1) = left(t.word, 1) AND r.n < 5 AND r.title = 0 AND t.n >= 100 AND r.word <> t.word AND abs(length(r.word) - length(t.word)) <= 1 AND len(list_filter(range(1, greatest(length(r.word), length(t.word)) + 1), lambda i: CASE
-  WHEN length(r.word) = length(t.word) THEN left(r.word, i - 1) = left(t.word, i - 1) AND (substring(r.word, i + 1) = substring(t.word, i + 1) OR (substring(r.word, i, 1) = substring(t.word, i + 1, 1) AND substring(r.word, i + 1, 1) = substring(t.word, i, 1) AND substring(r.word, i + 2) = substring(t.word, i + 2)))
-  WHEN length(r.word) > length(t.word) THEN left(r.word, i - 1) || substring(r.word, i + 1) = t.word
-  ELSE left(t.word, i - 1) || substring(t.word, i + 1) = r.word END)) > 0"""
+TYPOS_SQL = f"""WITH {C.WORD_FORMS_SQL}, f AS (SELECT corpus, word, sum(n)::bigint AS n, sum(title) AS title FROM word_forms GROUP BY 1, 2 HAVING length(word) >= 4),
+v AS (SELECT DISTINCT corpus, word, n, n < 5 AND title = 0 AS rare, unnest(list_append(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substring(word, i + 1)), word)) AS variant FROM f WHERE n >= 200 OR n < 5 AND title = 0),
+c AS (SELECT DISTINCT r.corpus, r.word, r.n, t.word AS target, t.n AS target_n FROM v r JOIN v t ON r.corpus = t.corpus AND r.variant = t.variant AND r.rare AND t.n >= 200 AND left(r.word, 1) = left(t.word, 1) AND r.word <> t.word)
+SELECT * FROM c WHERE len(list_filter(range(1, greatest(length(word), length(target)) + 1), lambda i: CASE
+  WHEN length(word) = length(target) THEN left(word, i - 1) = left(target, i - 1) AND (substring(word, i + 1) = substring(target, i + 1) OR (substring(word, i, 1) = substring(target, i + 1, 1) AND substring(word, i + 1, 1) = substring(target, i, 1) AND substring(word, i + 2) = substring(target, i + 2)))
+  WHEN length(word) > length(target) THEN left(word, i - 1) || substring(word, i + 1) = target
+  ELSE left(target, i - 1) || substring(target, i + 1) = word END)) > 0"""
 
 QUERIES = {"verse_pairing": pairing, "length_outliers": length_outliers, "presence_runs": presence, "copied_runs": copied_runs, "typo_candidates": typos}
 ORACLES = {"verse_pairing": PAIRING_SQL, "length_outliers": LENGTHS_SQL, "presence_runs": PRESENCE_SQL, "copied_runs": COPIED_SQL, "typo_candidates": TYPOS_SQL}
