@@ -92,6 +92,23 @@ def presence(target: DataFrame, source: DataFrame) -> DataFrame:
     return runs.groupBy("book", "chapter", "kind", "run").agg(F.min("verse").alias("first"), F.max("verse").alias("last"), F.count("*").alias("keys")).drop("run")
 
 
+def insertion_points(target: DataFrame, source: DataFrame) -> DataFrame:
+    """(book, chapter, verse, at): where the source's verses that the target lacks would go.
+
+    Both sides are (book, chapter, verse, begin, end). The place is the end of the chapter's last verse before, else the
+    begin of its first verse, else the end of the book's last verse (0 of an empty book): an as-of join by one window over
+    a chapter's verses of both sides.
+    """
+    key = ["book", "chapter", "verse"]
+    missing = source.select(*key).distinct().join(target.select(*key), key, "left_anti")
+    both = target.select(*key, "begin", "end").unionByName(missing, allowMissingColumns=True)
+    w = Window.partitionBy("book", "chapter").orderBy("verse")
+    both = both.withColumn("before", F.last("end", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("first", F.first("begin", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    last = target.groupBy("book").agg(F.max(F.struct("chapter", "verse", "end"))["end"].alias("book_end"))
+    out = both.filter("end IS NULL").join(last, "book", "left")
+    return out.select(*key, F.coalesce("before", "first", "book_end", F.lit(0)).cast("long").alias("at"))
+
+
 def copied_runs(pairs: DataFrame, least: int = 3) -> DataFrame:
     """(unit, run, eligible): the longest run of target words that the source holds too, at least `least`.
 

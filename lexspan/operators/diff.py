@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..binding import known_to_workers
-from .markup import MARKERS, tokens
+from .markers import of_kind
+from .markup import tokens
 
 ADDRESS = ["chapter", "first", "last", "cdup", "vdup"]
 
@@ -27,7 +28,7 @@ def blocks(books: DataFrame) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     ahead = w.rowsBetween(1, Window.unboundedFollowing)
     t = tokens(books)
-    kinds = {k: [m for m, v in MARKERS.items() if v == k] for k in ("paragraph", "heading")}
+    kinds = {k: of_kind(k) for k in ("paragraph", "heading")}
     # a segment opens at every chapter, verse, paragraph or heading mark
     opens = F.when(F.col("kind") == "Marker", F.when(F.col("marker").isin("c", "v"), F.col("marker")).when(F.col("marker").isin(*kinds["paragraph"]), "p").when(F.col("marker").isin(*kinds["heading"]), "s"))
     t = t.withColumn("opens", opens).withColumn("segment", F.sum(F.col("opens").isNotNull().cast("int")).over(so_far)).withColumn("is", F.last("opens", True).over(so_far))

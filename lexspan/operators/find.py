@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.text import CORE, JOIN, LETTER, fold
 
 
-def hits(texts: DataFrame, needle: str, fold_case: bool = False, whole_word: bool = False) -> DataFrame:
+def hits(texts: DataFrame, needle: str, fold_case: bool = False, whole_word: bool = False, most: int | None = None) -> DataFrame:
     """(id, start, end) of every non-overlapping place of `needle` in texts(id, text), leftmost first; none of an empty needle.
 
     fold_case compares single-character lower case. whole_word wants no letter, mark or digit on either side, nor a
-    joiner between letters; a refused place does not hide a later one (needles that overlap themselves apart).
+    joiner between letters; a refused place does not hide a later one (needles that overlap themselves apart). most: only
+    the first hits in the order of ids and places, each partition keeping no more than those.
     """
     if not needle:
         return texts.select("id", F.lit(0).alias("start"), F.lit(0).alias("end")).filter("false")
@@ -36,7 +37,8 @@ def hits(texts: DataFrame, needle: str, fold_case: bool = False, whole_word: boo
         left = F.col("before").rlike(f"{CORE}\\z") | (F.col("before").rlike(f"{LETTER}{JOIN}\\z") & F.lit(edge(needle[0])))
         right = F.col("after").rlike(f"^{CORE}") | (F.col("after").rlike(f"^{JOIN}{LETTER}") & F.lit(edge(needle[-1])))
         found = found.filter(~left & ~right)
-    return found.select("id", F.col("start").cast("int").alias("start"), (F.col("start") + n).cast("int").alias("end"))
+    found = found.select("id", F.col("start").cast("int").alias("start"), (F.col("start") + n).cast("int").alias("end"))
+    return found if most is None else found.orderBy("id", "start").limit(most)
 
 
 def located(offsets: DataFrame, tiles: DataFrame) -> DataFrame:

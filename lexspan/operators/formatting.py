@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .markup import MARKERS
+from .markers import of_kind
 
-_BLOCK = "|".join(sorted((m for m, k in MARKERS.items() if k in ("book", "head", "title", "chapter", "heading", "paragraph")), key=lambda m: (-len(m), m)))
+_BLOCK = "|".join(sorted(of_kind("book", "head", "title", "intro", "chapter", "heading", "paragraph", "row"), key=lambda m: (-len(m), m)))
 #: rule -> (pattern, replacement), applied in this order
 RULES: dict[str, tuple[str, str]] = {
     "normalize-newlines": ("\\r\\n?", "\n"),

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: marker name -> kind; anything else is unknown
-MARKERS = {"id": "book", "ide": "head", "h": "head", "toc1": "head", "mt": "title", "mt1": "title", "c": "chapter", "v": "verse", "p": "paragraph", "m": "paragraph", "q": "paragraph", "q1": "paragraph", "q2": "paragraph", "s": "heading", "s1": "heading", "s5": "heading", "r": "heading", "f": "note", "x": "note", "fr": "notechar", "ft": "notechar", "w": "char", "wj": "char", "add": "char", "nd": "char"}
+from .markers import MARKERS, of_kind
+
 TOKEN = "\\\\\\+?[a-z]+[0-9]*\\*|\\\\\\+?[a-z]+[0-9]*(?:-[se])?[ ]?|\\r?\\n|[^\\\\\\r\\n]+|\\\\|\\r"
 
 
@@ -46,7 +46,7 @@ def contents(books: DataFrame) -> DataFrame:
     t = t.withColumn("opens", F.lag("marker").over(w)).withColumn("after_marker", F.lag("kind").over(w) == "Marker")
     is_c, is_v = F.col("after_marker") & (F.col("opens") == "c"), F.col("after_marker") & (F.col("opens") == "v")
     t = t.withColumn("chapter_here", F.when(is_c, head)).withColumn("verse_here", F.when(is_c | (F.col("marker") == "c"), "").when(is_v, head))
-    group = F.when(F.col("kind") == "Marker", F.when(F.col("marker").isin(*[m for m, k in MARKERS.items() if k in ("heading", "title", "head", "book")]), "heading").when(F.col("marker").isin(*[m for m, k in MARKERS.items() if k in ("paragraph", "verse", "chapter")]), "text"))
+    group = F.when(F.col("kind") == "Marker", F.when(F.col("marker").isin(*of_kind("heading", "title", "intro", "head", "book")), "heading").when(F.col("marker").isin(*of_kind("paragraph", "row", "verse", "chapter")), "text"))
     to_here = w.rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("chapter", F.last("chapter_here", True).over(to_here)).withColumn("verse", F.nullif(F.last("verse_here", True).over(to_here), F.lit(""))).withColumn("heading", F.coalesce(F.last(group, True).over(to_here) == "heading", F.lit(False)))
     return t.drop("chapter_here", "verse_here", "after_marker")
@@ -109,8 +109,8 @@ def lint(books: DataFrame) -> DataFrame:
     c = c.withColumn("ids", F.count_if((F.col("kind") == "Marker") & (F.col("marker") == "id")).over(of_book)).withColumn("chapters", F.count_if((F.col("kind") == "Marker") & (F.col("marker") == "c")).over(of_book))
     mark = F.col("kind") == "Marker"
     bare = (F.col("next_kind").isNull()) | (F.col("next_kind") != "Text")
-    paragraph = mark & F.col("marker").isin(*[m for m, k in MARKERS.items() if k == "paragraph"])
-    block = [m for m, k in MARKERS.items() if k in ("paragraph", "heading", "chapter")]
+    paragraph = mark & F.col("marker").isin(*of_kind("paragraph"))
+    block = of_kind("paragraph", "heading", "chapter")
     follow = F.when(F.col("next_kind") == "Newline", F.lead("marker", 2).over(w)).otherwise(F.col("next_marker"))
     c = c.withColumn("follow", follow)
     first_row = F.row_number().over(w) == 1
@@ -130,7 +130,7 @@ def lint(books: DataFrame) -> DataFrame:
         "verse-without-designator": mark & (F.col("marker") == "v") & bare,
         "chapter-without-designator": mark & (F.col("marker") == "c") & bare,
         "paragraph-before-first-chapter": paragraph & F.col("chapter").isNull(),
-        "empty-paragraph": paragraph & bare & F.coalesce(F.col("follow").isin(*block), F.lit(True)),
+        "empty-paragraph": paragraph & (F.col("marker") != "b") & bare & F.coalesce(F.col("follow").isin(*block), F.lit(True)),
         "delimiter-surplus": is_text & F.col("opens").isNotNull() & F.col("text").rlike("^ +[^ ]"),
         "book-code-not-uppercase": after("id") & F.col("d").rlike("^[A-Za-z0-9]{3}$") & (F.col("d") != F.upper("d")),
         "book-code-unknown": after("id") & ~code.isin(*BOOKS),

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..binding import known_to_workers
-from .markup import MARKERS, tokens
+from .markers import MARKERS
+from .markup import tokens
 
 #: how deep each kind stands: a marker closes everything open that stands as deep or deeper, notes apart
-_DEPTH = {"book": 1, "head": 1, "title": 1, "chapter": 1, "heading": 1, "paragraph": 1, "verse": 2, "note": 3, "notechar": 4, "char": 4}
+_DEPTH = {"book": 1, "head": 1, "title": 1, "chapter": 1, "heading": 1, "paragraph": 1, "intro": 1, "row": 1, "sidebar": 1, "periph": 1, "cell": 2, "verse": 2, "note": 3, "notechar": 4, "char": 4}
 NODE = "book string, node int, parent int, marker string, kind string, first_pos int, last_pos int, closed string"
 
 

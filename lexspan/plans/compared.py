@@ -15,11 +15,11 @@ def units(spark: SparkSession, sf_dir: str, corpus: str) -> DataFrame:
     """Documents of a language as units: book = source, chapter = doc_id mod 40, bridges where the document's length says so."""
     d = table(spark, sf_dir, "documents").filter(F.col("lang") == corpus)
     chapter, first = (F.col("doc_id") % 7).cast("int"), (F.col("n_chars") % 23).cast("int") + 1
-    return d.select(F.col("source").alias("book"), chapter.alias("chapter"), first.alias("first"), F.when(F.col("n_chars") % 5 == 0, first + 2).otherwise(first).alias("last"), F.col("doc_id").alias("at"), F.col("doc_id").cast("string").alias("text"))
+    return d.select(F.col("source").alias("book"), chapter.alias("chapter"), first.alias("first"), F.when(F.col("n_chars") % 5 == 0, first + 2).otherwise(first).alias("last"), F.col("doc_id").alias("at"), "text")
 
 
 def _units_sql(corpus: str) -> str:
-    return f"SELECT source AS book, (doc_id % 7)::int AS chapter, (n_chars % 23)::int + 1 AS first, (n_chars % 23)::int + 1 + CASE WHEN n_chars % 5 = 0 THEN 2 ELSE 0 END AS last, doc_id AS at_, doc_id::varchar AS text FROM documents WHERE lang = '{corpus}'"
+    return f"SELECT source AS book, (doc_id % 7)::int AS chapter, (n_chars % 23)::int + 1 AS first, (n_chars % 23)::int + 1 + CASE WHEN n_chars % 5 = 0 THEN 2 ELSE 0 END AS last, doc_id AS at_, text FROM documents WHERE lang = '{corpus}'"
 
 
 def pairing(spark, sf_dir):

@@ -38,10 +38,8 @@ CASE WHEN (doc_id + i) % 11 = 0 THEN (i % 12 + 1) || '-' || (i % 12 + 2) WHEN (d
 CASE WHEN (doc_id + i) % 29 = 0 THEN '\zz ' ELSE '' END || line || chr(10), '' ORDER BY i) AS src
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10)))))::int AS i FROM documents) GROUP BY doc_id)"""
 
-_HEADING = ", ".join(f"'{m}'" for m, k in M.MARKERS.items() if k in ("heading", "title", "head", "book"))
-_TEXT = ", ".join(f"'{m}'" for m, k in M.MARKERS.items() if k in ("paragraph", "verse", "chapter"))
-_PARAGRAPH = ", ".join(f"'{m}'" for m, k in M.MARKERS.items() if k == "paragraph")
-_BLOCK = ", ".join(f"'{m}'" for m, k in M.MARKERS.items() if k in ("paragraph", "heading", "chapter"))
+# The markers that books() writes, as literals: the oracles don't read the engine's table.
+_KNOWN, _HEADING, _TEXT, _PARAGRAPH, _BLOCK = "'id', 'c', 'p', 's1', 'v'", "'id', 's1'", "'p', 'v', 'c'", "'p'", "'p', 's1', 'c'"
 TOKENS_SQL = rf"""{BOOKS_SQL},
 raw AS (SELECT book, unnest(regexp_extract_all(src, '{M.TOKEN}')) AS text, unnest(range(0, len(regexp_extract_all(src, '{M.TOKEN}'))))::int AS pos FROM books),
 toks AS (SELECT book, pos, (sum(length(text)) OVER (PARTITION BY book ORDER BY pos) - length(text))::int AS start, length(text)::int AS len,
@@ -73,7 +71,7 @@ c2 AS (SELECT *, max(n) OVER (PARTITION BY book ORDER BY pos ROWS BETWEEN UNBOUN
 i AS (SELECT book, count(*) FILTER (marker = 'id') AS k FROM marks GROUP BY 1),
 b AS (SELECT *, lead(kind) OVER w AS nk, lead(marker) OVER w AS nm, lead(marker, 2) OVER w AS nm2, regexp_extract(text, '^(\S+)', 1) AS d FROM ctx WINDOW w AS (PARTITION BY book ORDER BY pos)),
 every AS (
-SELECT book, 'unknown-marker' AS code, chapter FROM marks WHERE marker NOT IN ({", ".join(f"'{m}'" for m in M.MARKERS)})
+SELECT book, 'unknown-marker' AS code, chapter FROM marks WHERE marker NOT IN ({_KNOWN})
 UNION ALL SELECT book, 'designator-malformed', chapter FROM v WHERE NOT ok
 UNION ALL SELECT book, 'verse-before-first-chapter', chapter FROM v WHERE chapter IS NULL
 UNION ALL SELECT book, 'verse-duplicate', chapter FROM s WHERE times > 1
@@ -91,7 +89,7 @@ UNION ALL SELECT book, 'paragraph-before-first-chapter', chapter FROM b WHERE ki
 UNION ALL SELECT book, 'empty-paragraph', chapter FROM b WHERE kind = 'Marker' AND marker IN ({_PARAGRAPH}) AND (nk IS NULL OR nk <> 'Text') AND coalesce(CASE WHEN nk = 'Newline' THEN nm2 ELSE nm END IN ({_BLOCK}), true)
 UNION ALL SELECT book, 'delimiter-surplus', chapter FROM b WHERE kind = 'Text' AND opens IS NOT NULL AND regexp_matches(text, '^ +[^ ]')
 UNION ALL SELECT book, 'book-code-not-uppercase', chapter FROM b WHERE kind = 'Text' AND opens = 'id' AND regexp_full_match(d, '[A-Za-z0-9]{{3}}') AND d <> upper(d)
-UNION ALL SELECT book, 'book-code-unknown', chapter FROM b WHERE kind = 'Text' AND opens = 'id' AND upper(left(d, 3)) NOT IN ({", ".join(f"'{m}'" for m in M.BOOKS)}))
+UNION ALL SELECT book, 'book-code-unknown', chapter FROM b WHERE kind = 'Text' AND opens = 'id' AND upper(left(d, 3)) <> 'GEN')
 SELECT book, code, chapter, count(*) AS n FROM every GROUP BY 1, 2, 3"""
 
 DAMAGED_SQL = H.damaged_sql(CHAPTERS_SQL)

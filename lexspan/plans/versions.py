@@ -60,17 +60,17 @@ def block_texts(spark, sf_dir):
 
 def spliced(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    b = d.select(F.col("doc_id").cast("string").alias("book"), F.substring("text", 1, 60).alias("src"))
-    n = F.char_length(F.substring("text", 1, 60))
+    b = d.select(F.col("doc_id").cast("string").alias("book"), F.col("text").alias("src"))
+    n = F.char_length(F.col("text"))
     edit = lambda a, z, t: F.struct(a.cast("int").alias("begin"), z.cast("int").alias("end"), t.alias("put"))
     third = (n / 3).cast("int")
     e = d.select(F.col("doc_id").cast("string").alias("book"), F.inline(F.array(edit(third, F.when(F.col("doc_id") % 5 == 0, third * 2 + 1).otherwise(third + F.least(n - third, F.lit(2))), F.lit("[A]")), edit(third * 2, third * 2 + F.when(F.col("doc_id") % 7 == 0, 100).otherwise(0), F.lit("<B>")))))
     return D.spliced(b, e)
 
 
-SPLICED_SQL = """SELECT book, CASE WHEN error IS NULL THEN left(src, t) || '[A]' || substring(src, z + 1, 2 * t - z) || '<B>' || substring(src, 2 * t + 1) ELSE src END AS src, error FROM (
+SPLICED_SQL = """SELECT book, CASE WHEN error IS NULL THEN left(src, t) || '[A]' || substring(src, z + 1, 2 * t - z) || '<B>' || substring(src, 2 * t + CASE WHEN doc_id % 7 = 0 THEN 100 ELSE 0 END + 1) ELSE src END AS src, error FROM (
 SELECT *, CASE WHEN doc_id % 7 = 0 AND 2 * t + 100 > n OR z > n THEN 'out-of-range' WHEN 2 * t < z OR (t = 2 * t AND false) THEN 'overlap' END AS error FROM (
-SELECT *, CASE WHEN doc_id % 5 = 0 THEN 2 * t + 1 ELSE t + least(n - t, 2) END AS z FROM (SELECT doc_id, doc_id::varchar AS book, left(text, 60) AS src, length(left(text, 60)) AS n, length(left(text, 60)) // 3 AS t FROM documents)))"""
+SELECT *, CASE WHEN doc_id % 5 = 0 THEN 2 * t + 1 ELSE t + least(n - t, 2) END AS z FROM (SELECT doc_id, doc_id::varchar AS book, text AS src, length(text) AS n, length(text) // 3 AS t FROM documents)))"""
 
 
 def chunks_changed(spark, sf_dir):

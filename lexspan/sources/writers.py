@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.markup import MARKERS, contents, verse_rows
+from ..operators.markers import MARKERS
+from ..operators.markup import contents, verse_rows
 
 
 def verse_line_rows(books: DataFrame) -> DataFrame:

@@ -291,3 +291,70 @@ def test_manifest_check(spark):
     listed = spark.createDataFrame([("a.usfm", 3, "x"), ("gone.usfm", 1, "y"), ("big.usfm", 9, None)], "name string, size long, md5 string")
     files = spark.createDataFrame([("a.usfm", bytearray(b"abc")), ("big.usfm", bytearray(b"12345678")), ("extra.txt", bytearray(b"?"))], "name string, content binary")
     assert rows(checks.ingredients(listed, files), "name", "problem") == [("a.usfm", "checksum"), ("big.usfm", "size"), ("extra.txt", "unlisted"), ("gone.usfm", "missing")]
+
+
+def test_markers_are_spelled_by_rule():
+    from lexspan.operators.markers import FAMILIES, MARKERS
+
+    assert MARKERS["q4"] == "paragraph" and "q5" not in MARKERS and "s5" not in MARKERS and MARKERS["tc12"] == "cell"
+    assert FAMILIES["mt"] == FAMILIES["mt3"] == "mt" and "p" not in FAMILIES and MARKERS["wj"] == "char" and MARKERS["xt"] == "notechar"
+
+
+def test_custom_markers():
+    from lexspan.operators.markers import definitions, with_custom
+
+    text = "﻿\\marker zmyp\r\n\\category versepara\r\n\\description A paragraph.\n\\attribute a\n\\attribute b\n\n\\marker foo\n\\category char\n\\marker zx\n\\category nonsense\n\\marker zmyp\n\\category char\nplain\n\\odd x\n"
+    kept, flaws = definitions(text)
+    assert kept == [{"name": "zmyp", "category": "versepara", "description": "A paragraph.", "attributes": ["a", "b"]}]
+    assert [(n, w) for n, _, w in flaws] == [(7, "not a custom name"), (9, "no category"), (10, "unknown category"), (11, "defined twice"), (13, "not a field"), (14, "unknown field")]
+    assert with_custom(text)["zmyp"] == "paragraph" and "foo" not in with_custom(text)
+    assert definitions("\\category char\n") == ([], [(1, None, "field before the first marker")])
+
+
+def test_form_lint_by_hand(spark):
+    from lexspan.operators.form import form_lint
+
+    cases = {
+        "\\id GEN\n\\c 1\n\\ca 2\\ca*\n\\cp X\n\\p\n\\v 1 \\va 2\\va* a\n": {},
+        "\\id GEN\n\\c 1\n\\p\n\\v 1 a \\va 2\\va* \\vp 3\\vp* b\n": {"va-vp-placement": 1},
+        "\\id GEN\n\\c 1\n\\s1 Head\n\\v 1 a\n\\v 2 b\n\\c 2\n\\v 1 a\n": {"missing-paragraph": 2},
+        "\\id GEN\n\\c 1\n\\p\n\\v 1 a \\f + \\ft \\+nd x\\+nd* \\f*text\\p more\n": {"marker-not-ws-preceded": 1},
+        "\\id GEN\n\\usfm 2.4\n\\c 1\n\\p\n\\v 1 \\addpn x\\addpn*\n": {},
+        "\\id GEN\n\\usfm 3.1\n\\c 1\n\\p\n\\v 1 \\addpn x\\addpn*\n\\ph2 y\n": {"deprecated-marker": 2},
+        "\\id GEN\n\\mt T\n\\h late\n\\c 1\n\\p\n\\v 1 a\n": {"marker-out-of-band": 1, "delimiter-shape": 1},
+        "\\id GEN\n\\c 1\n\\q1 a\n\\q2 b\n\\li c\n\\li2 d\n\\li3 e\n\\f +\\ft glued\\f*\n": {"numbering-mix": 1},
+    }
+    frame = spark.createDataFrame([(str(i), s) for i, s in enumerate(cases)], "book string, src string")
+    got = {}
+    for r in form_lint(frame).collect():
+        got.setdefault(int(r.book), {})[r.code] = r.n
+    for i, (src, want) in enumerate(cases.items()):
+        assert got.get(i, {}) == want, src
+
+
+def test_chapter_scan_and_units(spark):
+    from lexspan.operators import listing
+
+    books = spark.createDataFrame([("a", "\\id GEN\n\\c 1\n\\p \\v 1 a\n\\c 2\n\\p \\v 1 b\n"), ("b", "x \\c 1\r\ny\n"), ("c", "")], "book string, src string")
+    got = {r.book: (r.starts, r.lf, r.crlf) for r in listing.chapter_scan(books).collect()}
+    assert got == {"a": ("0,8,23", 5, 0), "b": ("0", 1, 1), "c": ("0", 0, 0)}
+    text = "Don't, 3rd-class x--y!"
+    units = listing.display_units(spark.createDataFrame([(1, text)], "id int, text string")).orderBy("at").collect()
+    assert "".join(u.unit for u in units) == text and [u.unit for u in units if u.is_word] == ["Don't", "3rd-class", "x", "y"]
+    assert all(text[u.start :].startswith(u.unit) for u in units)
+
+
+def test_insertion_points_by_hand(spark):
+    from lexspan.operators.compare import insertion_points
+
+    kind = "book string, chapter int, verse int, begin long, end long"
+    target = spark.createDataFrame([("a", 1, 2, 10, 20), ("a", 1, 5, 20, 30), ("a", 2, 1, 40, 50)], kind)
+    source = spark.createDataFrame([("a", 1, v, 0, 0) for v in (1, 2, 3, 6)] + [("a", 3, 1, 0, 0), ("b", 1, 1, 0, 0)], kind)
+    got = {(r.book, r.chapter, r.verse): r.at for r in insertion_points(target, source).collect()}
+    assert got == {("a", 1, 1): 10, ("a", 1, 3): 20, ("a", 1, 6): 30, ("a", 3, 1): 50, ("b", 1, 1): 0}
+
+
+def test_search_fold():
+    from lexspan.functions.unicode import folded
+
+    assert [folded(x) for x in ("Éàñ", "ﬁx", "Ⅳ", "áb", "ß", "")] == ["ean", "fix", "iv", "ab", "ß", ""]
