@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..binding import CHAPTERS_SQL, VERSES_SQL, chapters, table, verses
+from ..functions.ladders import GLYPH
 from ..functions.text import CORE, HAS_LETTER, WORD, char_class_sql, words_sql
 from ..functions.unicode import nfd_length, search_fold
 from ..operators import census as C
@@ -15,6 +16,7 @@ from ..operators import form as L
 from ..operators import judge as J
 from ..operators import listing as G
 from ..operators import sites as P
+from ..operators.passes import Pass, run
 from . import placed
 from .compared import PAIRING_SQL, TYPOS_SQL
 from .marked import BOOKS_SQL, CONTENTS_SQL, TOKENS_SQL, books
@@ -210,7 +212,23 @@ r AS (SELECT DISTINCT x.corpus, book, chapter, at_, 'rarity' AS reason FROM x JO
 g AS (SELECT corpus, book, chapter, at_, bool_or(reason = 'rarity') AS rare, string_agg(reason, ',' ORDER BY reason) AS reasons FROM (SELECT * FROM p UNION ALL SELECT * FROM r) GROUP BY ALL)
 SELECT corpus, book, chapter, at_ AS "at", CASE WHEN rare THEN 'rarity' ELSE 'placement' END AS headline, reasons FROM g"""
 
+# passes of one's own
+
+
+def line_ends(chapter: DataFrame) -> DataFrame:
+    """How lines end: their last character's class of mark, a pass outside the built-in ones."""
+    line = chapter.select("corpus", "book", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return line.groupBy("corpus", "book", F.lit("line").alias("slot"), F.right("line", F.lit(1)).alias("key")).agg(F.count("*").alias("n"))
+
+
+def own_pass(spark, sf_dir):
+    return run(chapters(spark, sf_dir), Pass("line_ends", line_ends))
+
+
+OWN_PASS_SQL = f"""SELECT 'line_ends' AS pass, corpus, 'line' AS slot, key, books, numerator, denominator, ceiling_bp, share_bp FROM ({J._judged_sql(f"SELECT *, sum(numerator) OVER (PARTITION BY corpus)::bigint AS denominator FROM (SELECT corpus, right(line, 1) AS key, count(*) AS numerator, count(DISTINCT book) AS books FROM (SELECT corpus, book, unnest(string_split(text, chr(10))) AS line FROM ({CHAPTERS_SQL})) WHERE line <> '' GROUP BY 1, 2)", "corpus, key, books", GLYPH)})"""
+
 QUERIES = {
+    "own_pass": own_pass,
     "form_lint": lambda s, d: L.form_lint(odd_books(s, d)),
     "find_first_hits": find_first,
     "pattern_order": pattern_order,
@@ -229,6 +247,7 @@ QUERIES = {
     "decomposed": decomposed,
 }
 ORACLES = {
+    "own_pass": OWN_PASS_SQL,
     "form_lint": FORM_SQL,
     "find_first_hits": f"SELECT * FROM ({placed._hits_sql('tion')}) ORDER BY id, start LIMIT 100",
     "pattern_order": PATTERNS_SQL,

@@ -117,3 +117,45 @@ def test_incremental_is_cold(spark, tmp_path):
     before = state.current().count()
     state.upsert(again, 99)  # nothing new: nothing is counted again
     assert state.current().count() == before
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    from lexspan.streaming.incremental import BookState, bucket
+
+    state = BookState(spark, str(tmp_path / "state"), buckets=8)
+    first = spark.createDataFrame([("en", f"b{i}", f"text, {i}.") for i in range(30)], "corpus string, book string, text string")
+    state.upsert(first, 1)
+    state.upsert(spark.createDataFrame([("en", "b3", None), ("en", "b4", "new; text")], first.schema), 2)
+    own = {r[0] for r in first.filter("book IN ('b3', 'b4')").select(bucket(8)).collect()}
+    assert {int(p.name.partition("=")[2]) for p in (tmp_path / "state" / "2").glob("bucket=*")} == own
+    assert {r.book for r in state.current().select("book").distinct().collect()} == {f"b{i}" for i in range(30)} - {"b3"}
+    state.upsert(spark.createDataFrame([("en", "b4", "new; text")], first.schema), 3)
+    state.upsert(spark.createDataFrame([("en", "b4", "newer: text")], first.schema), 4)
+    assert {r.glyph for r in state.current().filter("book = 'b4'").collect()} == {":"}
+    assert not list((tmp_path / "state" / "2").glob(f"bucket={[r[0] for r in first.filter("book = 'b4'").select(bucket(8)).collect()][0]}"))
+
+
+def test_keyed_store(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lexspan.streaming.keyed import KeyedStore, key_of
+
+    store, asked = KeyedStore(spark, str(tmp_path / "store")), []
+
+    def compute(fresh):
+        rows = fresh.collect()
+        asked.append(sorted(r.text for r in rows if r.text is not None))
+        return spark.createDataFrame([(r.key, w) for r in rows for w in (r.text or "").split()], "key string, word string")
+
+    def ask(texts, generation, version=1):
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("key", key_of(version, F.col("text")))
+        return sorted(r.word for r in store.resolve(docs, compute, generation).collect())
+
+    assert ask(["a b", "c", "", None, "c"], 1) == ["a", "b", "c"] and asked[-1] == ["", "a b", "c"]
+    assert ask(["a b", "d", ""], 2) == ["a", "b", "d"] and asked[-1] == ["d"]
+    assert ask(["a b", "d", ""], 2) == ["a", "b", "d"] and asked[-1] == ["d"]  # a generation run again
+    assert ask(["a b"], 3, version=2) == ["a", "b"] and asked[-1] == ["a b"]
+    store.sweep(3, keep=2)
+    assert ask(["c", "d", "a b"], 5) == ["a", "b", "c", "d"] and asked[-1] == ["c"]
+    store.sweep(5, keep=9, budget=2)
+    assert store.rows().count() <= 4
