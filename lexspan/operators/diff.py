@@ -195,7 +195,12 @@ def word_changes(units: DataFrame) -> DataFrame:
             out: list = []
             for unit, old, new in zip(*(batch.column(c).to_pylist() for c in ("unit", "old", "new")), strict=True):
                 a, b = re.findall(_PIECE, old or ""), re.findall(_PIECE, new or "")
-                for at, (tag, i, j, k, m) in enumerate(SequenceMatcher(None, a, b, autojunk=False).get_opcodes()):
+                head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+                most = min(len(a), len(b)) - head
+                tail = next((i for i in range(most) if a[-1 - i] != b[-1 - i]), most)
+                middle = SequenceMatcher(None, a[head : len(a) - tail], b[head : len(b) - tail], autojunk=False).get_opcodes()
+                runs = [("equal", 0, head, 0, head)] * (head > 0) + [(tag, i + head, j + head, k + head, m + head) for tag, i, j, k, m in middle] + [("equal", len(a) - tail, len(a), len(b) - tail, len(b))] * (tail > 0)
+                for at, (tag, i, j, k, m) in enumerate(runs):
                     out.append((unit, at, name[tag], "".join(a[i:j]), "".join(b[k:m])))
             u, at, change, old, new = zip(*out, strict=True) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(u, batch.column("unit").type), pa.array(at, pa.int32()), pa.array(change, pa.string()), pa.array(old, pa.string()), pa.array(new, pa.string())], names=["unit", "at", "change", "old", "new"])

@@ -11,10 +11,12 @@ from ..functions.text import CORE, HAS_LETTER, WORD, char_class_sql, words_sql
 from ..functions.unicode import nfd_length, search_fold
 from ..operators import census as C
 from ..operators import compare as K
+from ..operators import diff as D
 from ..operators import find as S
 from ..operators import form as L
 from ..operators import judge as J
 from ..operators import listing as G
+from ..operators import overlay as V
 from ..operators import sites as P
 from ..operators.passes import Pass, run
 from . import placed
@@ -212,6 +214,44 @@ r AS (SELECT DISTINCT x.corpus, book, chapter, at_, 'rarity' AS reason FROM x JO
 g AS (SELECT corpus, book, chapter, at_, bool_or(reason = 'rarity') AS rare, string_agg(reason, ',' ORDER BY reason) AS reasons FROM (SELECT * FROM p UNION ALL SELECT * FROM r) GROUP BY ALL)
 SELECT corpus, book, chapter, at_ AS "at", CASE WHEN rare THEN 'rarity' ELSE 'placement' END AS headline, reasons FROM g"""
 
+# blocks of one book put on another
+
+
+def unblocked(spark, sf_dir):
+    """The books without paragraph markers, with others for them, or as they are."""
+    k, src = F.regexp_extract("book", "[0-9]+", 0).cast("int"), F.col("src")
+    return books(spark, sf_dir).select("book", F.when(k % 3 == 0, F.replace(src, F.lit("\\p\n"), F.lit(""))).when(k % 3 == 1, F.replace(src, F.lit("\\p\n"), F.lit("\\q1\n\\m\n"))).otherwise(src).alias("src"))
+
+
+def block_pairs(spark, sf_dir):
+    return V.block_pairs(unblocked(spark, sf_dir), books(spark, sf_dir)).groupBy("book", "change").agg(F.count("*").alias("n"))
+
+
+def overlaid_books(spark, sf_dir):
+    """The blocks after the overlay, against the source's again."""
+    made = V.overlaid(unblocked(spark, sf_dir), books(spark, sf_dir)).select("book", "src")
+    return V.block_pairs(made, books(spark, sf_dir)).groupBy("book", "change").agg(F.count("*").alias("n"))
+
+
+_BLOCKS = rf"WITH {BOOKS_SQL}, b AS (SELECT book, regexp_extract(book, '[0-9]+')::int % 3 AS k, ((length(src) - length(replace(src, '\p' || chr(10), ''))) // 3)::bigint AS n FROM books)"
+
+
+# versions of texts
+
+
+def word_changes(spark, sf_dir):
+    """Texts against themselves with words put at an end."""
+    d = table(spark, sf_dir, "documents")
+    k, t = F.col("doc_id") % 3, F.col("text")
+    new = F.when(k == 0, F.concat(t, F.lit(" zz"))).when(k == 1, F.concat(F.lit("zz "), t)).otherwise(t)
+    return D.word_changes(d.select(F.col("doc_id").alias("unit"), t.alias("old"), new.alias("new")))
+
+
+WORD_CHANGES_SQL = """WITH d AS (SELECT doc_id AS unit, doc_id % 3 AS k, text FROM documents)
+SELECT unit, (CASE k WHEN 1 THEN 1 ELSE 0 END)::int AS "at", 'same' AS change, text AS old, text AS new FROM d WHERE text <> ''
+UNION ALL SELECT unit, (CASE WHEN k = 0 AND text <> '' THEN 1 ELSE 0 END)::int, 'added', '', CASE k WHEN 0 THEN ' zz' ELSE 'zz ' END FROM d WHERE k < 2"""
+
+
 # passes of one's own
 
 
@@ -228,6 +268,9 @@ def own_pass(spark, sf_dir):
 OWN_PASS_SQL = f"""SELECT 'line_ends' AS pass, corpus, 'line' AS slot, key, books, numerator, denominator, ceiling_bp, share_bp FROM ({J._judged_sql(f"SELECT *, sum(numerator) OVER (PARTITION BY corpus)::bigint AS denominator FROM (SELECT corpus, right(line, 1) AS key, count(*) AS numerator, count(DISTINCT book) AS books FROM (SELECT corpus, book, unnest(string_split(text, chr(10))) AS line FROM ({CHAPTERS_SQL})) WHERE line <> '' GROUP BY 1, 2)", "corpus, key, books", GLYPH)})"""
 
 QUERIES = {
+    "block_pairs": block_pairs,
+    "overlaid_books": overlaid_books,
+    "word_changes": word_changes,
     "own_pass": own_pass,
     "form_lint": lambda s, d: L.form_lint(odd_books(s, d)),
     "find_first_hits": find_first,
@@ -247,6 +290,9 @@ QUERIES = {
     "decomposed": decomposed,
 }
 ORACLES = {
+    "block_pairs": f"{_BLOCKS} SELECT book, change, n FROM (SELECT book, 'missing' AS change, n FROM b WHERE k = 0 UNION ALL SELECT book, 'respelled', n FROM b WHERE k = 1 UNION ALL SELECT book, 'extra', n FROM b WHERE k = 1 UNION ALL SELECT book, 'same', n FROM b WHERE k = 2) WHERE n > 0",
+    "overlaid_books": f"{_BLOCKS} SELECT book, 'same' AS change, n FROM b WHERE n > 0",
+    "word_changes": WORD_CHANGES_SQL,
     "own_pass": OWN_PASS_SQL,
     "form_lint": FORM_SQL,
     "find_first_hits": f"SELECT * FROM ({placed._hits_sql('tion')}) ORDER BY id, start LIMIT 100",
