@@ -58,6 +58,30 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", doc.alias("doc"), F.when(doc.isNull(), "not-json").alias("problem"))
 
 
+def yaml_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, doc, problem): YAML manifests under a folder as variants, like manifests(); one that can't be read says why."""
+    known_to_workers(spark)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.y*ml").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("yaml"))
+
+    def read(batches):
+        import json
+
+        from .yaml import parse
+
+        for batch in batches:
+            docs, problems = [], []
+            for text in batch.column("yaml").to_pylist():
+                try:
+                    docs.append(json.dumps(parse(text), ensure_ascii=False))
+                    problems.append(None)
+                except ValueError as e:
+                    docs.append(None)
+                    problems.append(f"not-yaml: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(docs, pa.string()), pa.array(problems, pa.string())], names=["path", "json", "problem"])
+
+    return files.mapInArrow(read, "path string, json string, problem string").select("path", F.try_parse_json("json").alias("doc"), "problem")
+
+
 def manifest_fields(docs: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """(path, field.., problems): fields = {name: (JSON path, type)}; a missing or ill-typed field is null and named in problems."""
     got = {n: F.try_variant_get("doc", p, t) for n, (p, t) in fields.items()}

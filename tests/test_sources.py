@@ -7,6 +7,7 @@ import json
 import zipfile
 from xml.etree import ElementTree
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexspan.binding import chapters
@@ -159,3 +160,63 @@ def test_keyed_store(spark, tmp_path):
     assert ask(["c", "d", "a b"], 5) == ["a", "b", "c", "d"] and asked[-1] == ["c"]
     store.sweep(5, keep=9, budget=2)
     assert store.rows().count() <= 4
+
+
+def test_yaml():
+    from lexspan.sources.yaml import parse
+
+    text = """# a manifest
+---
+dublin_core:
+  type: 'bundle'
+  title: "A \\"title\\""   # a comment
+  version: 4.1
+  issued: 2017-06-12
+  count: 12
+  flags: [one, 'two, three', {a: 1, b: [2]}]
+  url: http://x.org/a#b
+  empty:
+  language: {identifier: en, direction: ltr}
+  relation:
+  - 'en/tq'
+  - "en/tn?v=4"
+projects:
+  -
+    title: 'Genesis '
+    sort: 1
+    categories: [ 'bible-ot' ]
+  - title: Exodus
+    sort: 2
+    nested:
+      - - 1
+        - ~
+note: |
+  two
+   lines
+
+folded: >-
+  one
+  line
+ok: true
+ok: false
+"""
+    doc = parse(text)
+    core = doc["dublin_core"]
+    assert core == {"type": "bundle", "title": 'A "title"', "version": 4.1, "issued": "2017-06-12", "count": 12, "flags": ["one", "two, three", {"a": 1, "b": [2]}], "url": "http://x.org/a#b", "empty": None, "language": {"identifier": "en", "direction": "ltr"}, "relation": ["en/tq", "en/tn?v=4"]}
+    assert doc["projects"] == [{"title": "Genesis ", "sort": 1, "categories": ["bible-ot"]}, {"title": "Exodus", "sort": 2, "nested": [[1, None]]}]
+    assert (doc["note"], doc["folded"], doc["ok"]) == ("two\n lines\n", "one line", False) and list(doc) == ["dublin_core", "projects", "note", "folded", "ok"]
+    assert parse("") is None and parse("# x\n---\na: 1\n---\nb: 2\n") == {"a": 1} and parse("- 1\n- x: y\n  z: [ ]\n") == [1, {"x": "y", "z": []}]
+    for bad in ("a: &x 1", "a: *x", "a: [1", "a: 1\n   b: 2\n c: 3", "\ta: 1", "a: 'x"):
+        with pytest.raises(ValueError):
+            parse(bad)
+
+
+def test_yaml_manifests(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "manifest.yaml").write_text("core:\n  title: Titus\n  version: 3\n")
+    (tmp_path / "m" / "broken.yml").write_text("a: [1\n")
+    docs = readers.yaml_manifests(spark, str(tmp_path / "m"))
+    problems = {r.path.rpartition("/")[2]: r.problem for r in docs.select("path", "problem").collect()}
+    assert problems["manifest.yaml"] is None and problems["broken.yml"].startswith("not-yaml")
+    got = readers.manifest_fields(docs.filter("problem IS NULL"), {"title": ("$.core.title", "string"), "version": ("$.core.version", "int"), "none": ("$.core.none", "string")}).collect()
+    assert [(r.title, r.version, r.problems) for r in got] == [("Titus", 3, ["missing none"])]
