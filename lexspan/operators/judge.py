@@ -62,6 +62,44 @@ def exact_neighbor_sql() -> str:
     return f"WITH {C.RUNS_SQL} " + _judged_sql(inner, "corpus, glyph, next, books", GLYPH)
 
 
+def leaders(chapter: DataFrame) -> DataFrame:
+    """(corpus, glyph, pairs): marks with enough pairs inside runs for exact_neighbor() to judge what follows them."""
+    by = in_run_pairs(chapter).groupBy("corpus", "glyph").agg(F.sum("n").alias("pairs"))
+    return by.filter(F.col("pairs") >= GLYPH[0])
+
+
+def recurring_runs(chapter: DataFrame, recurs: int = 5) -> DataFrame:
+    """(corpus, run, n, pooled): runs that are a convention by recurrence: the run itself, or with all sentence-ending marks
+    read as one, occurs at least `recurs` times."""
+    r = C.runs(chapter).filter("char_length(run) > 1").groupBy("corpus", "run").agg(F.sum("n").alias("n"))
+    r = r.withColumn("shape", F.regexp_replace("run", dict(POOLS)["Terminal"], "T"))
+    r = r.withColumn("pooled", F.sum("n").over(Window.partitionBy("corpus", "shape")))  # few distinct runs a shape
+    return r.filter((F.col("n") >= recurs) | (F.col("pooled") >= recurs)).select("corpus", "run", "n", "pooled")
+
+
+def unexplained_placement(chapter: DataFrame) -> DataFrame:
+    """placement() without what exact_neighbor() already judges: a pair inside a run whose first mark is a leader counts in the
+    denominator alone. leaders() is a few marks a corpus and is broadcast."""
+    t = C.triples(chapter).filter(C.after(char_class(F.col("glyph")) == "Nonletter"))
+    known = F.broadcast(leaders(chapter).select("corpus", F.col("glyph").alias("leader"), F.lit(True).alias("leads")))
+    sides = F.array(F.struct(F.lit("before").alias("side"), char_class(F.col("before")).alias("class"), F.col("before").alias("leader")), F.struct(F.lit("after").alias("side"), char_class(F.col("after")).alias("class"), F.col("glyph").alias("leader")))
+    each = t.select("corpus", "book", "glyph", "n", F.inline(sides)).join(known, ["corpus", "leader"], "left")
+    own = ~(F.coalesce("leads", F.lit(False)) & (F.col("class") == "Nonletter"))
+    by = each.groupBy("corpus", "glyph", "side", "class").agg(F.sum("n").alias("all_n"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("numerator"), F.countDistinct(F.when(own, F.col("book"))).alias("books"))
+    total = F.sum("all_n").over(Window.partitionBy("corpus", "glyph", "side"))
+    return firing(by.withColumn("denominator", total).filter("class <> 'Edge' AND numerator > 0"), GLYPH).select("corpus", "glyph", "side", "class", "books", "numerator", "denominator", "ceiling_bp", "share_bp")
+
+
+def unexplained_placement_sql() -> str:
+    from ..functions.text import char_class_sql as k
+
+    led = "SELECT corpus, glyph AS leader FROM (SELECT corpus, before AS glyph, count(*) AS n FROM marks WHERE bc = 'Nonletter' GROUP BY 1, 2) WHERE n >= 5"
+    inner = f"""SELECT corpus, glyph, side, class, books, numerator, denominator FROM (SELECT *, sum(all_n) OVER (PARTITION BY corpus, glyph, side)::bigint AS denominator FROM (
+SELECT corpus, glyph, side, class, count(*) AS all_n, count(*) FILTER (own) AS numerator, count(DISTINCT book) FILTER (own) AS books FROM (
+SELECT s.*, NOT (class = 'Nonletter' AND l.leader IS NOT NULL) AS own FROM (SELECT corpus, book, glyph, 'before' AS side, bc AS class, before AS leader FROM marks UNION ALL SELECT corpus, book, glyph, 'after', ac, glyph FROM marks) s LEFT JOIN led l ON l.corpus = s.corpus AND l.leader = s.leader) GROUP BY 1, 2, 3, 4)) WHERE class <> 'Edge' AND numerator > 0"""
+    return f"WITH {C.TRIPLES_SQL}, marks AS (SELECT *, {k('before')} AS bc, {k('after')} AS ac FROM triples WHERE {k('glyph')} = 'Nonletter'), led AS ({led}) " + _judged_sql(inner, "corpus, glyph, side, class, books", GLYPH)
+
+
 #: pool -> what belongs to it, the first that matches counting: Unicode classes, and properties' members (fixed values).
 POOLS = (
     ("Quote", "[\\p{Pi}\\p{Pf}\"'‚„「」『』〝〞〟]"),

@@ -102,3 +102,34 @@ def repeated_blocks(books: DataFrame) -> DataFrame:
     """(book, text, times): pieces of text between markers that a book holds more than once, by which a diff can go wrong."""
     t = tokens(books).filter("kind = 'Text'").select("book", F.trim("text").alias("text")).filter("text <> ''")
     return t.groupBy("book", "text").agg(F.count("*").alias("times")).filter("times > 1")
+
+
+def listing_lines(ordered: DataFrame) -> DataFrame:
+    """(corpus, place, line) of in_order(): one line of text a pattern, as a terminal shows it."""
+    return ordered.select("corpus", "place", F.concat_ws(" ", "channel", "glyph", F.nullif("detail", F.lit("")), F.concat("numerator", F.lit("/"), "denominator")).alias("line"))
+
+
+def snippets(chapter: DataFrame, found: DataFrame, around: int = 10, most: int = 3) -> DataFrame:
+    """(corpus, headline, book, chapter, at, snippet): the first places of each corpus and headline with what stands around."""
+    rank = F.row_number().over(Window.partitionBy("corpus", "headline").orderBy("book", "chapter", "at"))
+    first = found.withColumn("k", rank).filter(F.col("k") <= most).select("corpus", "book", "chapter", "at", "headline")
+    met = chapter.join(F.broadcast(first), ["corpus", "book", "chapter"])  # `most` rows a corpus and channel
+    begin = F.greatest(F.col("at") - around, F.lit(0))
+    return met.select("corpus", "headline", "book", "chapter", "at", F.substring("text", begin + 1, F.col("at") - begin + around + 1).alias("snippet"))
+
+
+#: least numbers of candidates for a convention to be taken for one
+_LEAST = 3
+MARKED, LINE_START, ALONE = r"(?:^|\s)[vV]\.?\s*[0-9]{1,3}(?:\s|$)", r"^\s*[0-9]{1,3}(?:-[0-9]{1,3})?\s", r"^\s*[0-9]{1,3}(?:-[0-9]{1,3})?\s*$"
+
+
+def number_conventions(lines: DataFrame) -> DataFrame:
+    """(unit, marked, line_start, alone, mode) of lines(unit, line): how verse numbers are written, if they are."""
+    c = F.col("line")
+    by = lines.groupBy("unit").agg(
+        F.sum(F.regexp_count(c, F.lit(MARKED))).alias("marked"),
+        F.count_if(c.rlike(LINE_START) & ~c.rlike(ALONE)).alias("line_start"),
+        F.count_if(c.rlike(ALONE)).alias("alone"),
+    )
+    at_lines = F.col("line_start") + F.col("alone")
+    return by.withColumn("mode", F.when((F.col("marked") >= _LEAST) & (F.col("marked") * 2 >= at_lines), "marked").otherwise("line_start"))

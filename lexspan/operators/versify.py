@@ -107,3 +107,71 @@ def beyond_scheme(units: DataFrame, counts: DataFrame, scheme: str) -> DataFrame
     over = top.filter("end > count").select("book", "chapter", F.lit("verse-beyond-scheme").alias("code"), F.col("end").alias("verse")).distinct()
     short = top.groupBy("book", "chapter", "count").agg(F.max("end").alias("end")).filter("end < count").select("book", "chapter", F.lit("chapter-ends-early").alias("code"), F.col("end").alias("verse"))
     return over.union(short)
+
+
+def scheme_problems(counts: DataFrame, rows: DataFrame, excluded: DataFrame, books: list[str], built_in: tuple[str, ...] = ()) -> DataFrame:
+    """(scheme, entry, problem): what keeps the schemes of these tables from being used, entry by entry.
+
+    excluded(scheme, book, chapter, verse). A scheme needs a name that is no built-in one's; a book stands in the table of
+    codes, with its chapters from 1 on and verses in each; rows pair ranges of one length, or one verse with several,
+    inside the scheme's own counts, and give a part to a single verse of the hub only.
+    """
+    place = lambda b, c, v: F.concat(b, F.lit(" "), c, F.lit(":"), v)
+    none = F.lit(None).cast("string")
+    named = counts.select("scheme").distinct().select("scheme", F.lit("").alias("entry"), F.when(F.trim("scheme") == "", "a scheme needs a name").when(F.col("scheme").isin(*built_in), "a built-in scheme's name").otherwise(none).alias("problem"))
+    by = counts.groupBy("scheme", "book").agg(F.count("*").alias("n"), F.countDistinct("chapter").alias("k"), F.min("chapter").alias("low"), F.max("chapter").alias("high"), F.min("last").alias("least"))
+    book = F.when(~F.col("book").isin(*books), "not a book code").when(F.col("n") != F.col("k"), "given twice").when((F.col("low") != 1) | (F.col("high") != F.col("k")), "chapters are missing").when(F.col("least") < 1, "a chapter without verses")
+    of_books = by.select("scheme", F.col("book").alias("entry"), book.alias("problem"))
+    last = counts.groupBy("scheme", "book", "chapter").agg(F.max("last").alias("last"))
+    end = F.col("from_verse") + F.when(F.col("shape") == "Split", 0).otherwise(F.col("len") - 1)
+    r = rows.join(last.select("scheme", F.col("book").alias("from_book"), F.col("chapter").alias("from_chapter"), "last"), ["scheme", "from_book", "from_chapter"], "left")
+    row = F.when(~F.col("shape").isin("Parallel", "Merge", "Split") | (F.col("len") < 1), "ranges of unlike lengths").when(F.col("last").isNull(), "no such chapter").when(end > F.col("last"), "past the scheme's counts").when(F.col("to_part").isNotNull() & (F.col("len") > 1), "a part on a range")
+    of_rows = r.select("scheme", place("from_book", "from_chapter", "from_verse").alias("entry"), row.alias("problem"))
+    x = excluded.join(last, ["scheme", "book", "chapter"], "left")
+    of_excluded = x.select("scheme", place("book", "chapter", "verse").alias("entry"), F.when(F.col("last").isNull(), "no such chapter").when((F.col("verse") < 1) | (F.col("verse") > F.col("last")), "past the scheme's counts").alias("problem"))
+    return named.unionByName(of_books).unionByName(of_rows).unionByName(of_excluded).filter("problem IS NOT NULL")
+
+
+def accepted(numbers: DataFrame, gap: int = 3, restart: bool = True) -> DataFrame:
+    """(unit, at, number, step, verse): numbers(unit, at, number) read in order as verse numbers.
+
+    A number is the next verse if it is ahead of the last one by at most `gap`, a restart if it is 1 again, and no verse
+    otherwise (step null); verse is the last one accepted up to here. A unit's numbers are folded as one array, as each
+    decision hangs on the one before.
+    """
+    seq = numbers.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("at", "number"))).alias("seq"))
+    kind = "struct<verse:int,out:array<struct<at:bigint,number:int,step:string,verse:int>>>"
+    start = F.struct(F.lit(0).alias("verse"), F.array().cast("array<struct<at:bigint,number:int,step:string,verse:int>>").alias("out")).cast(kind)
+
+    def fold(state, x):
+        last, n = state["verse"], x["number"]
+        step = F.when((n > last) & (n <= last + gap), "next").when(F.lit(restart) & (n == 1) & (last >= 1), "restart")
+        verse = F.when(step.isNotNull(), n).otherwise(last)
+        one = F.struct(x["at"].cast("bigint").alias("at"), n.alias("number"), step.alias("step"), verse.alias("verse"))
+        return F.struct(verse.alias("verse"), F.concat(state["out"], F.array(one)).alias("out")).cast(kind)
+
+    return seq.select("unit", F.inline(F.aggregate("seq", start, fold)["out"]))
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """(book, node, group): nodes of edges(book, a, b) by the smallest node that they hang together with, book by book.
+
+    A book's correspondences are one group of rows of two short names (at most some thousands).
+    """
+    import pandas as pd
+
+    def groups(key, rows: pd.DataFrame) -> pd.DataFrame:
+        up: dict = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for a, b in zip(rows["a"], rows["b"], strict=True):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+        return pd.DataFrame({"book": [key[0]] * len(up), "node": list(up), "group": [top(x) for x in up]})
+
+    return edges.groupBy("book").applyInPandas(groups, "book string, node string, group string")

@@ -16,8 +16,10 @@ from ..operators import find as S
 from ..operators import form as L
 from ..operators import judge as J
 from ..operators import listing as G
+from ..operators import markup as M
 from ..operators import overlay as V
 from ..operators import sites as P
+from ..operators import versify as N
 from ..operators.passes import Pass, run
 from . import placed
 from .compared import PAIRING_SQL, TYPOS_SQL
@@ -252,6 +254,86 @@ SELECT unit, (CASE k WHEN 1 THEN 1 ELSE 0 END)::int AS "at", 'same' AS change, t
 UNION ALL SELECT unit, (CASE WHEN k = 0 AND text <> '' THEN 1 ELSE 0 END)::int, 'added', '', CASE k WHEN 0 THEN ' zz' ELSE 'zz ' END FROM d WHERE k < 2"""
 
 
+# what finer claims explain
+
+RECURRING_SQL = f"""WITH {C.RUNS_SQL} SELECT corpus, run, n, pooled FROM (SELECT *, (sum(n) OVER (PARTITION BY corpus, shape))::bigint AS pooled FROM (
+SELECT corpus, run, count(*) AS n, regexp_replace(run, '[.!?։؟۔।॥።。！？…‼⁇⁈⁉]', 'T', 'g') AS shape FROM runs WHERE length(run) > 1 GROUP BY corpus, run)) WHERE n >= 5 OR pooled >= 5"""
+LEADERS_SQL = f"""WITH {C.RUNS_SQL} SELECT corpus, glyph, count(*) AS pairs FROM (SELECT corpus, run[i] AS glyph FROM (SELECT corpus, run, unnest(range(1, length(run))) AS i FROM runs)) GROUP BY 1, 2 HAVING count(*) >= 5"""
+
+
+# numbers of verses
+
+
+def verse_steps(spark, sf_dir):
+    """Documents' lengths read as verse numbers, source by source."""
+    d = table(spark, sf_dir, "documents")
+    return N.accepted(d.select(F.col("source").alias("unit"), F.col("doc_id").alias("at"), (F.char_length("text") % 9 + 1).cast("int").alias("number")))
+
+
+STEPS_SQL = """WITH RECURSIVE d AS (SELECT source AS unit, doc_id AS at_, (length(text) % 9 + 1)::int AS number, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+s AS (SELECT unit, at_, number, i, CASE WHEN number <= 3 THEN 'next' END AS step, CASE WHEN number <= 3 THEN number ELSE 0 END AS verse FROM d WHERE i = 1
+UNION ALL SELECT d.unit, d.at_, d.number, d.i, CASE WHEN d.number > s.verse AND d.number <= s.verse + 3 THEN 'next' WHEN d.number = 1 AND s.verse >= 1 THEN 'restart' END, CASE WHEN (d.number > s.verse AND d.number <= s.verse + 3) OR (d.number = 1 AND s.verse >= 1) THEN d.number ELSE s.verse END FROM s JOIN d ON d.unit = s.unit AND d.i = s.i + 1)
+SELECT unit, at_ AS "at", number, step, verse FROM s"""
+
+
+def number_conventions(spark, sf_dir):
+    """Documents with every fifth line numbered, in one of three ways."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    k, n = F.col("unit") % 3, (F.col("i") % 50 + 1).cast("string")
+    mark = F.when(F.col("i") % 5 == 0, F.when(k == 0, F.concat(F.lit("v. "), n, F.lit(" "))).when(k == 1, F.concat(n, F.lit(" "))).otherwise(""))
+    return G.number_conventions(d.select("unit", F.concat(F.coalesce(mark, F.lit("")), "line").alias("line")))
+
+
+CONVENTIONS_SQL = rf"""WITH d AS (SELECT doc_id AS unit, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::int AS i FROM documents),
+l AS (SELECT unit, CASE WHEN i % 5 = 0 THEN CASE unit % 3 WHEN 0 THEN 'v. ' || (i % 50 + 1) || ' ' WHEN 1 THEN (i % 50 + 1) || ' ' ELSE '' END ELSE '' END || line AS line FROM d),
+c AS (SELECT unit, sum(len(regexp_extract_all(line, '{G.MARKED}')))::bigint AS marked, count(*) FILTER (regexp_matches(line, '{G.LINE_START}') AND NOT regexp_matches(line, '{G.ALONE}')) AS line_start, count(*) FILTER (regexp_matches(line, '{G.ALONE}')) AS alone FROM l GROUP BY 1)
+SELECT *, CASE WHEN marked >= 3 AND marked * 2 >= line_start + alone THEN 'marked' ELSE 'line_start' END AS mode FROM c"""
+
+
+def _edges(spark, sf_dir):
+    """What the alternative scheme's verses correspond to: alternative and hub names of the verses."""
+    counts, rows = placed.schemes(spark, sf_dir)
+    name = lambda side, c, v: F.concat(F.lit(side + " "), c, F.lit(":"), v)
+    return N.hub_places(counts, rows).filter("scheme = 'alt'").select("book", name("a", "chapter", "verse").alias("a"), name("h", "hub_chapter", "hub_verse").alias("b"))
+
+
+def linked_verses(spark, sf_dir):
+    return N.linked(_edges(spark, sf_dir))
+
+
+LINKED_SQL = """WITH RECURSIVE hub AS (SELECT source AS book, (doc_id % 5 + 1)::int AS chapter, (count(*) % 9 + 6)::int AS last FROM documents GROUP BY 1, 2),
+v AS (SELECT book, chapter, last, unnest(range(0, last + CASE chapter WHEN 2 THEN -1 WHEN 3 THEN 1 WHEN 4 THEN -1 ELSE 0 END + 1))::int AS verse FROM hub),
+e AS (SELECT book, 'a ' || chapter || ':' || verse AS a, 'h ' || CASE WHEN chapter = 5 AND verse = 6 THEN 1 ELSE chapter END || ':' || unnest(CASE WHEN chapter = 2 THEN CASE WHEN verse < last THEN [verse + 1] ELSE [verse] END WHEN chapter = 3 AND verse = 3 THEN [2] WHEN chapter = 3 AND verse > 3 THEN CASE WHEN verse - 4 < last - 2 THEN [verse - 1] ELSE [verse] END WHEN chapter = 4 AND verse = 4 THEN [4, 5] WHEN chapter = 4 AND verse > 4 THEN CASE WHEN verse - 5 < last - 5 THEN [verse + 1] ELSE [verse] END WHEN chapter = 5 AND verse = 6 THEN [1] ELSE [verse] END) AS b FROM v),
+x AS (SELECT book, a, b FROM e UNION SELECT book, b, a FROM e),
+r AS (SELECT DISTINCT book, a AS node, a AS g FROM x UNION SELECT r.book, r.node, x.b FROM r JOIN x ON x.book = r.book AND x.a = r.g)
+SELECT book, node, min(g) AS "group" FROM r GROUP BY 1, 2"""
+
+
+def scheme_problems(spark, sf_dir):
+    """The schemes of the sources, and one more with a flaw of each kind."""
+    counts, rows = placed.schemes(spark, sf_dir)
+    flawed = spark.createDataFrame([("own", "GEN", 1, 5), ("own", "GEN", 3, 4), ("own", "EXO", 1, 0), ("own", "LEV", 1, 4), ("own", "LEV", 1, 4), ("own", "NUM", 1, 6), ("eng", "RUT", 1, 3)], "scheme string, book string, chapter int, last int")
+    wrong = spark.createDataFrame([("own", "NUM", 1, 2, "NUM", 1, 3, None, 5, "Parallel"), ("own", "NUM", 1, 3, "NUM", 1, 3, None, 5, "Parallel"), ("own", "NUM", 1, 4, "NUM", 1, 4, "a", 2, "Merge"), ("own", "NUM", 2, 1, "NUM", 2, 1, None, 1, "Parallel"), ("own", "NUM", 1, 1, "NUM", 1, 1, None, 2, "Uneven")], rows.schema)
+    gone = spark.createDataFrame([("own", "NUM", 1, 6), ("own", "NUM", 1, 7), ("own", "NUM", 9, 1)], "scheme string, book string, chapter int, verse int")
+    found = N.scheme_problems(counts.unionByName(flawed), rows.unionByName(wrong), gone, M.BOOKS, ("eng",))
+    return found.filter("problem <> 'not a book code'")  # the sources' names are none
+
+
+PROBLEMS_SQL = """SELECT * FROM (VALUES ('eng', '', 'a built-in scheme''s name'), ('own', 'GEN', 'chapters are missing'), ('own', 'EXO', 'a chapter without verses'), ('own', 'LEV', 'given twice'), ('own', 'NUM 1:3', 'past the scheme''s counts'), ('own', 'NUM 1:4', 'a part on a range'),
+('own', 'NUM 2:1', 'no such chapter'), ('own', 'NUM 1:1', 'ranges of unlike lengths'), ('own', 'NUM 1:7', 'past the scheme''s counts'), ('own', 'NUM 9:1', 'no such chapter')) AS t(scheme, entry, problem)"""
+
+
+# listings
+
+
+def listing(spark, sf_dir):
+    return G.listing_lines(pattern_order(spark, sf_dir))
+
+
+def site_snippets(spark, sf_dir):
+    return G.snippets(chapters(spark, sf_dir), placed.site_reasons(spark, sf_dir))
+
+
 # passes of one's own
 
 
@@ -268,6 +350,15 @@ def own_pass(spark, sf_dir):
 OWN_PASS_SQL = f"""SELECT 'line_ends' AS pass, corpus, 'line' AS slot, key, books, numerator, denominator, ceiling_bp, share_bp FROM ({J._judged_sql(f"SELECT *, sum(numerator) OVER (PARTITION BY corpus)::bigint AS denominator FROM (SELECT corpus, right(line, 1) AS key, count(*) AS numerator, count(DISTINCT book) AS books FROM (SELECT corpus, book, unnest(string_split(text, chr(10))) AS line FROM ({CHAPTERS_SQL})) WHERE line <> '' GROUP BY 1, 2)", "corpus, key, books", GLYPH)})"""
 
 QUERIES = {
+    "explained_leaders": lambda s, d: J.leaders(chapters(s, d)),
+    "recurring_runs": lambda s, d: J.recurring_runs(chapters(s, d)),
+    "unexplained_placement": lambda s, d: J.unexplained_placement(chapters(s, d)),
+    "verse_steps": verse_steps,
+    "number_conventions": number_conventions,
+    "linked_verses": linked_verses,
+    "scheme_problems": scheme_problems,
+    "listing_lines": listing,
+    "site_snippets": site_snippets,
     "block_pairs": block_pairs,
     "overlaid_books": overlaid_books,
     "word_changes": word_changes,
@@ -290,6 +381,15 @@ QUERIES = {
     "decomposed": decomposed,
 }
 ORACLES = {
+    "explained_leaders": LEADERS_SQL,
+    "recurring_runs": RECURRING_SQL,
+    "unexplained_placement": J.unexplained_placement_sql(),
+    "verse_steps": STEPS_SQL,
+    "number_conventions": CONVENTIONS_SQL,
+    "linked_verses": LINKED_SQL,
+    "scheme_problems": PROBLEMS_SQL,
+    "listing_lines": f"SELECT corpus, place, concat_ws(' ', channel, glyph, nullif(detail, ''), numerator || '/' || denominator) AS line FROM ({PATTERNS_SQL})",
+    "site_snippets": f"SELECT s.corpus, headline, s.book, s.chapter, s.\"at\", substring(text, greatest(s.\"at\" - 10, 0) + 1, s.\"at\" - greatest(s.\"at\" - 10, 0) + 11) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY corpus, headline ORDER BY book, chapter, \"at\") AS k FROM ({SITES_SQL})) s JOIN ({CHAPTERS_SQL}) c ON c.chapter = s.chapter WHERE k <= 3",
     "block_pairs": f"{_BLOCKS} SELECT book, change, n FROM (SELECT book, 'missing' AS change, n FROM b WHERE k = 0 UNION ALL SELECT book, 'respelled', n FROM b WHERE k = 1 UNION ALL SELECT book, 'extra', n FROM b WHERE k = 1 UNION ALL SELECT book, 'same', n FROM b WHERE k = 2) WHERE n > 0",
     "overlaid_books": f"{_BLOCKS} SELECT book, 'same' AS change, n FROM b WHERE n > 0",
     "word_changes": WORD_CHANGES_SQL,
