@@ -62,3 +62,26 @@ def words_sql(text: str) -> str:
 def share_bp(numerator: Column, denominator: Column) -> Column:
     """Basis points, rounded down, at most 10,000."""
     return F.least(F.lit(10_000), F.floor(numerator * 10_000 / denominator)).cast("long")
+
+
+#: Quotation marks that don't say whether they open or close, those that do, and brackets by side.
+DIRECTIONLESS = "[\"'＂＇]"
+QUOTE = "[\\p{Pi}\\p{Pf}\"'‚„「」『』〝〞〟＂＇]"
+CLOSER, BRACKET = "\\p{Pe}", "[\\p{Ps}\\p{Pe}]"
+#: Characters that are drawn alike, group by group (fixed values).
+LOOKALIKES = ("'’‘‛′`´ʹʼʽʾ", "\"“”‟″〃", "-‐‑‒–−﹘", "~˜∼", ".․", ",‚¸", ":։܃ː∶", ";;", "!ǃ", "|∣ǀ", "/∕⁄", "*∗", "<‹˂", ">›˃", "…⋯", "·•‧∙⋅")
+
+
+def facing(prev: Column, following: Column) -> Column:
+    """Which way a run of marks faces, by the classes of what stands outside it."""
+    inner, outer = ("Letter", "Digit"), ("Space", "Edge")
+    return (
+        F.when((prev == "Letter") & (following == "Letter"), "Inside")
+        .when(prev.isin(*inner) & following.isin(*outer), "Closing")
+        .when(prev.isin(*outer) & following.isin(*inner), "Opening")
+        .otherwise("Unknown")
+    )
+
+
+def facing_sql(prev: str, following: str) -> str:
+    return f"CASE WHEN {prev} = 'Letter' AND {following} = 'Letter' THEN 'Inside' WHEN {prev} IN ('Letter', 'Digit') AND {following} IN ('Space', 'Edge') THEN 'Closing' WHEN {prev} IN ('Space', 'Edge') AND {following} IN ('Letter', 'Digit') THEN 'Opening' ELSE 'Unknown' END"

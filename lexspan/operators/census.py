@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CORE, HAS_LETTER, RUN, WORD, WORD_ONCE, char_class, char_class_sql, fold, words_of_chunk, words_sql
+from ..functions.text import BRACKET, CLOSER, CORE, DIRECTIONLESS, HAS_LETTER, LOOKALIKES, QUOTE, RUN, WORD, WORD_ONCE, char_class, char_class_sql, facing, facing_sql, fold, words_of_chunk, words_sql
 from ..binding import CHAPTERS_SQL
 
 
@@ -26,14 +26,20 @@ def chunks(chapter: DataFrame) -> DataFrame:
     return cut.groupBy("corpus", "book", "chunk").agg(F.count("*").alias("n"))
 
 
-def triples(chapter: DataFrame) -> DataFrame:
-    """(corpus, book, before, glyph, after, n): every character but the space with its neighbours, null at the ends of a
-    text. A stretch keeps the spaces beside it, so that its distinct forms hold all that its characters see."""
+def stretches(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, held, times): the distinct stretches between spaces with the spaces beside them, so that they hold all
+    that their characters see."""
     cut = chapter.select("corpus", "book", F.split("text", " ").alias("parts"))
     cut = cut.select("corpus", "book", (F.size("parts") - 1).alias("last"), F.posexplode("parts").alias("at", "part"))
     space = lambda here: F.when(here, " ").otherwise("")
     held = cut.select("corpus", "book", F.concat(space(F.col("at") > 0), "part", space(F.col("at") < F.col("last"))).alias("held"))
-    distinct = held.groupBy("corpus", "book", "held").agg(F.count("*").alias("times"))
+    return held.groupBy("corpus", "book", "held").agg(F.count("*").alias("times"))
+
+
+def triples(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, before, glyph, after, n): every character but the space with its neighbours, null at the ends of a
+    text."""
+    distinct = stretches(chapter)
     c, n = F.col("chars"), F.size("chars") - 1
     split = distinct.select("corpus", "book", "times", F.split("held", "").alias("chars")).filter("size(chars) > 0")
     # three arrays side by side, which stays inside generated code where a lambda would not
@@ -80,6 +86,62 @@ def runs(chapter: DataFrame) -> DataFrame:
 RUNS_SQL = f"runs AS (SELECT corpus, book, unnest(regexp_extract_all(text, '{RUN}')) AS run FROM ({CHAPTERS_SQL}))"
 
 
+def _neighbours(df: DataFrame, column: str, pattern: str, *keep: str) -> DataFrame:
+    """(keep.., run, before, after): maximal runs of a pattern (a class of characters) in a text and what stands outside."""
+    outside = f"[^{pattern[1:-1]}]" if not pattern.startswith("[^") else f"[{pattern[2:-1]}]"
+    u = F.col("units")
+    split = df.select(*keep, F.regexp_extract_all(column, F.lit(f"{pattern}+|{outside}+"), F.lit(0)).alias("units"))
+    each = F.transform(u, lambda x, i: F.struct(x.alias("run"), F.when(i > 0, F.right(F.get(u, i - 1), F.lit(1))).alias("before"), F.left(F.get(u, i + 1), F.lit(1)).alias("after")))
+    return split.select(*keep, F.inline(each)).filter(F.col("run").rlike(f"^{pattern}"))
+
+
+def faced_runs(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, run, facing, n): maximal runs of marks; facing only of runs with a quotation mark without direction."""
+    r = _neighbours(stretches(chapter), "held", RUN[:-1], "corpus", "book", "times")
+    r = r.groupBy("corpus", "book", "run", "before", "after").agg(F.sum("times").alias("n"))
+    way = F.when(F.col("run").rlike(DIRECTIONLESS), facing(char_class(F.col("before")), char_class(F.col("after"))))
+    return r.groupBy("corpus", "book", "run", way.alias("facing")).agg(F.sum("n").alias("n"))
+
+
+def _units_sql(texts: str, column: str, pattern: str, keep: str) -> str:
+    outside = f"[^{pattern[1:-1]}]" if not pattern.startswith("[^") else f"[{pattern[2:-1]}]"
+    return f"""SELECT {keep}, u[i] AS run, CASE WHEN i > 1 THEN right(u[i - 1], 1) END AS before, CASE WHEN i < len(u) THEN left(u[i + 1], 1) END AS after FROM (SELECT {keep}, u, unnest(range(1, len(u) + 1)) AS i FROM (SELECT {keep}, regexp_extract_all({column}, '{pattern}+|{outside}+') AS u FROM ({texts}))) WHERE regexp_matches(u[i], '^{pattern}')"""
+
+
+FACED_RUNS_SQL = f"""SELECT corpus, book, run, CASE WHEN regexp_matches(run, '{DIRECTIONLESS.replace("'", "''")}') THEN {facing_sql(char_class_sql('before'), char_class_sql('after'))} END AS facing, count(*) AS n FROM ({_units_sql(CHAPTERS_SQL, 'text', RUN[:-1], 'corpus, book')}) GROUP BY ALL"""
+
+
+def follow_contexts(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, terminal, quoted, bracketed, upper, lower): the case of the letter after a mark, white space, and the
+    quotation marks and brackets that ride along on either side of it: a quote marks the handoff quoted, a closing bracket
+    bracketed."""
+    hit = chapter.select("corpus", "book", F.explode(F.regexp_extract_all("text", F.lit(_HANDOFF), F.lit(0))).alias("hit")).groupBy("corpus", "book", "hit").agg(F.count("*").alias("n"))
+    letter, n = F.right("hit", F.lit(1)), F.col("n")
+    keys = [F.left("hit", F.lit(1)).alias("terminal"), F.col("hit").rlike(QUOTE).alias("quoted"), F.col("hit").rlike(CLOSER).alias("bracketed")]
+    return hit.groupBy("corpus", "book", *keys).agg(F.sum(F.when(letter.rlike(r"\p{Lu}"), n).otherwise(0)).alias("upper"), F.sum(F.when(letter.rlike(r"\p{Ll}"), n).otherwise(0)).alias("lower"))
+
+
+_RIDE = f"[{QUOTE[1:-1]}{BRACKET[1:-1]}]*"
+_HANDOFF = f"[.!?,;:]{_RIDE}\\s+{_RIDE}\\p{{L}}"
+FOLLOW_CONTEXTS_SQL = f"""SELECT corpus, book, left(hit, 1) AS terminal, regexp_matches(hit, '{QUOTE.replace("'", "''")}') AS quoted, regexp_matches(hit, '{CLOSER}') AS bracketed, count(*) FILTER (regexp_matches(right(hit, 1), '\\p{{Lu}}')) AS upper, count(*) FILTER (regexp_matches(right(hit, 1), '\\p{{Ll}}')) AS lower
+FROM (SELECT corpus, book, unnest(regexp_extract_all(text, '{_HANDOFF.replace("'", "''")}')) AS hit FROM ({CHAPTERS_SQL})) GROUP BY 1, 2, 3, 4, 5"""
+
+
+def lookalikes(chapter: DataFrame) -> DataFrame:
+    """(corpus, a, b, a_n, b_n): pairs of different characters of one corpus that are drawn alike, the more frequent first."""
+    spark = chapter.sparkSession
+    table = spark.createDataFrame([(c, g) for g, cs in enumerate(LOOKALIKES) for c in cs], "glyph string, alike int")
+    s = scalars(chapter).select("corpus", "glyph", "n").join(F.broadcast(table), "glyph")
+    a, b = (s.select("corpus", "alike", F.col("glyph").alias(x), F.col("n").alias(f"{x}_n")) for x in ("a", "b"))
+    return a.join(b, ["corpus", "alike"]).filter("a_n > b_n OR (a_n = b_n AND a < b)").select("corpus", "a", "b", "a_n", "b_n")
+
+
+def _lookalikes_sql() -> str:
+    rows = ", ".join("('" + c.replace("'", "''") + f"', {g})" for g, cs in enumerate(LOOKALIKES) for c in cs)
+    return f"""WITH t(glyph, alike) AS (VALUES {rows}), s AS (SELECT corpus, glyph, n, alike FROM ({SCALARS_SQL}) JOIN t USING (glyph))
+SELECT a.corpus, a.glyph AS a, b.glyph AS b, a.n AS a_n, b.n AS b_n FROM s a JOIN s b ON a.corpus = b.corpus AND a.alike = b.alike AND (a.n > b.n OR (a.n = b.n AND a.glyph < b.glyph))"""
+
+
 def run_lengths(chapter: DataFrame) -> DataFrame:
     """(corpus, bucket, n, kinds): lengths of the runs, six and more together."""
     r = runs(chapter).withColumn("bucket", F.least(F.char_length("run"), F.lit(6)))
@@ -147,8 +209,8 @@ letter_runs AS (SELECT corpus, letter, least(len, 8)::int AS length, count(*) AS
 
 
 def verse_lengths(verse: DataFrame) -> DataFrame:
-    """(corpus, book, verses, graphemes, longest): lengths in display characters, marks not counted."""
-    n = F.char_length(F.regexp_replace("text", r"\p{M}", ""))
+    """(corpus, book, verses, graphemes, longest): lengths in display characters (grapheme clusters)."""
+    n = F.regexp_count("text", F.lit(r"\X")).cast("int")
     return verse.groupBy("corpus", "book").agg(F.count("*").alias("verses"), F.sum(n).alias("graphemes"), F.max(n).cast("long").alias("longest"))
 
 

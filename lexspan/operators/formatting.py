@@ -43,6 +43,12 @@ def formatted_sql(books: str) -> str:
     return f"SELECT book, {src} AS src FROM ({books})"
 
 
+def rules_broken_sql(books: str) -> str:
+    lit = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    each = " UNION ALL ".join(f"SELECT book, '{r}' AS rule, len(regexp_extract_all(src, {lit(p)}))::bigint AS places FROM b" for r, (p, _) in RULES.items())
+    return f"WITH b AS ({books}) SELECT * FROM ({each}) WHERE places > 0"
+
+
 def rules_broken(books: DataFrame) -> DataFrame:
     """(book, rule, places): how often each rule would change a book as it stands."""
     each = F.array(*[F.struct(F.lit(r).alias("rule"), F.size(F.regexp_extract_all("src", F.lit(p), F.lit(0))).cast("long").alias("places")) for r, (p, _) in RULES.items()])

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import char_class
+from . import census
+
 #: class -> pattern of a maximal run (both engines' dialect)
 CLASSES = {
     "C0Control": "[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}]+",
@@ -57,3 +60,48 @@ def damaged_sql(chapters: str) -> str:
 def findings_sql(texts: str) -> str:
     each = " UNION ALL ".join(f"SELECT corpus, book, chapter, '{k}' AS class, regexp_extract_all(text, '{p}') AS found FROM texts" for k, p in CLASSES.items())
     return f"WITH texts AS ({texts}) SELECT corpus, book, chapter, class, len(found)::bigint AS runs, list_max(list_transform(found, lambda x: length(x)))::bigint AS longest FROM ({each}) WHERE len(found) > 0"
+
+
+#: Classes that are runs of one kind of character, wherever they stand.
+RUNS = {
+    "C0Control": "[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}]",
+    "Delete": "[\\x{7F}]",
+    "C1Control": "[\\x{80}-\\x{9F}]",
+    "ReplacementChar": "[\\x{FFFD}]",
+    "Noncharacter": "[\\x{FDD0}-\\x{FDEF}\\x{FFFE}\\x{FFFF}]",
+    "NoBreakSpace": "[\\x{A0}]",
+    "Format": "[\\x{200B}\\x{2060}\\x{FEFF}]",
+}
+
+
+def placements(chapter: DataFrame) -> DataFrame:
+    """(book, class, placement, runs): where runs of each class stand, by book and over the project (book null).
+
+    Alone is a whole text, AtEdge a text's begin or end; then white space or punctuation on a side, letters on both, Other.
+    Texts without any such character are passed over first.
+    """
+    suspect = chapter.filter(F.col("text").rlike("[" + "".join(p[1:-1] for p in RUNS.values()) + "]"))
+    found = None
+    for name, pattern in RUNS.items():
+        one = census._neighbours(suspect, "text", pattern, "corpus", "book").withColumn("class", F.lit(name))
+        found = one if found is None else found.unionByName(one)
+    before, after = char_class(F.col("before")), char_class(F.col("after"))
+    space = lambda c, k: c.rlike(r"^[\s\x{A0}]$") | (k == "Space")
+    where = (
+        F.when(F.col("before").isNull() & F.col("after").isNull(), "Alone")
+        .when(F.col("before").isNull() | F.col("after").isNull(), "AtEdge")
+        .when(space(F.col("before"), before) | space(F.col("after"), after), "BesideSpace")
+        .when(F.col("before").rlike(r"^\p{P}$") | F.col("after").rlike(r"^\p{P}$"), "BesidePunctuation")
+        .when((before == "Letter") & (after == "Letter"), "BetweenLetters")
+        .otherwise("Other")
+    )
+    return found.select("book", "class", where.alias("placement")).groupingSets([[F.col("book"), F.col("class"), F.col("placement")], [F.col("class"), F.col("placement")]], F.col("book"), F.col("class"), F.col("placement")).agg(F.count("*").alias("runs"))
+
+
+def placements_sql(texts: str) -> str:
+    from ..functions.text import char_class_sql as k
+
+    each = " UNION ALL ".join(f"SELECT book, '{name}' AS class, before, after FROM ({census._units_sql(texts, 'text', p, 'book')})" for name, p in RUNS.items())
+    space = lambda c: f"(regexp_matches({c}, '^[\\s\\x{{A0}}]$') OR {k(c)} = 'Space')"
+    where = f"CASE WHEN before IS NULL AND after IS NULL THEN 'Alone' WHEN before IS NULL OR after IS NULL THEN 'AtEdge' WHEN {space('before')} OR {space('after')} THEN 'BesideSpace' WHEN regexp_matches(before, '^\\p{{P}}$') OR regexp_matches(after, '^\\p{{P}}$') THEN 'BesidePunctuation' WHEN {k('before')} = 'Letter' AND {k('after')} = 'Letter' THEN 'BetweenLetters' ELSE 'Other' END"
+    return f"SELECT book, class, placement, count(*) AS runs FROM (SELECT book, class, {where} AS placement FROM ({each})) GROUP BY GROUPING SETS ((book, class, placement), (class, placement))"

@@ -6,9 +6,13 @@ without a book or chapter takes them from the one before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.unicode import folded, search_fold
+from .find import located
+from .markup import BOOKS, contents
+
 ONE_CHAPTER = ("OBA", "PHM", "2JN", "3JN", "JUD")
 _BOOK, _POINT = "[A-Z0-9]{3}", "(?:[0-9]+:[0-9]+[a-z]?|[0-9]+[a-z]?)"
 ONE = f"^(?:({_BOOK})(?: |$))?({_POINT})?(?:-({_POINT}))?$"
@@ -69,3 +73,70 @@ def resolved(addresses: DataFrame, units: DataFrame) -> DataFrame:
     verdict = F.when(F.col("in_chapter") == 0, "missing-chapter").when(F.col("n") == 0, "missing-verse").when(F.col("n") > 1, "ambiguous").otherwise("found")
     only = lambda c: F.when(F.col("n") == 1, F.col(c)).alias(c)
     return got.select("id", verdict.alias("verdict"), only("first"), only("last"), only("begin"), only("end"))
+
+
+#: English names of the first books of BOOKS, in their order (fixed values).
+NAMES = (
+    "Genesis, Exodus, Leviticus, Numbers, Deuteronomy, Joshua, Judges, Ruth, 1 Samuel, 2 Samuel, 1 Kings, 2 Kings, 1 Chronicles, 2 Chronicles, Ezra, Nehemiah, Esther, Job, Psalms, Proverbs, Ecclesiastes, "
+    "Song of Songs, Isaiah, Jeremiah, Lamentations, Ezekiel, Daniel, Hosea, Joel, Amos, Obadiah, Jonah, Micah, Nahum, Habakkuk, Zephaniah, Haggai, Zechariah, Malachi, Matthew, Mark, Luke, John, Acts, Romans, "
+    "1 Corinthians, 2 Corinthians, Galatians, Ephesians, Philippians, Colossians, 1 Thessalonians, 2 Thessalonians, 1 Timothy, 2 Timothy, Titus, Philemon, Hebrews, James, 1 Peter, 2 Peter, 1 John, 2 John, 3 John, Jude, Revelation"
+).split(", ")
+
+
+def catalogue(spark: SparkSession, own: dict[str, str] | None = None) -> DataFrame:
+    """(name, code, assumed): every beginning of the books' folded names, English ones and a project's own {name: code}; a whole
+    name or code means its book, a beginning the first book in order that has it (assumed)."""
+    names = [*((n, c) for n, c in (own or {}).items()), *zip(NAMES, BOOKS, strict=False), *((c, c) for c in BOOKS)]
+    rank = {c: i for i, c in enumerate(BOOKS)}
+    whole, begun = {}, {}
+    for name, code in names:
+        key = "".join(folded(name).split())
+        whole.setdefault(key, code)
+        for k in range(2, len(key)):
+            begun[key[:k]] = min(begun.get(key[:k], code), code, key=lambda c: rank.get(c, len(rank)))
+    return spark.createDataFrame([(n, c, False) for n, c in whole.items()] + [(n, c, True) for n, c in begun.items() if n not in whole], "name string, code string, assumed boolean")
+
+
+def cited(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """parsed() of citations as people write them: texts(id, text) with books by name or the beginning of one, in any case and
+    spacing, `intro` for a book's introduction; with assumed, and error unknown-book.
+
+    names is catalogue()'s table, as large as the names are long, so it is broadcast.
+    """
+    item = F.explode(F.transform(F.split("text", "[;,]"), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("one"))))
+    r = texts.select("id", item.alias("x")).select("id", "x.at", "x.one")
+    pattern = r"^((?:[1-3]\s*)?\p{L}[\p{L}\s]*?)?\.?\s*(intro(?:duction)?|[0-9].*)?$"
+    low = F.lower("one")
+    name = search_fold(F.regexp_replace(F.regexp_extract(low, pattern, 1), r"\s+", ""))
+    r = r.withColumn("name", F.nullif(name, F.lit(""))).withColumn("rest", F.regexp_replace(F.regexp_replace(F.regexp_extract(low, pattern, 2), "^intro.*", "0"), "[–—]", "-"))
+    r = r.join(F.broadcast(names), "name", "left")
+    unknown = F.col("name").isNotNull() & F.col("code").isNull()
+    strict = F.trim(F.concat_ws(" ", F.when(unknown, "?").otherwise(F.col("code")), F.nullif("rest", F.lit(""))))
+    told = r.withColumn("strict", strict).withColumn("unknown", unknown)
+    lists = told.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "strict"))), lambda x: x["strict"]), ";").alias("text"))
+    out = parsed(lists).join(told.select("id", "at", "assumed", "unknown"), ["id", "at"])
+    return out.withColumn("error", F.when(F.col("unknown"), "unknown-book").otherwise(F.col("error"))).withColumn("assumed", F.coalesce("assumed", F.lit(False))).drop("unknown")
+
+
+def in_canonical_order(df: DataFrame, column: str = "book") -> DataFrame:
+    """df with rank: a book's place in the order of codes, codes of no place after all."""
+    ranks = F.create_map(*[F.lit(x) for i, c in enumerate(BOOKS) for x in (c, i)])
+    return df.withColumn("rank", F.coalesce(F.try_element_at(ranks, F.col(column)), F.lit(len(BOOKS))))
+
+
+def places(books: DataFrame) -> DataFrame:
+    """(book, at, kind, chapter, verse): where the introduction, each chapter's head and each verse begin."""
+    w = Window.partitionBy("book").orderBy("pos")
+    c = contents(books).withColumn("said", F.regexp_extract(F.lead("text").over(w), r"^(\S+)", 1)).filter("kind = 'Marker' AND marker IN ('c', 'v')")
+    chapter = F.last(F.when(F.col("marker") == "c", F.col("said")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = c.select("book", F.col("start").alias("at"), F.when(F.col("marker") == "c", "chapter").otherwise("verse").alias("kind"), chapter.alias("chapter"), F.when(F.col("marker") == "v", F.col("said")).alias("verse"))
+    none = F.lit(None).cast("string")
+    return books.select("book", F.lit(-1).alias("at"), F.lit("intro").alias("kind"), none.alias("chapter"), none.alias("verse")).unionByName(rows)
+
+
+def address_at(points: DataFrame, books: DataFrame) -> DataFrame:
+    """points(book, offset) with address: 'intro', a chapter, or chapter:verse as written."""
+    spelled_ = F.when(F.col("kind") == "intro", "intro").when(F.col("kind") == "chapter", F.col("chapter")).otherwise(F.concat_ws(":", "chapter", "verse"))
+    tiles = places(books).select(F.col("book").alias("id"), spelled_.alias("tile"), F.col("at").alias("tile_start"))
+    got = located(points.select(F.col("book").alias("id"), F.col("offset").alias("start")), tiles)
+    return got.select(F.col("id").alias("book"), F.col("start").alias("offset"), F.col("tile").alias("address"))

@@ -14,13 +14,16 @@ from ..operators import compare as K
 from ..operators import diff as D
 from ..operators import find as S
 from ..operators import form as L
+from ..operators import hygiene as H
 from ..operators import judge as J
 from ..operators import listing as G
 from ..operators import markup as M
 from ..operators import overlay as V
+from ..operators import references as R
 from ..operators import sites as P
 from ..operators import versify as N
 from ..operators.passes import Pass, run
+from ..sources import writers as W
 from . import placed
 from .compared import PAIRING_SQL, TYPOS_SQL
 from .marked import BOOKS_SQL, CONTENTS_SQL, TOKENS_SQL, books
@@ -349,7 +352,64 @@ def own_pass(spark, sf_dir):
 
 OWN_PASS_SQL = f"""SELECT 'line_ends' AS pass, corpus, 'line' AS slot, key, books, numerator, denominator, ceiling_bp, share_bp FROM ({J._judged_sql(f"SELECT *, sum(numerator) OVER (PARTITION BY corpus)::bigint AS denominator FROM (SELECT corpus, right(line, 1) AS key, count(*) AS numerator, count(DISTINCT book) AS books FROM (SELECT corpus, book, unnest(string_split(text, chr(10))) AS line FROM ({CHAPTERS_SQL})) WHERE line <> '' GROUP BY 1, 2)", "corpus, key, books", GLYPH)})"""
 
+# places by name
+
+
+def citations(spark, sf_dir):
+    """Citations as people write them, names and spacing by the documents' numbers."""
+    d = table(spark, sf_dir, "documents")
+    k, a, b = F.col("doc_id") % 8, F.col("doc_id") % 40 + 1, F.char_length("text") % 30 + 1
+    name = F.element_at(F.array(*[F.lit(n) for n in _CITED]), (k + 1).cast("int"))
+    text = F.concat(name, F.lit(" "), a, F.lit(":"), b, F.lit("; "), a + 1, F.lit(":2–3; exod intro"))
+    got = R.in_canonical_order(R.cited(d.select(F.col("doc_id").alias("id"), text.alias("text")), R.catalogue(spark, {"Génesis": "GEN"})))
+    return got.select("id", "at", "book", "rank", "from_chapter", "from_verse", "to_verse", "assumed", "error")
+
+
+_CITED = ("Génesis", "gen.", "1john", "1 John", "phil", "LUK", "Song of  Songs", "Nobody")
+CITATIONS_SQL = """WITH d AS (SELECT doc_id AS id, doc_id % 8 AS k, doc_id % 40 + 1 AS a, length(text) % 30 + 1 AS b, CASE doc_id % 8 WHEN 0 THEN 'GEN' WHEN 1 THEN 'GEN' WHEN 2 THEN '1JN' WHEN 3 THEN '1JN' WHEN 4 THEN 'PHP' WHEN 5 THEN 'LUK' WHEN 6 THEN 'SNG' END AS book, CASE doc_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 61 WHEN 3 THEN 61 WHEN 4 THEN 49 WHEN 5 THEN 41 WHEN 6 THEN 21 END AS rank FROM documents)
+SELECT id, 0 AS "at", book, coalesce(rank, {none})::int AS rank, CASE WHEN k < 7 THEN a END::int AS from_chapter, CASE WHEN k < 7 THEN b END::int AS from_verse, CASE WHEN k < 7 THEN b END::int AS to_verse, k = 4 AS assumed, CASE WHEN k = 7 THEN 'unknown-book' END AS error FROM d
+UNION ALL SELECT id, 1, book, coalesce(rank, {none})::int, CASE WHEN k < 7 THEN a + 1 END::int, CASE WHEN k < 7 THEN 2 END::int, CASE WHEN k < 7 THEN 3 END::int, false, CASE WHEN k = 7 THEN 'no-reference-before' END FROM d
+UNION ALL SELECT id, 2, 'EXO', 1, 0, NULL, NULL, true, NULL FROM d""".replace("{none}", str(len(M.BOOKS)))
+
+
+def address_at(spark, sf_dir):
+    """The place in the middle of each book."""
+    b = books(spark, sf_dir)
+    return R.address_at(b.select("book", (F.char_length("src") / 2).cast("int").alias("offset")), b)
+
+
+ADDRESS_AT_SQL = f"""WITH {CONTENTS_SQL}, q AS (SELECT book, (length(src) // 2)::int AS offset_ FROM books),
+m AS (SELECT book, pos, start, marker, kind, regexp_extract(lead(text) OVER (PARTITION BY book ORDER BY pos), '^(\\S+)', 1) AS said FROM toks),
+p AS (SELECT book, start, marker, said, last_value(CASE WHEN marker = 'c' THEN said END IGNORE NULLS) OVER (PARTITION BY book ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ch FROM m WHERE kind = 'Marker' AND marker IN ('c', 'v')),
+l AS (SELECT q.book, offset_, max(start) AS at_ FROM q LEFT JOIN p ON p.book = q.book AND start <= offset_ GROUP BY 1, 2)
+SELECT l.book, offset_ AS "offset", CASE WHEN at_ IS NULL THEN 'intro' WHEN marker = 'c' THEN ch ELSE concat_ws(':', ch, said) END AS address FROM l LEFT JOIN p ON p.book = l.book AND p.start = at_"""
+
+
+def manifests(spark, sf_dir):
+    """A manifest a source of its documents as files."""
+    d = table(spark, sf_dir, "documents")
+    return W.manifest(d.select(F.col("source").alias("unit"), F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content")))
+
+
+MANIFESTS_SQL = """SELECT source AS unit, '{"ingredients":[' || string_agg('{"name":"' || doc_id || '","size":' || strlen(text) || ',"md5":"' || md5(text) || '"}', ',' ORDER BY doc_id::varchar) || ']}' AS json FROM documents GROUP BY 1"""
+
+
+def drawn_alike(chapter: DataFrame) -> DataFrame:
+    """A test's input: commas and hyphens of some texts in another form."""
+    t, k = F.col("text"), F.col("chapter") % 4
+    return chapter.withColumn("text", F.when(k == 0, F.replace(t, F.lit(","), F.lit("‚"))).when(k == 1, F.replace(t, F.lit(" a "), F.lit(" – "))).when(k == 2, F.replace(t, F.lit(" a "), F.lit(" - "))).otherwise(t))
+
+
+_ALIKE_SQL = f"SELECT corpus, book, chapter, CASE chapter % 4 WHEN 0 THEN replace(text, ',', '‚') WHEN 1 THEN replace(text, ' a ', ' – ') WHEN 2 THEN replace(text, ' a ', ' - ') ELSE text END AS text FROM ({CHAPTERS_SQL})"
+
 QUERIES = {
+    "citations": citations,
+    "address_at": address_at,
+    "manifests": manifests,
+    "faced_runs": lambda s, d: C.faced_runs(chapters(s, d)),
+    "follow_contexts": lambda s, d: C.follow_contexts(chapters(s, d)),
+    "lookalikes": lambda s, d: C.lookalikes(drawn_alike(chapters(s, d))),
+    "hygiene_placements": lambda s, d: H.placements(H.damaged(chapters(s, d))),
     "explained_leaders": lambda s, d: J.leaders(chapters(s, d)),
     "recurring_runs": lambda s, d: J.recurring_runs(chapters(s, d)),
     "unexplained_placement": lambda s, d: J.unexplained_placement(chapters(s, d)),
@@ -381,6 +441,13 @@ QUERIES = {
     "decomposed": decomposed,
 }
 ORACLES = {
+    "citations": CITATIONS_SQL,
+    "address_at": ADDRESS_AT_SQL,
+    "manifests": MANIFESTS_SQL,
+    "faced_runs": C.FACED_RUNS_SQL,
+    "follow_contexts": C.FOLLOW_CONTEXTS_SQL,
+    "lookalikes": C._lookalikes_sql().replace(CHAPTERS_SQL, _ALIKE_SQL),
+    "hygiene_placements": H.placements_sql(H.damaged_sql(CHAPTERS_SQL)),
     "explained_leaders": LEADERS_SQL,
     "recurring_runs": RECURRING_SQL,
     "unexplained_placement": J.unexplained_placement_sql(),

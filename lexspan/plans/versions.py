@@ -174,7 +174,14 @@ QUERIES = {
     "moved_totals": moved_totals,
     "judged_state": judged_state,
 }
+#: Of noted(): notes left open end with the next marker, but for one that nothing follows; a closing marker alone is an orphan.
+STRUCTURE_SQL = f"""WITH {BOOKS_SQL}, b AS (SELECT book, regexp_extract(book, '[0-9]+')::int % 3 AS k, (length(src) - length(replace(src, ' the ', ''))) // 5 AS n, contains(string_split(src, chr(92) || 'v ')[-1], ' the ') AND NOT contains(string_split(string_split(src, chr(92) || 'v ')[-1], ' the ')[-1], chr(92)) AS last FROM books)
+SELECT book, 'unclosed-note' AS code, (n - CASE WHEN last THEN 1 ELSE 0 END)::bigint AS n FROM b WHERE k = 1 AND n > CASE WHEN last THEN 1 ELSE 0 END
+UNION ALL SELECT book, 'unclosed-at-eof', 1 FROM b WHERE k = 1 AND last UNION ALL SELECT book, 'orphan-closer', n FROM b WHERE k = 2 AND n > 0"""
+
 ORACLES = {
+    "structure_lint": STRUCTURE_SQL,
+    "format_findings": L.rules_broken_sql(_untidy_sql()),
     "format_books": L.formatted_sql(_untidy_sql()),
     "format_twice": L.formatted_sql(_untidy_sql()),
     "diff_merge_new": _revised_sql(),

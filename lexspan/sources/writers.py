@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +85,29 @@ def usj(books: DataFrame) -> DataFrame:
     every = p.groupBy("book").agg(F.sort_array(F.collect_list(one)).alias("all"))
     item = F.transform("all", lambda s: F.struct(s["type"].alias("type"), s["marker"].alias("marker"), s["number"].alias("number"), s["text"].alias("text")))
     return every.select("book", F.to_json(F.struct(F.lit("USJ").alias("type"), F.lit("3.1").alias("version"), item.alias("content"))).alias("usj"))
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """(unit, json) of files(unit, name, content): a manifest a unit that lists its files by name with size and checksum, as
+    checks.ingredients() compares them."""
+    one = F.struct("name", F.octet_length("content").cast("long").alias("size"), F.md5("content").alias("md5"))
+    return files.groupBy("unit").agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("ingredients"))).alias("json"))
+
+
+def manifest_with(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(path, json): manifests (path, doc variant) with top-level fields set to texts; other fields stay as they are."""
+    table = F.coalesce(F.try_variant_get("doc", F.lit("$"), "map<string, variant>"), F.create_map().cast("map<string, variant>"))
+    put = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("key"), F.parse_json(F.lit(json.dumps(v))).alias("value")) for k, v in fields.items()]))
+    return docs.select("path", F.to_json(F.map_concat(F.map_filter(table, lambda k, v: ~k.isin(*fields)), put)).alias("json"))
+
+
+def html_report(lines: DataFrame, snippets: DataFrame) -> DataFrame:
+    """(corpus, html): one page a corpus, of listed patterns(corpus, place, line) and snippets(corpus, headline, .., snippet)."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rows = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: F.concat(F.lit("<li>"), x["line"], F.lit("</li>"))), "")
+    a = lines.groupBy("corpus").agg(rows(F.struct("place", safe(F.col("line")).alias("line"))).alias("patterns"))
+    shown = F.concat("headline", F.lit(" "), "book", F.lit(" "), "chapter", F.lit(": "), safe(F.regexp_replace("snippet", r"\s+", " ")))
+    b = snippets.groupBy("corpus").agg(rows(F.struct("headline", "book", "chapter", "at", shown.alias("line"))).alias("sites"))
+    both = a.join(b, "corpus", "left")
+    page = F.concat(F.lit("<html><head><title>"), safe(F.col("corpus")), F.lit("</title></head><body><ol>"), "patterns", F.lit("</ol><ul>"), F.coalesce("sites", F.lit("")), F.lit("</ul></body></html>"))
+    return both.select("corpus", page.alias("html"))

@@ -358,3 +358,69 @@ def test_search_fold():
     from lexspan.functions.unicode import folded
 
     assert [folded(x) for x in ("Éàñ", "ﬁx", "Ⅳ", "áb", "ß", "")] == ["ean", "fix", "iv", "ab", "ß", ""]
+
+
+def test_citations_by_hand(spark):
+    from lexspan.operators.references import catalogue, cited
+
+    texts = {1: "Mateo 5:3-7; 6:1", 2: "1john 2:3", 3: "phil", 4: "Mat 3, 1", 5: "Luke intro", 6: "Jude 3", 7: "Nowhere 3", 8: "", 9: "Song of Songs 2:1; 2 kings 4"}
+    frame = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {}
+    for r in cited(frame, catalogue(spark, {"Mateo": "MAT"})).orderBy("id", "at").collect():
+        got.setdefault(r.id, []).append((r.book, r.from_chapter, r.from_verse, r.to_verse, r.assumed, r.error))
+    assert got[1] == [("MAT", 5, 3, 7, False, None), ("MAT", 6, 1, 1, False, None)]
+    assert got[2] == [("1JN", 2, 3, 3, False, None)] and got[3] == [("PHP", None, None, None, True, None)]
+    assert got[4] == [("MAT", 3, None, None, False, None), ("MAT", 1, None, None, False, None)] and got[5] == [("LUK", 0, None, None, False, None)]
+    assert got[6] == [("JUD", 1, 3, 3, False, None)] and got[7][0][-1] == "unknown-book"
+    assert got[9] == [("SNG", 2, 1, 1, False, None), ("2KI", 4, None, None, False, None)]
+
+
+def test_facing_and_placements(spark):
+    from lexspan.operators import census, hygiene
+
+    chapter = spark.createDataFrame([("en", "b", 1, "Manasseh'.\"\nsaid, \"... don't 5\". x")], "corpus string, book string, chapter int, text string")
+    got = {r.run: (r.facing, r.n) for r in census.faced_runs(chapter).collect()}
+    assert got == {"'.\"": ("Closing", 1), ",": (None, 1), "\"...": ("Unknown", 1), "'": ("Inside", 1), "\".": ("Closing", 1)}
+    odd = spark.createDataFrame([("en", "b", k, t) for k, t in enumerate(["\x01", "\x01a", "a \x01b", "a,\x01b", "a\x01\x02b", "1\x01b", "clean"])], "corpus string, book string, chapter int, text string")
+    found = {(r.book, r.placement): r.runs for r in hygiene.placements(odd).collect()}
+    assert {k[1]: n for k, n in found.items() if k[0] is None} == {"Alone": 1, "AtEdge": 1, "BesideSpace": 1, "BesidePunctuation": 1, "BetweenLetters": 1, "Other": 1}
+
+
+def test_verse_steps_by_hand(spark):
+    from lexspan.operators.versify import accepted
+
+    numbers = [1, 2, 2, 5, 9, 1, 4, 1000]
+    rows = spark.createDataFrame([("u", i, n) for i, n in enumerate(numbers)], "unit string, at long, number int")
+    got = [(r.step, r.verse) for r in accepted(rows).orderBy("at").collect()]
+    assert got == [("next", 1), ("next", 2), (None, 2), ("next", 5), (None, 5), ("restart", 1), ("next", 4), (None, 4)]
+
+
+def test_overlay_by_hand(spark):
+    from lexspan.operators.overlay import overlaid
+
+    source = "\\id GEN\n\\c 2\n\\p\n\\v 21 So\n\\v 22 And\n\\v 23 he said\n\\q1 This\n\\p\n\\v 24 For\n"
+    target = "\\id GEN\n\\c 2\n\\m\n\\v 21 Y\n\\v 22 Y\n\\q1\n\\v 23 dijo\n\\v 24 Por\n"
+    frame = lambda s: spark.createDataFrame([("GEN", s)], "book string, src string")
+    (got,) = overlaid(frame(target), frame(source)).collect()
+    assert got.error is None and got.src == "\\id GEN\n\\c 2\n\\p\n\\v 21 Y\n\\v 22 Y\n\\v 23 dijo\n\\p\n\\v 24 Por\n"
+
+
+def test_manifests_are_edited(spark):
+    from lexspan.sources import writers
+
+    docs = spark.createDataFrame([("a", '{"x": 1, "y": {"z": [2]}}')], "path string, json string").select("path", F.parse_json("json").alias("doc"))
+    (got,) = writers.manifest_with(docs, {"x": 'new "x"', "w": "v"}).collect()
+    import json
+
+    assert json.loads(got.json) == {"x": 'new "x"', "y": {"z": [2]}, "w": "v"}
+
+
+def test_html_report_is_well_formed(spark):
+    from xml.etree import ElementTree
+
+    from lexspan.sources import writers
+
+    lines = spark.createDataFrame([("en", 1, "placement < 3/4"), ("en", 2, "rarity & 1/9"), ("fr", 1, "x")], "corpus string, place int, line string")
+    sites = spark.createDataFrame([("en", "placement", "b", 1, 5, "a <\nb>")], "corpus string, headline string, book string, chapter long, at int, snippet string")
+    pages = {r.corpus: ElementTree.fromstring(r.html) for r in writers.html_report(lines, sites).collect()}
+    assert [x.text for x in pages["en"].iter("li")] == ["placement < 3/4", "rarity & 1/9", "placement b 1: a < b>"] and len(list(pages["fr"].iter("li"))) == 1
