@@ -43,7 +43,7 @@ def _spelled() -> tuple[dict[str, str], dict[str, str]]:
     kinds, families = {}, {}
     for kind, names in _BY_KIND.items():
         for name in names.split():
-            stem, top = re.fullmatch(r"([a-z]+)(\d*)", name).groups()
+            stem, top = re.match(r"([a-z]+)(\d*)\Z", name).groups()
             spellings = [stem, *(f"{stem}{k}" for k in range(1, int(top or 0) + 1))]
             kinds |= dict.fromkeys(spellings, kind)
             families |= dict.fromkeys(spellings if top else [], stem)
@@ -62,7 +62,7 @@ def definitions(text: str) -> tuple[list[dict], list[tuple]]:
     name, why): one field a line, `\\marker` opens an entry, every flaw costs only itself or its entry."""
     entries, flaws, entry = [], [], None
     for number, line in enumerate(text.lstrip("\ufeff").split("\n"), 1):
-        found = re.fullmatch(r"\s*(?:\\(\S*)\s*(.*?))?\s*", line.rstrip("\r"))
+        found = re.match(r"\s*(?:\\(\S*)\s*(.*?))?\s*\Z", line.rstrip("\r"))
         if not found:
             flaws.append((number, None, "not a field"))
         elif (field := found[1]) is None:
@@ -85,7 +85,7 @@ def definitions(text: str) -> tuple[list[dict], list[tuple]]:
             flaws.append((number, entry["name"], "unknown field"))
     kept, names = [], set()
     for e in entries:
-        why = None if re.fullmatch("z[A-Za-z0-9]*", e["name"]) else "not a custom name"
+        why = None if re.match(r"z[A-Za-z0-9]*\Z", e["name"]) else "not a custom name"
         why = why or (None if e["category"] else "no category") or ("defined twice" if e["name"] in names else None)
         if why:
             flaws.append((e["line"], e["name"], why))

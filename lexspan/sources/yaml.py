@@ -10,7 +10,7 @@ import json
 import re
 
 _NULL, _TRUE, _FALSE = {"", "~", "null", "Null", "NULL"}, {"true", "True", "TRUE"}, {"false", "False", "FALSE"}
-_KEY = re.compile(r"""((?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s"'#\[\]{},&*!|>%@`-][^#]*?|-[^\s#][^#]*?))\s*:(?:\s+(.*)|$)""")
+_KEY = re.compile(r"""((?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s"'#\[\]{},&*!|>%@`-][^#]*?|-[^\s#][^#]*?))\s*:(?:\s+(.*)|$)\Z""")
 
 
 def scalar(text: str):
@@ -30,9 +30,9 @@ def scalar(text: str):
         return None
     if text in _TRUE or text in _FALSE:
         return text in _TRUE
-    if re.fullmatch(r"[-+]?(0|[1-9][0-9]*)", text):
+    if re.match(r"[-+]?(0|[1-9][0-9]*)\Z", text):
         return int(text)
-    if re.fullmatch(r"[-+]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?", text):
+    if re.match(r"[-+]?(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\Z", text):
         return float(text)
     return text
 
@@ -129,7 +129,7 @@ def _block(lines: _Lines, least: int):
         out: list = []
         while (head := lines.peek()) and head[0] == indent and (head[1] == "-" or head[1].startswith("- ")):
             inner = head[1][1:].lstrip()
-            if inner and (_KEY.fullmatch(inner) or inner.startswith("- ")) and inner[0] not in "[{":
+            if inner and (_KEY.match(inner) or inner.startswith("- ")) and inner[0] not in "[{":
                 line = lines.raw[lines.at]
                 lines.raw[lines.at] = line[:indent] + " " + line[indent + 1 :]
                 out.append(_block(lines, indent + 1))
@@ -137,9 +137,9 @@ def _block(lines: _Lines, least: int):
                 lines.at += 1
                 out.append(_follow(lines, inner, indent, indent + 1))
         return out
-    if found := _KEY.fullmatch(body):
+    if found := _KEY.match(body):
         table: dict = {}
-        while (head := lines.peek()) and head[0] == indent and (found := _KEY.fullmatch(head[1])):
+        while (head := lines.peek()) and head[0] == indent and (found := _KEY.match(head[1])):
             lines.at += 1
             key = scalar(found[1])
             nested = lines.peek() if not found[2] else None
@@ -155,7 +155,7 @@ def _block(lines: _Lines, least: int):
 
 def _follow(lines: _Lines, inner: str, indent: int, least: int):
     """The value after a key or dash: on its line, or below it."""
-    if re.fullmatch(r"[|>][-+]?", inner):
+    if re.match(r"[|>][-+]?\Z", inner):
         return lines.text(indent, inner)
     return _value(inner) if inner else _block(lines, least)
 
