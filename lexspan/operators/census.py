@@ -20,6 +20,12 @@ def after(condition: Column) -> Column:
     return F.when(F.col("n") > 0, condition)
 
 
+def once(**columns: Column) -> Column:
+    """The columns, each computed once a row: a generator is not merged with what is above it, where a plain projection would
+    be computed again in every place that names it."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def chunks(chapter: DataFrame) -> DataFrame:
     """(corpus, book, chunk, n): the distinct stretches between spaces."""
     cut = chapter.select("corpus", "book", F.explode(F.split("text", " ")).alias("chunk"))
@@ -171,7 +177,7 @@ def word_forms(chapter: DataFrame) -> DataFrame:
     low, up = raw == fold(raw), raw == F.upper(raw)
     title = F.concat(F.upper(F.substring("raw", 1, 1)), F.expr("substring(raw, 2)")) == raw
     form = F.when(low, "lower").when(title & (F.expr("substring(raw, 2)") == fold(F.expr("substring(raw, 2)"))), "title").when(up, "upper").otherwise("mixed")
-    each = w.select("corpus", "book", fold(raw).alias("word"), form.alias("form"), n)
+    each = w.select("corpus", "book", n, once(word=fold(raw), form=form))
     return each.groupBy("corpus", "book", "word").agg(*[F.sum(F.when(F.col("form") == f, F.col("n")).otherwise(0)).alias(f) for f in ("lower", "title", "upper", "mixed")], F.sum("n").alias("n"))
 
 
@@ -230,9 +236,9 @@ def word_contexts(chapter: DataFrame) -> DataFrame:
     found = found.groupBy("corpus", "book", "unit", (F.col("at") == 0).alias("start")).agg(F.count("*").alias("n"))
     raw = F.regexp_replace("unit", f"^[^{CORE[1:-1]}]*", "")
     mark = F.regexp_extract("unit", r"^[^\p{L}\p{N}]*?([.!?,;:])\s+[^\p{L}\p{N}\s.!?,;:]*[\p{L}\p{N}]", 1)
-    parts = found.select("corpus", "book", "n", raw.alias("raw"), F.when(F.col("start"), "start").otherwise(mark).alias("before"))
+    parts = found.select("corpus", "book", "n", once(raw=raw, before=F.when(F.col("start"), "start").otherwise(mark)))
     w = parts.filter(F.col("raw").rlike(HAS_LETTER)).groupBy("corpus", "book", "raw", "before").agg(F.sum("n").alias("n"))
-    return w.select("corpus", "book", fold(F.col("raw")).alias("word"), "before", _form(F.col("raw")).alias("form"), "n").filter("form IS NOT NULL").groupBy("corpus", "book", "word", "before", "form").agg(F.sum("n").alias("n"))
+    return w.select("corpus", "book", "before", "n", once(word=fold(F.col("raw")), form=_form(F.col("raw")))).filter("form IS NOT NULL").groupBy("corpus", "book", "word", "before", "form").agg(F.sum("n").alias("n"))
 
 
 def _form(raw):
