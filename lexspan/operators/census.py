@@ -202,6 +202,21 @@ parts AS (SELECT corpus, book, line_id, unnest(string_split_regex(line, ' +')) A
 doubles AS (SELECT corpus, book, lower(w) AS word, count(*) AS doubled FROM (SELECT *, lead(w) OVER (PARTITION BY line_id ORDER BY pos) AS next FROM parts) WHERE lower(w) = lower(next) AND regexp_matches(w, '^\\p{{L}}+$') GROUP BY 1, 2, 3)"""
 
 
+def separated_doubles(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, word, separated): a word said twice with marks, and nothing but marks and spaces, between, within a line."""
+    line = chapter.select("corpus", "book", F.explode(F.split("text", "\n")).alias("line"))
+    u = F.col("units")
+    cut = line.select("corpus", "book", F.regexp_extract_all("line", F.lit(f"{WORD_ONCE}|[^{CORE[1:-1]}]+"), F.lit(0)).alias("units"))
+    hit = F.filter(F.transform(u, lambda x, i: F.when((fold(x) == fold(F.get(u, i + 2))) & x.rlike(r"^\p{L}+$") & F.get(u, i + 1).rlike(r"^\s*[^\s\p{L}\p{Nd}]"), fold(x))), lambda x: x.isNotNull())
+    return cut.select("corpus", "book", F.explode(hit).alias("word")).groupBy("corpus", "book", "word").agg(F.count("*").alias("separated"))
+
+
+_APART = (WORD + "|[^" + CORE[1:-1] + "]+").replace("'", "''")
+SEPARATED_SQL = f"""WITH l AS (SELECT corpus, book, unnest(string_split(text, chr(10))) AS line FROM ({CHAPTERS_SQL})), u AS (SELECT corpus, book, regexp_extract_all(line, '{_APART}') AS u FROM l),
+t AS (SELECT corpus, book, u[i] AS a, u[i + 1] AS m, u[i + 2] AS b FROM (SELECT corpus, book, u, unnest(range(1, len(u) - 1)) AS i FROM u WHERE len(u) > 2))
+SELECT corpus, book, lower(a) AS word, count(*) AS separated FROM t WHERE lower(a) = lower(b) AND regexp_matches(a, '^\\p{{L}}+$') AND regexp_matches(m, '^\\s*[^\\s\\p{{L}}\\p{{Nd}}]') GROUP BY 1, 2, 3"""
+
+
 def letter_runs(chapter: DataFrame) -> DataFrame:
     """(corpus, letter, length, n): maximal runs of one letter, lengths 2 to 8 (8 and more together)."""
     found = chapter.select("corpus", F.explode(F.regexp_extract_all(fold(F.col("text")), F.lit(r"(\p{L})\1+"), F.lit(0))).alias("run"))

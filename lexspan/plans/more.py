@@ -403,6 +403,7 @@ def drawn_alike(chapter: DataFrame) -> DataFrame:
 _ALIKE_SQL = f"SELECT corpus, book, chapter, CASE chapter % 4 WHEN 0 THEN replace(text, ',', '‚') WHEN 1 THEN replace(text, ' a ', ' – ') WHEN 2 THEN replace(text, ' a ', ' - ') ELSE text END AS text FROM ({CHAPTERS_SQL})"
 
 QUERIES = {
+    "separated_doubles": lambda s, d: C.separated_doubles(chapters(s, d)),
     "citations": citations,
     "address_at": address_at,
     "manifests": manifests,
@@ -441,6 +442,7 @@ QUERIES = {
     "decomposed": decomposed,
 }
 ORACLES = {
+    "separated_doubles": C.SEPARATED_SQL,
     "citations": CITATIONS_SQL,
     "address_at": ADDRESS_AT_SQL,
     "manifests": MANIFESTS_SQL,

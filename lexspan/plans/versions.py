@@ -14,7 +14,7 @@ from ..operators import markup as M
 from ..operators import tree as N
 from ..sources import writers as W
 from ..streaming import incremental as I
-from .marked import BOOKS_SQL, VERSE_ROWS_SQL, books
+from .marked import BOOKS_SQL, CONTENTS_SQL, VERSE_ROWS_SQL, books
 
 
 def revised(old):
@@ -52,6 +52,21 @@ def diff_units(spark, sf_dir):
     return D.diff(old, revised(old)).select("book", "id", "slot", "kind", "status", "whitespace", "markup")
 
 
+def diff_changes(spark, sf_dir):
+    """What a diff says of one word put into every second verse and of one verse put at the end."""
+    old = books(spark, sf_dir)
+    new = old.select("book", F.concat(F.replace("src", F.lit("\\v 2 "), F.lit("\\v 2 new ")), F.lit("\\v 98 added\n")).alias("src"))
+    return D.diff(old, new).filter("status <> 'Unchanged'").groupBy("book", "kind", "status").agg(F.count("*").alias("n"))
+
+
+DIFF_CHANGES_SQL = rf"WITH {BOOKS_SQL}, n AS (SELECT book, ((length(src) - length(replace(src, '\v 2 ', ''))) // 5)::bigint AS n FROM books) SELECT book, 'Shared' AS kind, 'Modified' AS status, n FROM n WHERE n > 0 UNION ALL SELECT book, 'Added', 'Added', 1 FROM n"
+
+_ESCAPED = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+HTML_SQL = rf"""WITH {CONTENTS_SQL},
+p AS (SELECT book, pos, text, coalesce(marker, opens) AS m, regexp_extract(text, '^(\S+)', 1) AS number, regexp_replace(text, '^\S+[ ]?', '') AS rest, CASE WHEN kind = 'Text' THEN CASE opens WHEN 'c' THEN 'chapter' WHEN 'v' THEN 'verse' ELSE 'text' END WHEN kind = 'Marker' AND marker NOT IN ('c', 'v') THEN 'para' END AS what FROM ctx WHERE kind <> 'Newline')
+SELECT book, '<article lang="und">' || string_agg(CASE what WHEN 'para' THEN '<p class="' || m || '">' WHEN 'chapter' THEN '<h2>' || number || '</h2>' || {_ESCAPED.format('rest')} WHEN 'verse' THEN '<sup>' || number || '</sup>' || {_ESCAPED.format('rest')} ELSE {_ESCAPED.format('text')} END, '' ORDER BY pos) || '</article>' AS html FROM p WHERE what IS NOT NULL GROUP BY 1"""
+
+
 def block_texts(spark, sf_dir):
     """The blocks of every book put together again."""
     b = D.blocks(books(spark, sf_dir))
@@ -160,6 +175,7 @@ QUERIES = {
     "format_twice": lambda s, d: L.formatted(L.formatted(untidy(s, d))),
     "format_findings": lambda s, d: L.rules_broken(untidy(s, d)),
     "diff_units": diff_units,
+    "diff_changes": diff_changes,
     "diff_merge_new": _merged("new"),
     "diff_merge_old": _merged("old"),
     "block_texts": block_texts,
@@ -180,6 +196,8 @@ SELECT book, 'unclosed-note' AS code, (n - CASE WHEN last THEN 1 ELSE 0 END)::bi
 UNION ALL SELECT book, 'unclosed-at-eof', 1 FROM b WHERE k = 1 AND last UNION ALL SELECT book, 'orphan-closer', n FROM b WHERE k = 2 AND n > 0"""
 
 ORACLES = {
+    "diff_changes": DIFF_CHANGES_SQL,
+    "export_html": HTML_SQL,
     "structure_lint": STRUCTURE_SQL,
     "format_findings": L.rules_broken_sql(_untidy_sql()),
     "format_books": L.formatted_sql(_untidy_sql()),

@@ -220,3 +220,13 @@ def test_yaml_manifests(spark, tmp_path):
     assert problems["manifest.yaml"] is None and problems["broken.yml"].startswith("not-yaml")
     got = readers.manifest_fields(docs.filter("problem IS NULL"), {"title": ("$.core.title", "string"), "version": ("$.core.version", "int"), "none": ("$.core.none", "string")}).collect()
     assert [(r.title, r.version, r.problems) for r in got] == [("Titus", 3, ["missing none"])]
+
+
+def test_documents_go_out_and_in(spark, tmp_path):
+    """Exported word-processor files are read back paragraph by paragraph."""
+    (tmp_path / "out").mkdir()
+    rows = {r.book: r.content for r in writers.docx(book(spark)).collect()}
+    assert rows == {r.book: r.content for r in writers.docx(book(spark)).collect()}
+    (tmp_path / "out" / "GEN.docx").write_bytes(rows["GEN"])
+    got = [(r.style, r.text) for r in readers.document_paragraphs(spark, str(tmp_path / "out")).orderBy("at").collect() if r.text]
+    assert got == [("id", "GEN Test"), ("h", "Gen"), ("c", "1"), ("p", "1one & two2-3x <y>"), ("s1", "Head"), ("q1", "4four")]
