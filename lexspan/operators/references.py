@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import words
 from ..functions.unicode import folded, search_fold
 from .find import located
 from .markup import BOOKS, contents
@@ -140,3 +141,50 @@ def address_at(points: DataFrame, books: DataFrame) -> DataFrame:
     tiles = places(books).select(F.col("book").alias("id"), spelled_.alias("tile"), F.col("at").alias("tile_start"))
     got = located(points.select(F.col("book").alias("id"), F.col("offset").alias("start")), tiles)
     return got.select(F.col("id").alias("book"), F.col("start").alias("offset"), F.col("tile").alias("address"))
+
+
+#: One refined reference: translation, book, chapter and verse with its part, word and character, attribute.
+_WORD_STEP = r"!([1-9][0-9]*|end)(?:\+([0-9]+|end))?"
+REFINED = rf"^(?:([A-Za-z][A-Za-z0-9-]*(?:\+[A-Za-z0-9]+)*)\.)?([A-Z0-9]{{3}})(?: ([0-9]+)(?::([0-9]+|end)([a-z])?(?:{_WORD_STEP})?)?)?(?:@([A-Za-z][A-Za-z0-9-]*))?(?:-(?:{_WORD_STEP}|([1-9][0-9]*|end)(?:{_WORD_STEP})?))?$"
+
+
+def refined(texts: DataFrame) -> DataFrame:
+    """(id, translation, book, chapter, verse, part, word, char, attribute, last_verse, last_word, last_char, error) of
+    texts(id, text): references below the verse, such as MAT 2:1!3+2-2!4. Numbers may be `end`, so verse, word and char are
+    texts; a range that names no verse stays in the first one's. error: empty, expected-book, unknown-book, backwards or
+    unexpected (then the rest is null)."""
+    part = lambda k: F.nullif(F.regexp_extract("text", REFINED, k), F.lit(""))
+    names = ["translation", "book", "chapter", "verse", "part", "word", "char", "attribute", "range_word", "range_char", "range_verse", "verse_word", "verse_char"]
+    r = texts.select("id", "text", *[part(i + 1).alias(n) for i, n in enumerate(names)])
+    r = r.withColumn("last_verse", F.coalesce("range_verse", F.when(F.col("range_word").isNotNull(), F.col("verse"))))
+    # a bare number after a word is a word, after a verse a verse
+    bare = F.col("word").isNotNull() & F.col("range_verse").isNotNull() & F.col("verse_word").isNull()
+    r = r.withColumn("last_word", F.when(bare, F.col("range_verse")).otherwise(F.coalesce("range_word", "verse_word"))).withColumn("last_char", F.coalesce("range_char", "verse_char"))
+    r = r.withColumn("last_verse", F.when(bare, F.col("verse")).otherwise(F.col("last_verse")))
+    n = lambda c: F.coalesce(F.col(c).try_cast("int"), F.lit(1 << 30))
+    back = F.col("last_verse").isNotNull() & ((n("last_verse") < n("verse")) | ((n("last_verse") == n("verse")) & (F.coalesce(F.col("last_word").try_cast("int"), F.lit(1 << 30)) < F.coalesce(F.col("word").try_cast("int"), F.lit(0)))))
+    code = F.regexp_extract("text", r"^(?:[^.]*\.)?([A-Z0-9]{3})(?![A-Za-z0-9])", 1)
+    error = F.when(F.trim("text") == "", "empty").when(code == "", "expected-book").when(~code.isin(*BOOKS), "unknown-book").when(F.col("book").isNull(), "unexpected").when(back, "backwards")
+    r = r.withColumn("error", error)
+    clear = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    kept = ["translation", "book", "chapter", "verse", "part", "word", "char", "attribute", "last_verse", "last_word", "last_char"]
+    return r.select("id", *[clear(c) for c in kept], "error")
+
+
+def word_places(refs: DataFrame, verse: DataFrame) -> DataFrame:
+    """(id, found, problem): what refined() references to words, or characters of words, name in verse(book, chapter, verse, text).
+
+    problem: verse, word or character where there is none; ambiguous where the text holds the verse twice. Verses meet in
+    one equi-join; `end` is a chapter's last verse, a verse's last word or a word's last character.
+    """
+    last = verse.groupBy("book", "chapter").agg(F.max("verse").alias("end_verse"))
+    r = refs.filter("error IS NULL AND word IS NOT NULL").withColumn("chapter", F.col("chapter").cast("long"))
+    r = r.join(last, ["book", "chapter"], "left").withColumn("verse", F.when(F.col("verse") == "end", F.col("end_verse")).otherwise(F.col("verse").try_cast("int")))
+    at = verse.groupBy("book", "chapter", "verse").agg(F.count("*").alias("times"), F.min("text").alias("text"))
+    met = r.join(at, ["book", "chapter", "verse"], "left").withColumn("words", words(F.col("text")))
+    word = F.when(F.col("word") == "end", F.element_at("words", -1)).otherwise(F.get(F.col("words"), F.col("word").try_cast("int") - 1))
+    met = met.withColumn("one", F.when(F.size("words") > 0, word))
+    char = F.when(F.col("char") == "end", F.right("one", F.lit(1))).otherwise(F.substring(F.col("one"), F.col("char").try_cast("int"), F.lit(1)))
+    problem = F.when(F.col("times").isNull(), "verse").when(F.col("times") > 1, "ambiguous").when(F.col("one").isNull(), "word").when(F.col("char").isNotNull() & (char == ""), "character")
+    met = met.withColumn("problem", problem)
+    return met.select("id", F.when(F.col("problem").isNull(), F.when(F.col("char").isNull(), F.col("one")).otherwise(char)).alias("found"), "problem")

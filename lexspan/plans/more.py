@@ -372,6 +372,20 @@ UNION ALL SELECT id, 1, book, coalesce(rank, {none})::int, CASE WHEN k < 7 THEN
 UNION ALL SELECT id, 2, 'EXO', 1, 0, NULL, NULL, true, NULL FROM d""".replace("{none}", str(len(M.BOOKS)))
 
 
+def word_references(spark, sf_dir):
+    """References to a word, or a character, of each document's first line, as lines of one book; some past the end."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    text = F.concat(F.when(k % 3 == 0, "en+ulb.").otherwise(""), F.lit("GEN "), k, F.lit(":"), F.when(k % 7 == 0, "999").otherwise("1"), F.lit("!"), F.when(k % 5 == 0, "end").otherwise((k % 40 + 1).cast("string")), F.when(k % 2 == 0, "+2").otherwise(""))
+    lines = verses(chapters(spark, sf_dir)).select(F.lit("GEN").alias("book"), "chapter", "verse", "text")
+    return R.word_places(R.refined(d.select(k.alias("id"), text.alias("text"))), lines)
+
+
+WORD_REFERENCES_SQL = f"""WITH l AS (SELECT doc_id AS k, {words_sql("string_split(text, chr(10))[1]")} AS w FROM documents), o AS (SELECT k, CASE WHEN k % 5 = 0 THEN w[-1] ELSE w[k % 40 + 1] END AS one FROM l),
+p AS (SELECT k, one, CASE WHEN k % 7 = 0 THEN 'verse' WHEN one IS NULL THEN 'word' WHEN k % 2 = 0 AND length(one) < 2 THEN 'character' END AS problem FROM o)
+SELECT k AS id, CASE WHEN problem IS NULL THEN CASE WHEN k % 2 = 0 THEN substring(one, 2, 1) ELSE one END END AS found, problem FROM p"""
+
+
 def address_at(spark, sf_dir):
     """The place in the middle of each book."""
     b = books(spark, sf_dir)
@@ -403,6 +417,7 @@ def drawn_alike(chapter: DataFrame) -> DataFrame:
 _ALIKE_SQL = f"SELECT corpus, book, chapter, CASE chapter % 4 WHEN 0 THEN replace(text, ',', '‚') WHEN 1 THEN replace(text, ' a ', ' – ') WHEN 2 THEN replace(text, ' a ', ' - ') ELSE text END AS text FROM ({CHAPTERS_SQL})"
 
 QUERIES = {
+    "word_references": word_references,
     "separated_doubles": lambda s, d: C.separated_doubles(chapters(s, d)),
     "citations": citations,
     "address_at": address_at,
@@ -442,6 +457,7 @@ QUERIES = {
     "decomposed": decomposed,
 }
 ORACLES = {
+    "word_references": WORD_REFERENCES_SQL,
     "separated_doubles": C.SEPARATED_SQL,
     "citations": CITATIONS_SQL,
     "address_at": ADDRESS_AT_SQL,

@@ -424,3 +424,20 @@ def test_html_report_is_well_formed(spark):
     sites = spark.createDataFrame([("en", "placement", "b", 1, 5, "a <\nb>")], "corpus string, headline string, book string, chapter long, at int, snippet string")
     pages = {r.corpus: ElementTree.fromstring(r.html) for r in writers.html_report(lines, sites).collect()}
     assert [x.text for x in pages["en"].iter("li")] == ["placement < 3/4", "rarity & 1/9", "placement b 1: a < b>"] and len(list(pages["fr"].iter("li"))) == 1
+
+
+def test_refined_references(spark):
+    from lexspan.operators.references import refined, word_places
+
+    texts = ["MAT 2:1!3", "MAT 2:1!3-2!4", "en+ulb.ROM 1:1", "MAT 1:1!5+6", "GEN 1:1!8@strong", "MAT 2:1!3-5", "GEN 1:1-end", "ROM 9:end!2+0", "", "gen 1:1", "QQQ 1:1", "GEN 1:x", "GEN 1:3!4-2", "GEN 1:3-2"]
+    got = {r.id: tuple(r)[1:] for r in refined(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).collect()}
+    none = (None,) * 11
+    assert got[0] == (None, "MAT", "2", "1", None, "3", None, None, None, None, None, None)
+    assert got[1] == (None, "MAT", "2", "1", None, "3", None, None, "2", "4", None, None)
+    assert got[2] == ("en+ulb", "ROM", "1", "1", None, None, None, None, None, None, None, None)
+    assert got[3][5:7] == ("5", "6") and got[4][5:8] == ("8", None, "strong") and got[5][8:10] == ("1", "5") and got[6][8:10] == ("end", None) and got[7][3:7] == ("end", None, "2", "0")
+    assert [got[i][-1] for i in range(8, 14)] == ["empty", "expected-book", "unknown-book", "unexpected", "backwards", "backwards"] and got[8][:-1] == none
+    verse = spark.createDataFrame([("MAT", 2, 1, "Now when, Jesus"), ("MAT", 2, 2, "x"), ("MAT", 3, 1, "a"), ("MAT", 3, 1, "b")], "book string, chapter long, verse int, text string")
+    asked = ["MAT 2:1!3", "MAT 2:1!end+1", "MAT 2:end!1", "MAT 2:1!4", "MAT 2:9!1", "MAT 3:1!1", "MAT 2:2!1+3"]
+    found = {r.id: (r.found, r.problem) for r in word_places(refined(spark.createDataFrame(list(enumerate(asked)), "id int, text string")), verse).collect()}
+    assert found == {0: ("Jesus", None), 1: ("J", None), 2: ("x", None), 3: (None, "word"), 4: (None, "verse"), 5: (None, "ambiguous"), 6: (None, "character")}
