@@ -45,11 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Writes df to the shared folder and reads it again: lineage ends, and a lost executor costs nothing already written."""
+    """Writes df to the shared folder and reads it again: lineage ends, and a lost executor costs nothing already written.
+
+    The shuffles that made the table are not needed then. Spark removes a shuffle's files once the driver's collector finds
+    it unused, which may be long after; so the collector is asked.
+    """
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     known_to_workers(spark)
     df.write.option("compression", codec).parquet(path)
+    del df
+    spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path), path
 
 
