@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, partitions, row_key, schema_of, text_of, written
+from .common import in_parts, own_columns, partitions, row_key, schema_of, text_of, written
 
 DEPTH = 200
 SPAN = 136
@@ -40,6 +40,7 @@ TRIGGER = 16
 HOT = 5_000
 _TAG_BITS = 15
 LONGEST_BATCH = 8_000
+PART = 500  # texts with their phrases that are Python objects at once
 
 
 def _mixed(byte):
@@ -98,7 +99,7 @@ def _parsed(batches):
     from xxhash import xxh64_intdigest
 
     word_len = DEPTH - SPAN + 1
-    for batch in batches:
+    for batch in in_parts(batches, PART):
         words, extents, dids, ats = [], [], [], []
 
         def out():
@@ -127,7 +128,7 @@ def _place(at):
 
 def _rims(batches):
     """(word, did, at, single, bytes): the extents of a document's phrases that are not settled."""
-    for batch in batches:
+    for batch in in_parts(batches, PART):
         out: dict = {"word": [], "did": [], "at": [], "hot": [], "bytes": []}
         for did, text, asked in zip(batch.column("did").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -246,7 +247,7 @@ def _single(batches):
     """(word, suffix, did, tag, start) of every single string of the rims of hot words."""
     from xxhash import xxh64_intdigest
 
-    for batch in batches:
+    for batch in in_parts(batches, PART):
         out: dict = {"word": [], "suffix": [], "did": [], "tag": [], "start": []}
         for word, did, at, raw in zip(*(batch.column(c).to_pylist() for c in ("word", "did", "at", "bytes")), strict=True):
             first, more = _place(at)
@@ -309,7 +310,7 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text)."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in in_parts(batches, PART):
             size, removed, runs, sha = [], [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -333,7 +334,7 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     joined = _with_spans(docs)
 
     def cut(batches):
-        for batch in batches:
+        for batch in in_parts(batches, PART):
             texts = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw, parts, at = text.encode("utf-8", "surrogatepass"), [], 0
