@@ -44,16 +44,28 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # a query's shuffle files are removed as it ends
+
+
 def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Writes df to the shared folder and reads it again: lineage ends, and a lost executor costs nothing already written.
 
-    The shuffles that made the table are not needed then. Spark removes a shuffle's files once the driver's collector finds
-    it unused, which may be long after; so the collector is asked.
+    The shuffles that made the table are not needed then, and their files go as the write ends. Left to itself, Spark
+    removes them once the driver's collector finds them unused, which it doesn't while anyone still holds df; the collector
+    is asked for what else is unused, such as broadcasts.
     """
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     known_to_workers(spark)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_FILES_GO, None)
+    spark.conf.set(_FILES_GO, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FILES_GO)
+        else:
+            spark.conf.set(_FILES_GO, before)
     del df
     spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path), path

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from lexspan.llm import simhash, suffix_dedup
+from lexspan.llm import common, simhash, suffix_dedup
 from tests.llm.conftest import SCHEMA, prose
 
 
@@ -116,6 +117,36 @@ def test_repeated_rows_and_null_ids(spark):
     assert suffix_dedup.dedup_digests(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def shuffled_files(spark):
+    """Names of the shuffle files on this machine's disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def none_left(spark, before):
+    """Whether all shuffle files but those of before are gone within a few seconds."""
+    for _ in range(50):
+        if not (left := shuffled_files(spark) - before):
+            return True
+        time.sleep(0.1)
+    return not left
+
+
+def test_finished_shuffles_leave_no_files(spark):
+    """The shuffles of a written table are gone while its frame is still held, those of op6's tables before its result is
+    read; the result is the same, and the session's setting as it was."""
+    setting, before = spark.conf.get(common._FILES_GO, None), shuffled_files(spark)
+    held = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    table, _ = common.written(spark, held, "held")
+    assert none_left(spark, before)
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, held.collect()))
+    texts, before = repetitive(), shuffled_files(spark)
+    out = suffix_dedup.dedup_digests(frame(spark, texts))
+    assert none_left(spark, before)
+    assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == dict(enumerate(wanted(texts)))
+    assert spark.conf.get(common._FILES_GO, None) == setting
+
+
 def test_texts_lose_the_same_bytes(spark, clashing):
     texts = repetitive()
     docs = clashing(frame(spark, texts))
