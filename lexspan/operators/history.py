@@ -26,7 +26,9 @@ def repaired_clocks(saves: DataFrame, latest: int) -> DataFrame:
     s = saves.withColumn("bad", bad)
     s = s.withColumn("run", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     s = s.withColumn("b", F.last(good_at, True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("a", F.first(good_at, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    # the next good save, read backwards: a frame that ends with the history is walked again for every row
+    back = Window.partitionBy("book").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("a", F.last(good_at, True).over(back))
     of_run = Window.partitionBy("book", "run", "bad")
     s = s.withColumn("k", F.row_number().over(of_run.orderBy("seq"))).withColumn("n", F.count("*").over(of_run))
     s = s.withColumn("step", F.col("author_at") - F.lag("author_at").over(of_run.orderBy("seq")))
