@@ -77,9 +77,9 @@ def spliced(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     b = d.select(F.col("doc_id").cast("string").alias("book"), F.col("text").alias("src"))
     n = F.char_length(F.col("text"))
-    edit = lambda a, z, t: F.struct(a.cast("int").alias("begin"), z.cast("int").alias("end"), t.alias("put"))
+    edit = lambda at, a, z, t: F.struct(F.lit(at).alias("at"), a.cast("int").alias("begin"), z.cast("int").alias("end"), t.alias("put"))
     third = (n / 3).cast("int")
-    e = d.select(F.col("doc_id").cast("string").alias("book"), F.inline(F.array(edit(third, F.when(F.col("doc_id") % 5 == 0, third * 2 + 1).otherwise(third + F.least(n - third, F.lit(2))), F.lit("[A]")), edit(third * 2, third * 2 + F.when(F.col("doc_id") % 7 == 0, 100).otherwise(0), F.lit("<B>")))))
+    e = d.select(F.col("doc_id").cast("string").alias("book"), F.inline(F.array(edit(0, third, F.when(F.col("doc_id") % 5 == 0, third * 2 + 1).otherwise(third + F.least(n - third, F.lit(2))), F.lit("[A]")), edit(1, third * 2, third * 2 + F.when(F.col("doc_id") % 7 == 0, 100).otherwise(0), F.lit("<B>")))))
     return D.spliced(b, e)
 
 

@@ -33,3 +33,8 @@ def documents(spark, folder, texts):
 @pytest.mark.parametrize("name", ["clock_repair", "merged_line"])
 def test_no_frame_is_walked_again_for_every_row(spark, name):
     assert "currentrow$(), unboundedfollowing$()" not in plan_of(registry.QUERIES[name](spark, DATA))
+
+
+def test_splices_of_short_texts(spark, tmp_path):
+    texts = ["", "a", "ab", "abc", "abcd", "abcde", "é", "\U0001f600b", "x" * 400, None]
+    assert_same(registry.QUERIES["splices"](spark, documents(spark, tmp_path, texts * 35)), registry.ORACLES["splices"], str(tmp_path))
