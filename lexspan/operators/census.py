@@ -45,16 +45,40 @@ def stretches(chapter: DataFrame) -> DataFrame:
 def triples(chapter: DataFrame) -> DataFrame:
     """(corpus, book, before, glyph, after, n): every character but the space with its neighbours, null at the ends of a
     text."""
-    distinct = stretches(chapter)
-    c, n = F.col("chars"), F.size("chars") - 1
-    split = distinct.select("corpus", "book", "times", F.split("held", "").alias("chars")).filter("size(chars) > 0")
-    # three arrays side by side, which stays inside generated code where a lambda would not
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("chars", F.lit(1), n))
-    each = F.arrays_zip(before.alias("before"), c.alias("glyph"), F.slice("chars", F.lit(2), n).alias("after"))
-    rows = split.select("corpus", "book", "times", F.inline(each)).toDF("corpus", "book", "times", "before", "glyph", "after")
+    rows = beside(stretches(chapter).filter("held <> ''").select("corpus", "book", "times", F.split("held", "").alias("chars")), "corpus", "book", "times")
     return rows.filter("glyph <> '' AND glyph <> ' '").groupBy("corpus", "book", "before", "glyph", "after").agg(F.sum("times").alias("n"))
 
 
+#: A mark, anything else, and stretches that hold marks with all that they see: single characters between marks are shared.
+_OTHER = "[\\n\\r \\t\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}\\p{Nd}\\p{L}\\p{M}\\p{Nl}]"
+MARK = f"[^{_OTHER[1:-1]}]"
+_HELD = f"{_OTHER}?+{MARK}++(?:{_OTHER}{MARK}++)*+{_OTHER}?+"
+
+
+def is_mark(glyph: Column) -> Column:
+    """Of single characters: the nonletters. Most are plain letters or spaces, which need no regular expression."""
+    plain = glyph.between("a", "z") | glyph.between("A", "Z") | glyph.isin(" ", "\n")
+    return ~plain & glyph.rlike(f"^{MARK}$")
+
+
+def marks(chapter: DataFrame) -> DataFrame:
+    """(corpus, book, before, glyph, after, n): the nonletters of triples(), without taking letters apart: only the
+    stretches that marks stand in leave a text."""
+    found = chapter.select("corpus", "book", F.explode(F.regexp_extract_all("text", F.lit(_HELD), F.lit(0))).alias("held"))
+    distinct = found.groupBy("corpus", "book", "held").agg(F.count("*").alias("times"))
+    rows = beside(distinct.select("corpus", "book", "times", F.split("held", "").alias("chars")), "corpus", "book", "times")
+    return rows.filter(is_mark(F.col("glyph"))).groupBy("corpus", "book", "before", "glyph", "after").agg(F.sum("times").alias("n"))
+
+
+def beside(texts: DataFrame, *keep: str) -> DataFrame:
+    """(keep.., before, glyph, after) of texts(keep.., chars), none of them empty: every character with its neighbours. Three
+    arrays side by side stay inside generated code where a lambda would not."""
+    c, n = F.col("chars"), F.size("chars") - 1
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(c, F.lit(1), n))
+    each = F.arrays_zip(before.alias("before"), c.alias("glyph"), F.slice(c, F.lit(2), n).alias("after"))
+    return texts.select(*keep, F.inline(each)).toDF(*keep, "before", "glyph", "after")
+
+
 TRIPLES_SQL = f"""
 chars AS (SELECT corpus, book, chapter, unnest(string_split(text, '')) AS glyph, generate_subscripts(string_split(text, ''), 1) AS pos FROM ({CHAPTERS_SQL}) WHERE text <> ''),
 triples AS (SELECT corpus, book, lag(glyph) OVER w AS before, glyph, lead(glyph) OVER w AS after FROM chars WINDOW w AS (PARTITION BY chapter ORDER BY pos))"""
@@ -63,9 +87,9 @@ triples AS (SELECT corpus, book, lag(glyph) OVER w AS before, glyph, lead(glyph)
 def scalars(chapter: DataFrame) -> DataFrame:
     """(corpus, glyph, n, books): characters, digits pooled as 0-9."""
     pooled = F.when(F.col("glyph").rlike(r"^\p{Nd}$"), "0-9").otherwise(F.col("glyph"))
-    seen = chunks(chapter).select("corpus", "book", "n", F.explode(F.split("chunk", "")).alias("glyph")).filter("glyph <> ''")
-    spaces = chapter.select("corpus", "book", (F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))).cast("long").alias("n"), F.lit(" ").alias("glyph")).filter("n > 0")
-    by = seen.unionByName(spaces).groupBy("corpus", "book", "glyph").agg(F.sum("n").alias("n"))
+    # a text's distinct pieces are nearly as many as its pieces; its characters are few and are counted where it is read
+    seen = chapter.select("corpus", "book", F.explode(F.split("text", "")).alias("glyph")).filter("glyph <> ''")
+    by = seen.groupBy("corpus", "book", "glyph").agg(F.count("*").alias("n"))
     return by.withColumn("glyph", pooled).groupBy("corpus", "glyph").agg(F.sum("n").alias("n"), F.countDistinct("book").alias("books"))
 
 
@@ -75,7 +99,7 @@ SELECT corpus, CASE WHEN regexp_matches(glyph, '^\\p{{Nd}}$') THEN '0-9' ELSE gl
 
 def pairs(chapter: DataFrame) -> DataFrame:
     """(corpus, glyph, before, after, n): nonletters by the classes of their neighbours."""
-    t = triples(chapter).filter(after(char_class(F.col("glyph")) == "Nonletter"))
+    t = marks(chapter)
     return t.groupBy("corpus", "glyph", char_class(F.col("before")).alias("before"), char_class(F.col("after")).alias("after")).agg(F.sum("n").alias("n"))
 
 

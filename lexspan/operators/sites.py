@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_class
+from .census import is_mark
 
 #: finest first: a run's headline is the first channel that has a claim on it
 CHANNELS = ("rarity", "exact_neighbor", "placement")
@@ -17,9 +18,11 @@ CHANNELS = ("rarity", "exact_neighbor", "placement")
 
 def placement_sites(chapter: DataFrame, claims: DataFrame) -> DataFrame:
     """(corpus, book, chapter, at, glyph, side, class): the characters that placement claims(corpus, glyph, side, class) name."""
-    c = F.col("chars")
-    marks = F.filter(F.transform(c, lambda x, i: F.struct(i.alias("at"), x.alias("glyph"), F.when(i > 0, F.get(c, i - 1)).alias("before"), F.get(c, i + 1).alias("after"))), lambda s: (char_class(s["glyph"]) == "Nonletter") & (s["glyph"] != ""))
-    rows = chapter.select("corpus", "book", "chapter", F.split("text", "").alias("chars")).select("corpus", "book", "chapter", F.inline(marks))
+    c, n = F.col("chars"), F.size("chars") - 1
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(c, F.lit(1), n))
+    each = F.arrays_zip(F.sequence(F.lit(0), n).alias("at"), before.alias("before"), c.alias("glyph"), F.slice(c, F.lit(2), n).alias("after"))
+    rows = chapter.filter("text <> ''").select("corpus", "book", "chapter", F.split("text", "").alias("chars"))
+    rows = rows.select("corpus", "book", "chapter", F.inline(each)).toDF("corpus", "book", "chapter", "at", "before", "glyph", "after").filter(is_mark(F.col("glyph")))
     sides = F.array(*[F.struct(F.lit(s).alias("side"), char_class(F.col(s)).alias("class")) for s in ("before", "after")])
     each = rows.select("corpus", "book", "chapter", "at", "glyph", F.inline(sides))
     return each.join(F.broadcast(claims.select("corpus", "glyph", "side", "class")), ["corpus", "glyph", "side", "class"]).select("corpus", "book", "chapter", "at", "glyph", "side", "class")

@@ -28,7 +28,7 @@ def book_counts(books: DataFrame) -> DataFrame:
     A book without any mark has one row of nulls, so that its digest is known.
     """
     digest = books.select("corpus", "book", F.sha2("text", 256).alias("digest"))
-    t = census.triples(books).filter(census.after(char_class(F.col("glyph")) == "Nonletter"))
+    t = census.marks(books)
     sides = F.array(*[F.struct(F.lit(s).alias("side"), char_class(F.col(s)).alias("class")) for s in ("before", "after")])
     counts = t.select("corpus", "book", "glyph", "n", F.inline(sides)).groupBy("corpus", "book", "glyph", "side", "class").agg(F.sum("n").alias("n"))
     return digest.join(counts, ["corpus", "book"], "left").select("corpus", "book", "digest", "glyph", "side", "class", "n")

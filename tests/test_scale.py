@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import re
 
 import pytest
 
@@ -38,3 +39,18 @@ def test_no_frame_is_walked_again_for_every_row(spark, name):
 def test_splices_of_short_texts(spark, tmp_path):
     texts = ["", "a", "ab", "abc", "abcd", "abcde", "é", "\U0001f600b", "x" * 400, None]
     assert_same(registry.QUERIES["splices"](spark, documents(spark, tmp_path, texts * 35)), registry.ORACLES["splices"], str(tmp_path))
+
+
+ODD = ["", "((x))", "a.b.c,d", "..", "a", " . ", "«x» — y…", "é, é.", "\U0001f600\U00010400.  ;x", "1,2.3", "x\r\n,y\n;z\t!", "١,١", "a\x00b\x1f c", "-a-b--c-", "​. ,", "no marks here", None]
+
+
+@pytest.mark.parametrize("name", ["pair_census", "glyph_placement", "unexplained_placement", "inside_words", "scalar_census", "rarity_sites", "placement_sites", "site_reasons", "site_snippets", "headline_sites", "pattern_order", "listing_lines", "judged_state", "book_rate"])
+def test_marks_of_odd_texts(spark, tmp_path, name):
+    texts = ODD * 12 + ["word, word " * 300 + "word ,word", "see (a) " * 60]
+    assert_same(registry.QUERIES[name](spark, documents(spark, tmp_path, texts)), registry.ORACLES[name], str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["judged_state", "site_reasons", "site_snippets", "placement_sites", "headline_sites", "listing_lines", "book_rate", "pattern_order"])
+def test_pieces_of_texts_are_not_dealt_out(spark, name):
+    """Marks and characters are counted where a text is read: nothing is grouped by the stretches between spaces."""
+    assert not re.search(r"split\(text#\d+,  , -1\)", plan_of(registry.QUERIES[name](spark, DATA)))
