@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folded import folded
+
 PLACE = ["book", "chapter", "verse"]
 
 
@@ -136,21 +138,22 @@ def accepted(numbers: DataFrame, gap: int = 3, restart: bool = True) -> DataFram
     """(unit, at, number, step, verse): numbers(unit, at, number) read in order as verse numbers.
 
     A number is the next verse if it is ahead of the last one by at most `gap`, a restart if it is 1 again, and no verse
-    otherwise (step null); verse is the last one accepted up to here. A unit's numbers are folded as one array, as each
+    otherwise (step null); verse is the last one accepted up to here. A unit's numbers are folded one by one, as each
     decision hangs on the one before.
     """
-    seq = numbers.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("at", "number"))).alias("seq"))
-    kind = "struct<verse:int,out:array<struct<at:bigint,number:int,step:string,verse:int>>>"
-    start = F.struct(F.lit(0).alias("verse"), F.array().cast("array<struct<at:bigint,number:int,step:string,verse:int>>").alias("out")).cast(kind)
-
-    def fold(state, x):
-        last, n = state["verse"], x["number"]
-        step = F.when((n > last) & (n <= last + gap), "next").when(F.lit(restart) & (n == 1) & (last >= 1), "restart")
-        verse = F.when(step.isNotNull(), n).otherwise(last)
-        one = F.struct(x["at"].cast("bigint").alias("at"), n.alias("number"), step.alias("step"), verse.alias("verse"))
-        return F.struct(verse.alias("verse"), F.concat(state["out"], F.array(one)).alias("out")).cast(kind)
-
-    return seq.select("unit", F.inline(F.aggregate("seq", start, fold)["out"]))
+
+    def fold(unit, rows):
+        verse = 0
+        for _, at, n in rows:
+            step = None
+            if n is not None:
+                step = "next" if verse < n <= verse + gap else "restart" if restart and n == 1 and verse >= 1 else None
+            verse = verse if step is None else n
+            yield unit, at, n, step, verse
+
+    kind = numbers.schema["unit"].dataType.simpleString()
+    rows = numbers.select("unit", F.col("at").cast("long").alias("at"), F.col("number").cast("int").alias("number"))
+    return folded(rows, "unit", ["at", "number"], fold, f"unit {kind}, at long, number int, step string, verse int")
 
 
 def linked(edges: DataFrame) -> DataFrame:
