@@ -1,16 +1,15 @@
 """The tree of a marked-up book as a table of nodes, and what its structure gets wrong.
 
-A stack machine per book is outside SQL: tokens of one book (numbers and markers, no texts) go to Python in one group, as
-large as a book.
+A stack machine per book is outside SQL: tokens of one book (numbers and markers, no texts) go to Python in order, a
+book at a time.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..binding import known_to_workers
+from .folded import folded
 from .markers import MARKERS
 from .markup import tokens
 
@@ -19,8 +18,8 @@ _DEPTH = {"book": 1, "head": 1, "title": 1, "chapter": 1, "heading": 1, "paragra
 NODE = "book string, node int, parent int, marker string, kind string, first_pos int, last_pos int, closed string"
 
 
-def _tree(key, rows: pd.DataFrame) -> pd.DataFrame:
-    book, out, stack, last = key[0], [], [], 0
+def _tree(book, rows):
+    out, stack, last = [], [], 0
     out.append([book, 0, None, None, "root", 0, 0, "end"])
     stack.append((0, 0))
 
@@ -28,7 +27,7 @@ def _tree(key, rows: pd.DataFrame) -> pd.DataFrame:
         node, _ = stack.pop()
         out[node][6], out[node][7] = pos, how
 
-    for pos, kind, marker in sorted(zip(rows["pos"], rows["kind"], rows["marker"], strict=True)):
+    for _, pos, kind, marker in rows:
         if kind == "Marker":
             what = MARKERS.get(marker, "unknown")
             depth = _DEPTH.get(what, 4)
@@ -48,7 +47,7 @@ def _tree(key, rows: pd.DataFrame) -> pd.DataFrame:
         last = pos
     while stack:
         close("end", last)
-    return pd.DataFrame(out, columns=[x.split(" ")[0] for x in NODE.split(", ")])
+    return out
 
 
 def nodes(books: DataFrame) -> DataFrame:
@@ -56,8 +55,7 @@ def nodes(books: DataFrame) -> DataFrame:
 
     closed: explicit, implied (by what came after), end (of the book) or orphan (a closing marker without an opening one).
     """
-    known_to_workers(books.sparkSession)
-    return tokens(books).select("book", "pos", "kind", "marker").groupBy("book").applyInPandas(_tree, NODE)
+    return folded(tokens(books).select("book", "pos", "kind", "marker"), "book", ["pos"], _tree, NODE)
 
 
 def structure_lint(tree: DataFrame) -> DataFrame:
