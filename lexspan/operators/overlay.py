@@ -21,11 +21,13 @@ ADDRESS = ["book", "chapter", "verse", "placement", "ordinal"]
 def skeleton(books: DataFrame) -> DataFrame:
     """(book, chapter, verse, placement, ordinal, marker, begin, end): the paragraph markers of books(book, src) with their addresses."""
     w = Window.partitionBy("book").orderBy("pos")
+    # what follows is read backwards: a frame that ends with the book is walked again for every row
+    back = Window.partitionBy("book").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     c = contents(books)
     mark = F.col("kind") == "Marker"
     said = F.regexp_extract(F.lead("text").over(w), r"^(\S+)", 1)
     event = F.when(mark & (F.col("marker") == "v"), F.concat(F.lit("v"), said)).when(mark & (F.col("marker") == "c"), "c").when((F.col("kind") == "Text") & ~F.col("heading") & (F.trim("text") != ""), "t")
-    c = c.withColumn("event", event).withColumn("follows", F.first("event", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    c = c.withColumn("event", event).withColumn("follows", F.last("event", True).over(back))
     c = c.withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_len", F.char_length(F.lead("text").over(w)))
     blocks = c.filter(mark & F.col("marker").isin(*of_kind("paragraph")))
     leading = F.coalesce(F.startswith("follows", F.lit("v")), F.lit(False))

@@ -9,7 +9,8 @@ import re
 
 import pytest
 
-from lexspan.plans import placed, registry
+from lexspan.operators import versify
+from lexspan.plans import registry
 from tests.conftest import DATA, assert_same
 
 
@@ -54,3 +55,21 @@ def test_marks_of_odd_texts(spark, tmp_path, name):
 def test_pieces_of_texts_are_not_dealt_out(spark, name):
     """Marks and characters are counted where a text is read: nothing is grouped by the stretches between spaces."""
     assert not re.search(r"split\(text#\d+,  , -1\)", plan_of(registry.QUERIES[name](spark, DATA)))
+
+
+@pytest.mark.parametrize("name", ["diff_units", "diff_changes", "diff_merge_new", "diff_merge_old", "block_texts", "structure_lint"])
+def test_books_are_not_groups_of_their_own(spark, name):
+    plan = plan_of(registry.QUERIES[name](spark, DATA))
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan and "Window" not in plan
+
+
+def test_verse_steps_are_folded_row_by_row(spark):
+    assert "aggregate(" not in plan_of(registry.QUERIES["verse_steps"](spark, DATA))
+    numbers = spark.createDataFrame([("u", i, n) for i, n in enumerate([None, 5, 3, 1, 2, 9, None, 1])] + [(None, 0, 2)], "unit string, at long, number int")
+    got = [(r.unit, r.number, r.step, r.verse) for r in sorted(versify.accepted(numbers).collect(), key=lambda r: (r.unit or "", r.at))]
+    assert got == [(None, 2, "next", 2), ("u", None, None, 0), ("u", 5, None, 0), ("u", 3, "next", 3), ("u", 1, "restart", 1), ("u", 2, "next", 2), ("u", 9, None, 2), ("u", None, None, 2), ("u", 1, "restart", 1)]
+
+
+@pytest.mark.parametrize("name", ["overlaid_books", "block_pairs"])
+def test_blocks_ahead_are_read_backwards(spark, name):
+    assert not re.search(r"specifiedwindowframe\(RowFrame, 1, unboundedfollowing", plan_of(registry.QUERIES[name](spark, DATA)))
