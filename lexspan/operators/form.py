@@ -6,7 +6,7 @@ breaks. Rules that speak once a book or once a run keep the first row of that bo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .markers import DEPRECATED, FAMILIES, MARKERS, of_kind
@@ -18,13 +18,19 @@ _BANDS = {"head": 1, "title": 2, "intro": 3, "chapter": 4}
 _ANYWHERE = ("rem", "sts", "mte", "mte1", "mte2")
 
 
+def _ends(text: Column) -> Column:
+    """What the rules see of a token's text: its first word, whether another follows, and its end."""
+    begin = F.regexp_extract(text, r"^\s*\S*\s*\S?", 0)
+    return F.when(begin == text, text).otherwise(F.concat(begin, F.right(text, F.lit(2))))
+
+
 def form_lint(books: DataFrame) -> DataFrame:
     """(book, code, n) of books(book, src)."""
     of_book = Window.partitionBy("book").orderBy("pos")
     so_far, earlier = of_book.rowsBetween(Window.unboundedPreceding, 0), of_book.rowsBetween(Window.unboundedPreceding, -1)
     kinds = F.create_map(*[F.lit(x) for pair in MARKERS.items() for x in pair])
     families = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
-    t = tokens(books).withColumn("what", F.when(F.col("marker").isNotNull(), F.coalesce(F.try_element_at(kinds, F.col("marker")), F.lit("unknown"))))
+    t = tokens(books, _ends).withColumn("what", F.when(F.col("marker").isNotNull(), F.coalesce(F.try_element_at(kinds, F.col("marker")), F.lit("unknown"))))
     mark, text, shut = F.col("kind") == "Marker", F.col("kind") == "Text", F.col("kind") == "ClosingMarker"
     is_ = lambda *names: F.col("marker").isin(*names)
     what = lambda *names: F.col("what").isin(*names)

@@ -78,12 +78,15 @@ def placements(chapter: DataFrame) -> DataFrame:
     """(book, class, placement, runs): where runs of each class stand, by book and over the project (book null).
 
     Alone is a whole text, AtEdge a text's begin or end; then white space or punctuation on a side, letters on both, Other.
-    Texts without any such character are passed over first.
     """
-    suspect = chapter.filter(F.col("text").rlike("[" + "".join(p[1:-1] for p in RUNS.values()) + "]"))
+    own = "".join(p[1:-1] for p in RUNS.values())
+    # what such characters and their neighbours stand in leaves the text, equal stretches once
+    held = f"[^{own}]?+[{own}]++(?:[^{own}][{own}]++)*+[^{own}]?+"
+    each = chapter.select("book", F.explode(F.regexp_extract_all("text", F.lit(held), F.lit(0))).alias("held"))
+    distinct = each.groupBy("book", "held").agg(F.count("*").alias("n"))
     found = None
     for name, pattern in RUNS.items():
-        one = census._neighbours(suspect, "text", pattern, "corpus", "book").withColumn("class", F.lit(name))
+        one = census._neighbours(distinct, "held", pattern, "book", "n").withColumn("class", F.lit(name))
         found = one if found is None else found.unionByName(one)
     before, after = char_class(F.col("before")), char_class(F.col("after"))
     space = lambda c, k: c.rlike(r"^[\s\x{A0}]$") | (k == "Space")
@@ -95,7 +98,7 @@ def placements(chapter: DataFrame) -> DataFrame:
         .when((before == "Letter") & (after == "Letter"), "BetweenLetters")
         .otherwise("Other")
     )
-    return found.select("book", "class", where.alias("placement")).groupingSets([[F.col("book"), F.col("class"), F.col("placement")], [F.col("class"), F.col("placement")]], F.col("book"), F.col("class"), F.col("placement")).agg(F.count("*").alias("runs"))
+    return found.select("book", "class", where.alias("placement"), "n").groupingSets([[F.col("book"), F.col("class"), F.col("placement")], [F.col("class"), F.col("placement")]], F.col("book"), F.col("class"), F.col("placement")).agg(F.sum("n").alias("runs"))
 
 
 def placements_sql(texts: str) -> str:

@@ -39,11 +39,12 @@ def first_places(verse: DataFrame, most: int = 3) -> DataFrame:
     """(corpus, word, places): the first `most` verses in which each folded word stands."""
     chunk = verse.select("corpus", "book", "chapter", "verse", F.explode(F.array_distinct(F.split("text", " "))).alias("chunk"))
     word = chunk.select("corpus", "book", "chapter", "verse", F.explode(words_of_chunk(F.col("chunk"))).alias("raw")).withColumn("word", fold(F.col("raw")))
-    word = word.select("corpus", "word", "book", "chapter", "verse").distinct()
-    at = F.row_number().over(Window.partitionBy("corpus", "word").orderBy("book", "chapter", "verse"))
+    # a verse that has a word twice is twice the same rank, so the few first places are kept before anything is dealt out
+    word = word.select("corpus", "word", "book", "chapter", "verse")
+    at = F.dense_rank().over(Window.partitionBy("corpus", "word").orderBy("book", "chapter", "verse"))
     first = word.withColumn("at", at).filter(F.col("at") <= most)
     place = F.concat("book", F.lit(" "), "chapter", F.lit(":"), "verse")
-    got = first.groupBy("corpus", "word").agg(F.sort_array(F.collect_list(F.struct("at", place.alias("place")))).alias("places"))
+    got = first.groupBy("corpus", "word").agg(F.sort_array(F.collect_set(F.struct("at", place.alias("place")))).alias("places"))
     return got.select("corpus", "word", F.array_join(F.transform("places", lambda p: p["place"]), ", ").alias("places"))
 
 

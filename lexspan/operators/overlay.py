@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .diff import spliced
 from .markers import of_kind
-from .markup import contents
+from .markup import contents, to_first_word
 
 ADDRESS = ["book", "chapter", "verse", "placement", "ordinal"]
 
@@ -23,16 +23,16 @@ def skeleton(books: DataFrame) -> DataFrame:
     w = Window.partitionBy("book").orderBy("pos")
     # what follows is read backwards: a frame that ends with the book is walked again for every row
     back = Window.partitionBy("book").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    c = contents(books)
+    c = contents(books, to_first_word)
     mark = F.col("kind") == "Marker"
     said = F.regexp_extract(F.lead("text").over(w), r"^(\S+)", 1)
     event = F.when(mark & (F.col("marker") == "v"), F.concat(F.lit("v"), said)).when(mark & (F.col("marker") == "c"), "c").when((F.col("kind") == "Text") & ~F.col("heading") & (F.trim("text") != ""), "t")
     c = c.withColumn("event", event).withColumn("follows", F.last("event", True).over(back))
-    c = c.withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_len", F.char_length(F.lead("text").over(w)))
+    c = c.withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_len", F.lead("len").over(w))
     blocks = c.filter(mark & F.col("marker").isin(*of_kind("paragraph")))
     leading = F.coalesce(F.startswith("follows", F.lit("v")), F.lit(False))
     verse = F.when(leading, F.expr("substring(follows, 2)")).otherwise(F.coalesce("verse", F.lit("")))
-    length = F.char_length("text") + F.when(F.col("next_kind") == "Newline", F.col("next_len")).otherwise(0)
+    length = F.col("len") + F.when(F.col("next_kind") == "Newline", F.col("next_len")).otherwise(0)
     at = blocks.select("book", "pos", F.coalesce("chapter", F.lit("")).alias("chapter"), verse.alias("verse"), F.when(leading, "leading").otherwise("inside").alias("placement"), "marker", F.col("start").alias("begin"), (F.col("start") + length).alias("end"))
     order = Window.partitionBy("book", "chapter", "verse", "placement").orderBy("pos")
     return at.withColumn("ordinal", F.row_number().over(order)).select(*ADDRESS, "marker", "begin", "end")
@@ -54,7 +54,7 @@ def overlay_edits(target: DataFrame, source: DataFrame) -> DataFrame:
     put = F.concat(F.lit("\\"), "source_marker")
     spelled = pairs.filter("change = 'respelled'").select("book", "begin", (F.col("begin") + 1 + F.char_length("marker")).cast("int").alias("end"), put.alias("put"))
     w = Window.partitionBy("book").orderBy("pos")
-    c = contents(target).withColumn("said", F.regexp_extract(F.lead("text").over(w), r"^(\S+)", 1)).filter("kind = 'Marker' AND marker = 'v'")
+    c = contents(target, to_first_word).withColumn("said", F.regexp_extract(F.lead("text").over(w), r"^(\S+)", 1)).filter("kind = 'Marker' AND marker = 'v'")
     places = c.groupBy("book", F.coalesce("chapter", F.lit("")).alias("chapter"), F.col("said").alias("verse")).agg(F.min("start").alias("begin"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", put.alias("put")))), lambda x: F.concat(x["put"], F.lit("\n")))
     missing = pairs.filter("change = 'missing' AND placement = 'leading'").groupBy("book", "chapter", "verse").agg(F.array_join(lines, "").alias("put"))
