@@ -73,3 +73,15 @@ def test_verse_steps_are_folded_row_by_row(spark):
 @pytest.mark.parametrize("name", ["overlaid_books", "block_pairs"])
 def test_blocks_ahead_are_read_backwards(spark, name):
     assert not re.search(r"specifiedwindowframe\(RowFrame, 1, unboundedfollowing", plan_of(registry.QUERIES[name](spark, DATA)))
+
+
+@pytest.mark.parametrize("name", ["markup_lint", "overlaid_books", "structure_lint", "diff_units"])
+def test_lines_of_a_book_are_not_dealt_out(spark, name):
+    assert "collect_list(struct(i" not in plan_of(registry.QUERIES[name](spark, DATA)).replace("i, i#", "i")
+
+
+@pytest.mark.parametrize("name", ["form_lint", "markup_lint"])
+def test_tokens_are_sorted_without_their_texts(spark, name):
+    """Texts are most of a book: what is put in order has their beginnings only."""
+    first_sort = plan_of(registry.QUERIES[name](spark, DATA)).rpartition("Sort [book")[2]
+    assert "regexp_extract(text#" in first_sort
